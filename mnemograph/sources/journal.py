@@ -1,0 +1,97 @@
+"""Reading and writing journals, manifests, chat updates and audit logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from mnemograph import schema as V
+from mnemograph.functions import columns as C
+
+
+def read_journal(spark: SparkSession, path: str, *node_types: str) -> DataFrame:
+    """Journal table of one version folder; node types prune partitions. ``ts`` is parsed once."""
+    rows = spark.read.schema(V.JOURNAL).parquet(path)
+    if node_types:
+        rows = rows.filter(F.col("node_type").isin(*node_types))
+    return with_time(rows)
+
+
+def with_time(rows: DataFrame, column: str = "timestamp") -> DataFrame:
+    """Add ``ts``, the instant (UTC) of an RFC 3339 string, null when unreadable."""
+    return rows.withColumn("ts", F.convert_timezone(None, F.lit("UTC"), F.try_to_timestamp(column).cast("timestamp_ntz")))
+
+
+def read_json_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines) of a JSON Lines journal; undecodable lines are kept apart."""
+    schema = V.T.StructType(V.JOURNAL.fields + [V.T.StructField("_bad", V.S)])
+    lines = spark.read.text(path)
+    parsed = lines.select(
+        F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"), F.col("value").alias("line")
+    )
+    bad = F.col("r._bad").isNotNull() | F.col("r.id").isNull()
+    return parsed.filter(~bad).select("r.*").drop("_bad"), parsed.filter(bad).select("line")
+
+
+def list_nodes(nodes: DataFrame, limit: int) -> DataFrame:
+    return nodes.filter(F.col("node_type") != "log").orderBy("id").limit(limit)
+
+
+def export_manifest(entries: DataFrame, path: str) -> None:
+    """All entries, oldest first, as JSON Lines with explicit nulls; ``_SUCCESS`` marks a complete export."""
+    file_name = lambda c: F.nullif(F.regexp_extract(C.text_or_empty(F.col(c)), r"[^/]*$", 0), F.lit("")).alias(c.replace("_url", "_file"))
+    have = lambda c: file_name(c) if c in entries.columns else F.lit(None).cast("string").alias(c.replace("_url", "_file"))
+    rows = entries.orderBy("ts", "id").select(
+        F.col("id").alias("uuid"), "content", "source",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), have("image_url"), have("audio_url"),
+    )
+    rows.write.option("ignoreNullFields", "false").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows ready to append, rejected lines) of an exported manifest."""
+    schema = V.T.StructType(V.MANIFEST.fields + [V.T.StructField("_bad", V.S)])
+    parsed = spark.read.text(path).select(
+        F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"), F.col("value").alias("line")
+    )
+    bad = F.col("r._bad").isNotNull() | F.col("r.uuid").isNull()
+    good = with_time(parsed.filter(~bad).select("r.*")).select(
+        F.col("uuid").alias("id"), "content", "source", "ts",
+        F.coalesce("image_file", F.lit("")).alias("image_url"), F.coalesce("audio_file", F.lit("")).alias("audio_url"),
+    )
+    return good, parsed.filter(bad).select("line")
+
+
+def normalise_updates(updates: DataFrame, raw: str = "raw") -> DataFrame:
+    """Flat messages of raw chat updates (JSON text); updates without a message are dropped."""
+    u = F.from_json(raw, V.CHAT_UPDATE)
+    rows = updates.select(u.alias("u")).select("u.update_id", F.coalesce("u.message", "u.edited_message").alias("m"))
+    rows = rows.filter(F.col("m").isNotNull())
+    image = C.text_or_empty(F.try_element_at("m.photo", F.lit(-1))["file_id"])
+    voice = C.text_or_empty(F.col("m.voice.file_id"))
+    place = F.col("m.location").isNotNull()
+    empty = lambda c: F.nullif(c, F.lit(""))
+    text = F.coalesce(
+        empty(F.col("m.text")), empty(F.col("m.caption")), F.when(F.size("m.photo") > 0, "Photo"),
+        F.when(voice != "", "Voice note"), F.when(place, "Shared location pin"), F.lit(""),
+    )
+    return rows.select(
+        "update_id", "m.message_id", F.col("m.chat.id").alias("chat_id"),
+        F.coalesce("m.from.id", F.lit(0)).alias("user_id"), text.alias("text"), image.alias("image_file_id"),
+        voice.alias("voice_file_id"), place.alias("has_location"),
+        F.coalesce("m.location.latitude", F.lit(0.0)).alias("lat"),
+        F.coalesce("m.location.longitude", F.lit(0.0)).alias("lng"),
+    )
+
+
+def audit_lines(logs: DataFrame, start: str, end: str, marker: str = "LLM_CONTEXT_AUDIT") -> DataFrame:
+    """Audit lines of a structured log (ts, level, msg, event, trace_id, path) in a time window."""
+    hit = F.contains(C.text_or_empty(F.col("msg")), F.lit(marker)) | (F.col("event") == marker)
+    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+    rows = logs.filter((F.col("ts") >= lo) & (F.col("ts") < hi) & hit)
+    line = F.concat(
+        F.lit("["), F.coalesce("level", F.lit("INFO")), F.lit("] "),
+        F.coalesce(F.nullif("msg", F.lit("")), F.concat(F.lit("event="), "event")),
+        F.coalesce(F.concat(F.lit(" trace_id="), "trace_id"), F.lit("")),
+        F.coalesce(F.concat(F.lit(" path="), "path"), F.lit("")),
+    )
+    return rows.select("ts", line.alias("line")).orderBy("ts", "line")
