@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans"]
+MODULES = ["scans", "relations", "graphs"]
 
 
 def load():

@@ -39,6 +39,6 @@ def external_order(hits: DataFrame, orders: DataFrame, top_n: int) -> DataFrame:
     usable = chosen.groupBy("qid").agg(F.max(F.col("pos").isNotNull()).alias("ordered"))
     rows = chosen.join(usable, "qid").filter(~F.col("ordered") | F.col("pos").isNotNull())
     key = F.when(F.col("ordered"), F.col("pos")).otherwise(F.col("rank"))
-    return top_rows(rows.drop("ordered"), ["qid"], [key.asc()], top_n, "new_rank").select(
+    return top_rows(rows, ["qid"], [key.asc()], top_n, "new_rank").select(
         "qid", "id", F.col("rank").alias("old_rank"), F.col("new_rank").alias("rank")
     )
