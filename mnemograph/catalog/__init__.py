@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans", "relations", "graphs"]
+MODULES = ["scans", "relations", "graphs", "texts", "writes"]
 
 
 def load():

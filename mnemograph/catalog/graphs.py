@@ -105,13 +105,13 @@ DECAYED = f"exp(-ln(2.0::DOUBLE) / 180 * greatest(0.0, (epoch_us({AS_OF_SQL}) -
 @query(
     "temporal_bias",
     f"""WITH h AS ({knn_sql(20, "n.node_type <> 'log' AND n.weight >= 0.5")})
-        SELECT qid, id, round(score, 6) AS score, rank FROM (
+        SELECT qid, id, round(score, 9) AS score, rank FROM (
           SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM (
             SELECT h.qid, h.id, h.score * {DECAYED} AS score FROM h JOIN v_nodes n ON n.id = h.id)) WHERE rank <= 10""",
 )
 def temporal_bias(v: Views):
     hits = vector.nearest(v.search_inputs, search.significant(v.nodes), 20)
-    return long(decay(hits, v.nodes, ntz(AS_OF), 10).withColumn("score", F.round("score", 6)), "rank")
+    return long(decay(hits, v.nodes, ntz(AS_OF), 10).withColumn("score", F.round("score", 9)), "rank")
 
 
 @query(
@@ -123,12 +123,12 @@ def temporal_bias(v: Views):
         f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid, id, rank FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2),
         t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM f) WHERE r <= 20),
         d AS (SELECT t.qid, t.id, t.score * {DECAYED} AS score FROM t JOIN v_nodes n ON n.id = t.id)
-        SELECT qid, id, round(score, 6) AS score, rank FROM (
+        SELECT qid, id, round(score, 9) AS score, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM d) WHERE rank <= 10""",
 )
 def hybrid_search(v: Views):
     out = search.hybrid_search(v.search_inputs, v.nodes, ntz(AS_OF))
-    return long(out.withColumn("score", F.round("score", 6)), "rank")
+    return long(out.withColumn("score", F.round("score", 9)), "rank")
 
 
 # graph

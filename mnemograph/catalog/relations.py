@@ -560,14 +560,14 @@ def recent_questions(v: Views):
               ON n.node_type <> 'log' AND s.query <> '' AND contains(lower(n.content || chr(10) || n.metadata), lower(split_part(s.query, ' ', 1)))
               AND contains(lower(n.content || chr(10) || n.metadata), lower(split_part(s.query, ' ', 2)))) WHERE rank <= 50),
         f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid, id, rank FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
-        SELECT qid, id, round(score, 6) AS score, rank FROM (
+        SELECT qid, id, round(score, 9) AS score, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 20""",
 )
 def rrf_fuse(v: Views):
     s, n = v.search_inputs, v.nodes
     vectors = nearest(s, knowledge(n).filter(F.col("weight") >= 0.5), 50)
     out = rank.rrf_fuse([vectors, keyword_hits(s, n, 50)], 20)
-    return long(out.withColumn("score", F.round("score", 6)), "rank")
+    return long(out.withColumn("score", F.round("score", 9)), "rank")
 
 
 @query(

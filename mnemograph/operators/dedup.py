@@ -68,3 +68,26 @@ def merge_neighbours(parts: list[DataFrame], roots: DataFrame) -> DataFrame:
         out = out.unionByName(part)
     first = out.filter(F.col("id") != "").groupBy("qid", "id").agg(F.min("part").alias("part"))
     return first.join(roots.select("qid", "id"), ["qid", "id"], "left_anti")
+
+
+def create_tasks(new: DataFrame, tasks: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Outcome per new task(id, entry_id, content, status, ts, embedding): (id, action, surviving_id).
+
+    ``repeat`` when the same entry and text occurred within ``seconds``, ``similar`` when an
+    open task is close, else ``create``.
+    """
+    repeats = recent_duplicate_task(new, seconds)
+    rest = new.join(repeats.select("id"), "id", "left_anti")
+    close = similar_open_task(rest.select(F.col("id").alias("qid"), "embedding"), tasks).select(
+        F.col("qid").alias("id"), F.col("id").alias("similar_id")
+    )
+    return (
+        new.select("id")
+        .join(repeats, "id", "left")
+        .join(close, "id", "left")
+        .select(
+            "id",
+            F.when(F.col("duplicate_of").isNotNull(), "repeat").when(F.col("similar_id").isNotNull(), "similar").otherwise("create").alias("action"),
+            F.coalesce("duplicate_of", "similar_id", "id").alias("surviving_id"),
+        )
+    )
