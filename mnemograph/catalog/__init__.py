@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans", "relations", "graphs", "texts", "writes"]
+MODULES = ["scans", "relations", "graphs", "texts", "writes", "streams"]
 
 
 def load():

@@ -257,9 +257,9 @@ def image_tokens(v: Views):
 
 @query(
     "parse_subtasks",
-    """SELECT id, 1 AS pos, w0 || ': do ' || coalesce(w1, 'x') AS content,
-         array_to_string(list_filter(list_transform(string_split(coalesce(w2, 'x') || ', ' || coalesce(w3, 'x'), ','), lambda x: trim(x)), lambda x: x <> ''), ';') AS deps
-       FROM v_model_text""",
+    """SELECT id, 1 AS pos, trim(p[1]) || ': ' || trim(p[2]) AS content,
+         array_to_string(list_filter(list_transform(string_split(trim(array_to_string(p[3:], ' | ')), ','), lambda x: trim(x)), lambda x: x <> ''), ';') AS deps
+       FROM (SELECT id, string_split(w0 || ' | do ' || coalesce(w1, 'x') || ' | ' || coalesce(w2, 'x') || ', ' || coalesce(w3, 'x'), ' | ') AS p FROM v_model_text)""",
 )
 def parse_subtasks(v: Views):
     rows = outputs.parse_subtasks(v.model_text)

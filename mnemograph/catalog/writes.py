@@ -232,8 +232,8 @@ def append_archive_line(v: Views):
 
 @query(
     "record_asked",
-    """SELECT id, CAST(ask_count + coalesce(n, 0) AS BIGINT) AS ask_count, CAST(coalesce(at, last_asked) AS VARCHAR) AS last_asked FROM v_questions
-       LEFT JOIN (SELECT 'pq-' || conv_id || '-' || (turn - 1) AS id, count(*) AS n, max(TIMESTAMP '2024-01-20' + to_minutes(turn)) AS at FROM conversations WHERE role = 'assistant' GROUP BY 1) USING (id)""",
+    """SELECT id, CAST(ask_count + coalesce(n, 0) AS BIGINT) AS ask_count, CAST(coalesce(asked_at, last_asked) AS VARCHAR) AS last_asked FROM v_questions
+       LEFT JOIN (SELECT 'pq-' || conv_id || '-' || (turn - 1) AS id, count(*) AS n, max(TIMESTAMP '2024-01-20' + to_minutes(turn)) AS asked_at FROM conversations WHERE role = 'assistant' GROUP BY 1) USING (id)""",
 )
 def record_asked(v: Views):
     asked = v.table("conversations").filter(F.col("role") == "assistant").select(

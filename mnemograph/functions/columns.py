@@ -254,40 +254,53 @@ def missing_info(c: Column) -> Column:
 # metadata
 
 
-def _variant(metadata: Column) -> Column:
-    return F.try_parse_json(F.coalesce(F.nullif(metadata, F.lit("")), F.lit("{}")))
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def metadata_string(metadata: Column, key: str) -> Column:
-    """A metadata field when it is a JSON string, else null."""
-    doc, path = _variant(metadata), f"$.{key}"
-    is_text = F.schema_of_variant(F.try_variant_get(doc, path, "variant")) == "STRING"
+def variant_of(metadata: Column) -> Column:
+    """Parsed metadata; blank or broken JSON counts as an empty object."""
+    return F.coalesce(F.try_parse_json(metadata), F.parse_json(F.lit("{}")))
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def string_field(doc: Column, key: str) -> Column:
+    """A field when it is a non-empty JSON string, else null."""
+    path = f"$.{key}"
+    is_text = _kind(F.try_variant_get(doc, path, "variant")) == "STRING"
     return F.when(is_text, F.nullif(F.try_variant_get(doc, path, "string"), F.lit("")))
 
 
-def _strings(metadata: Column, key: str) -> Column:
-    items = F.from_json(F.get_json_object(metadata, f"$.{key}"), V.STRINGS)
-    kept = F.filter(items, lambda x: x.isNotNull())
-    return F.when(F.size(kept) > 0, kept)
+def metadata_string(metadata: Column, key: str) -> Column:
+    """A metadata field when it is a non-empty JSON string, else null."""
+    return bind(variant_of(metadata), lambda doc: string_field(doc, key))
 
 
-def _raw(metadata: Column, key: str) -> Column:
-    return F.try_variant_get(_variant(metadata), f"$.{key}", "variant")
+def _strings(doc: Column, key: str) -> Column:
+    items = F.try_variant_get(doc, f"$.{key}", "array<variant>")
+    texts = F.transform(F.filter(items, lambda x: _kind(x) == "STRING"), lambda x: x.cast("string"))
+    return F.when(F.size(texts) > 0, texts)
 
 
-def _lower(metadata: Column, key: str) -> Column:
-    return F.lower(metadata_string(metadata, key))
+def _raw(doc: Column, key: str) -> Column:
+    return F.try_variant_get(doc, f"$.{key}", "variant")
 
 
-def _parent(metadata: Column) -> Column:
-    return F.coalesce(
-        *[metadata_string(metadata, k) for k in ("parent_goal", "parent_goal_id", "project_id", "project_uuid")]
-    )
+def _lower(doc: Column, key: str) -> Column:
+    return F.lower(string_field(doc, key))
 
 
-def _number(metadata: Column, key: str) -> Column:
-    doc, path = _variant(metadata), f"$.{key}"
-    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+def _parent(doc: Column) -> Column:
+    return F.coalesce(*[string_field(doc, k) for k in ("parent_goal", "parent_goal_id", "project_id", "project_uuid")])
+
+
+def _number(doc: Column, key: str) -> Column:
+    path = f"$.{key}"
+    kind = _kind(F.try_variant_get(doc, path, "variant"))
     numeric = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
     return F.when(numeric, F.try_variant_get(doc, path, "double"))
 
@@ -308,7 +321,7 @@ ALLOWED = {
     "user_identity": {"category": ("user_identity", ["name", "role", "value", "trait"])},
 }
 
-_text = lambda key: lambda m: metadata_string(m, key)
+_text = lambda key: lambda m: string_field(m, key)
 _word = lambda key: lambda m: _lower(m, key)
 _list = lambda key: lambda m: _strings(m, key)
 _any = lambda key: lambda m: _raw(m, key)
@@ -321,7 +334,7 @@ _PROJECT = {
 _EVENT = {"date": _text("date"), "type": _word("type"), "attendees": _list("attendees")}
 _ASSET = {"type": _word("type"), "configuration": _any("configuration"), "preferences": _any("preferences")}
 
-# Output fields per registered type. Callers may add types; a type that is absent passes unchanged.
+# Output fields per registered type, each a function of the parsed metadata. Callers may add types; a type that is absent passes unchanged.
 REGISTRY = {
     "person": {
         "relationship_strength": _text("relationship_strength"), "occupation": _text("occupation"),
@@ -350,24 +363,32 @@ REGISTRY = {
 
 def validate_metadata(node_type: Column, metadata: Column) -> Column:
     """Error text of the first broken rule, or null."""
-    out = F.lit(None).cast("string")
-    for kind, rules in reversed(ALLOWED.items()):
-        errors = []
-        for field, (label, words) in rules.items():
-            value = metadata_string(metadata, field)
-            message = F.concat(F.lit(f'invalid {field} "'), value, F.lit(f'" for {label}'))
-            errors.append(F.when(~F.lower(value).isin(words), message))
-        out = F.when(node_type == kind, F.coalesce(*errors)).otherwise(out)
-    return out
+
+    def check(doc: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for kind, rules in ALLOWED.items():
+            errors = []
+            for field, (label, words) in rules.items():
+                value = string_field(doc, field)
+                message = F.concat(F.lit(f'invalid {field} "'), value, F.lit(f'" for {label}'))
+                errors.append(F.when(~F.lower(value).isin(words), message))
+            out = F.when(node_type == kind, F.coalesce(*errors)).otherwise(out)
+        return out
+
+    return bind(variant_of(metadata), check)
 
 
 def normalise_metadata(node_type: Column, metadata: Column, registry: dict | None = None) -> Column:
-    """Metadata reduced to the fields of its type, as JSON with sorted keys."""
-    out = metadata
-    for kind, fields in (registry or REGISTRY).items():
-        body = F.to_json(F.struct(*[fields[k](metadata).alias(k) for k in sorted(fields)]))
-        out = F.when(node_type == kind, body).otherwise(out)
-    return out
+    """Metadata reduced to the fields of its type, as JSON with sorted keys; other types unchanged."""
+
+    def reduce(doc: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for kind, fields in (registry or REGISTRY).items():
+            body = F.to_json(F.struct(*[fields[k](doc).alias(k) for k in sorted(fields)]))
+            out = F.when(node_type == kind, body).otherwise(out)
+        return out
+
+    return F.coalesce(bind(variant_of(metadata), reduce), metadata)
 
 
 def parse_analysis(raw: Column, entry_id: Column) -> Column:

@@ -172,7 +172,9 @@ def text_stats(docs: DataFrame, text: str, by: list[str]) -> DataFrame:
 
 def normalised_args(arguments: Column) -> Column:
     """Search text of a tool call (lower-cased, trimmed), or its whole arguments."""
-    search = F.coalesce(*[C.metadata_string(arguments, k) for k in V.TOOL_QUERY_KEYS])
+    search = C.bind(
+        C.variant_of(arguments), lambda doc: F.coalesce(*[C.string_field(doc, k) for k in V.TOOL_QUERY_KEYS])
+    )
     return F.coalesce(F.lower(C.trim_ws(search)), arguments)
 
 

@@ -307,19 +307,18 @@ def set_project_status(nodes: DataFrame, changes: DataFrame) -> tuple[DataFrame,
 
 
 def set_json_field(metadata: Column, key: str, value: Column) -> Column:
-    """JSON object text with one string field set; other fields are kept as they are."""
+    """JSON object text with one string field set; other fields are kept, keys are sorted."""
+    quoted = lambda text: F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"^\{.v.:(.*)\}$", 1)
     fields = F.coalesce(
         F.from_json(metadata, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")
     )
-    rest = F.map_filter(fields, lambda k, _: k != key)
-    quoted = F.to_json(F.struct(value.alias("v")))
-    new = F.map_from_entries(F.array(F.struct(F.lit(key), F.variant_get(F.parse_json(quoted), "$.v", "variant"))))
-    both = F.map_concat(rest, new)
+    kept = F.transform(
+        F.filter(F.map_entries(fields), lambda e: e["key"] != key),
+        lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v")),
+    )
+    new = F.struct(F.lit(key).alias("k"), quoted(value).alias("v"))
     body = F.transform(
-        F.array_sort(F.map_keys(both)),
-        lambda k: F.concat(
-            F.regexp_extract(F.to_json(F.struct(k.alias("k"))), r"^\{.k.:(.*)\}$", 1), F.lit(":"), F.to_json(F.element_at(both, k))
-        ),
+        F.array_sort(F.array_append(kept, new)), lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"])
     )
     return F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))
 

@@ -61,17 +61,30 @@ def _unit_rows(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def _best_of_batch(
-    queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: int, step: int = 256
+    queries: np.ndarray,
+    ids: np.ndarray,
+    vectors: np.ndarray,
+    k: int,
+    floor: int,
+    query_kinds: np.ndarray | None = None,
+    kinds: np.ndarray | None = None,
+    step: int = 256,
 ) -> pd.DataFrame:
-    """Top-k of one corpus batch for every query: columns q (query row), id, s (scaled score)."""
+    """Top-k of one corpus batch for every query: columns q (query row), id, s (scaled score).
+
+    With kinds given, only rows of the query's kind count.
+    """
     order = np.argsort(ids)
     ids, vectors = ids[order], vectors[order]
+    kinds = None if kinds is None else kinds[order]
     n = len(ids)
     tie = n - 1 - np.arange(n)
     parts = []
     for lo in range(0, len(queries), step):
         sims = np.clip(queries[lo : lo + step] @ vectors.T, 0.0, 1.0)
         scaled = np.rint(sims * SCALE).astype(np.int64)
+        if kinds is not None:
+            scaled[query_kinds[lo : lo + step, None] != kinds[None, :]] = -1
         if k < n:
             pick = np.argpartition(scaled * n + tie, n - k, axis=1)[:, n - k :]
         else:
@@ -112,41 +125,50 @@ def nearest(
     corpus: DataFrame,
     k: int,
     min_score: float | None = None,
+    same: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Exact top-k of ``corpus(id, embedding)`` per row of ``queries(qid, embedding)``.
 
     Returns (qid, id, score, rank). Filter the corpus before calling; rows without a
-    vector are skipped.
+    vector are skipped. ``same`` names a column both sides carry and must agree on.
     """
-    queries = queries.select("qid", "embedding").filter(F.col("embedding").isNotNull())
-    corpus = corpus.select("id", "embedding").filter(F.col("embedding").isNotNull())
+    kind = F.lit("") if same is None else F.coalesce(F.col(same).cast("string"), F.lit(""))
+    queries = queries.filter(F.col("embedding").isNotNull()).select("qid", "embedding", kind.alias("bucket"))
+    corpus = corpus.filter(F.col("embedding").isNotNull()).select("id", "embedding", kind.alias("bucket"))
     n, dim = _shape(queries)
     if n * max(dim, 1) * 8 <= broadcast_bytes:
-        partial = _scan_with_queries(queries, corpus, k, _floor(min_score), dim)
+        partial = _scan_with_queries(queries, corpus, k, _floor(min_score), dim, same is not None)
     else:
-        one = F.lit(0).alias("bucket")
-        partial = _meet_in_cells(
-            queries.select("*", one), corpus.select("*", one), k, _floor(min_score), dim, cell_rows
-        )
+        partial = _meet_in_cells(queries, corpus, k, _floor(min_score), dim, cell_rows)
     return top_rows(partial, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
-def _scan_with_queries(queries: DataFrame, corpus: DataFrame, k: int, floor: int, dim: int) -> DataFrame:
+def _scan_with_queries(
+    queries: DataFrame, corpus: DataFrame, k: int, floor: int, dim: int, by_kind: bool
+) -> DataFrame:
+    """Queries fit in memory (checked by the caller): they travel to the corpus."""
     table = queries.toArrow()
+    names, codes = np.unique(np.array(table["bucket"].to_pylist(), dtype=str), return_inverse=True)
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (np.array(table["qid"].to_pylist(), dtype=str), _unit_rows(table["embedding"], dim))
+        (np.array(table["qid"].to_pylist(), dtype=str), _unit_rows(table["embedding"], dim), names.tolist(), codes)
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, matrix = shared.value
+        qids, matrix, names, codes = shared.value
+        number = {name: i for i, name in enumerate(names)}
         held, size = [], 0
         for batch in batches:
             if batch.num_rows == 0 or len(qids) == 0:
                 continue
             ids = np.array(batch.column("id").to_pylist(), dtype=str)
-            best = _best_of_batch(matrix, ids, _unit_rows(batch.column("embedding"), dim), k, floor)
+            kinds = None
+            if by_kind:
+                kinds = np.array([number.get(b, -1) for b in batch.column("bucket").to_pylist()])
+            best = _best_of_batch(
+                matrix, ids, _unit_rows(batch.column("embedding"), dim), k, floor, codes, kinds
+            )
             held.append(best)
             size += len(best)
             if size > 4 * k * len(qids):
@@ -165,8 +187,7 @@ def _meet_in_cells(
 ) -> DataFrame:
     """Both sides carry ``bucket``; rows of a bucket meet in cells of about ``cell_rows`` per side.
 
-    The number of buckets is fixed by the caller's parameters, so the size table is
-    small whatever the data.
+    The size table has one row per bucket that occurs on both sides.
     """
     sizes = (
         queries.groupBy("bucket")
@@ -180,7 +201,7 @@ def _meet_in_cells(
     )
 
     def stripes(key: str, own: str, other: str, own_n: str, other_n: str, df: DataFrame) -> DataFrame:
-        placed = df.join(F.broadcast(sizes), "bucket").withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)))
+        placed = df.join(sizes, "bucket").withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)))
         repeated = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1))
         return placed.withColumn(other, repeated).select("bucket", "qs", "cs", key, "embedding")
 
@@ -251,23 +272,8 @@ def nearest_one(queries: DataFrame, corpus: DataFrame, max_distance: float, **op
 
 
 def nearest_one_of_type(queries: DataFrame, corpus: DataFrame, max_distance: float, **opts) -> DataFrame:
-    """As ``nearest_one`` between rows of equal ``node_type`` (both sides carry it).
-
-    Types are few: one search per type present in the queries, united.
-    """
-    types = [r[0] for r in queries.select("node_type").distinct().limit(1001).collect()]
-    if len(types) > 1000:
-        raise ValueError("node types form a small vocabulary; found more than 1000")
-    parts = [
-        nearest_one(
-            queries.filter(F.col("node_type") == t), corpus.filter(F.col("node_type") == t), max_distance, **opts
-        )
-        for t in sorted(t for t in types if t is not None)
-    ]
-    out = queries.sparkSession.createDataFrame([], HIT) if not parts else parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """As ``nearest_one`` between rows of equal ``node_type`` (both sides carry it)."""
+    return nearest_one(queries, corpus, max_distance, same="node_type", **opts)
 
 
 def prune(candidates: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:

@@ -273,3 +273,20 @@ def question_flow(events: DataFrame) -> DataFrame:
         "append",
         GroupStateTimeout.NoTimeout,
     )
+
+
+def latest_slots(updates: DataFrame, label: str) -> DataFrame:
+    """Drain ``hot_edges_stream`` into a table that holds the last state of every object."""
+    spark = updates.sparkSession
+    path = new_path(spark, label)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    state = new_path(spark, f"{label}-state")
+    updates.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", state).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    rows = spark.read.schema("object_id string, slot int, id string, batch int").parquet(path)
+    last = rows.groupBy("object_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["object_id", "batch"], "left_semi").drop("batch")
