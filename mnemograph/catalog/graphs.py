@@ -89,12 +89,12 @@ def prune_candidates(v: Views):
     o, e, n = v.table("orders"), v.table("embeddings"), v.n_vectors
     k = F.col("o_orderkey")
     gap = (k % 40 == 3) & (k < 100)
-    candidates = o.select(k, (k % n).alias("vec_id")).join(e, "vec_id").select(
+    rows = o.select(k, (k % n).alias("vec_id")).join(e, "vec_id").select(
         F.concat(F.lit("task-"), k % 40).alias("qid"), F.concat(F.lit("ord-"), k).alias("id"),
         (0.1 * (k % 7)).alias("weight"), F.when(~gap, F.col("embedding")).alias("embedding"),
     )
     vectors = e.filter(F.col("vec_id") != 5).select(F.concat(F.lit("task-"), "vec_id").alias("qid"), "embedding")
-    return vector.prune(candidates, vectors, 8).select("qid", "id")
+    return vector.prune(rows.select("qid", "id"), rows.drop("qid"), vectors, 8)
 
 
 # ranking

@@ -393,42 +393,39 @@ def normalise_metadata(node_type: Column, metadata: Column, registry: dict | Non
 
 def parse_analysis(raw: Column, entry_id: Column) -> Column:
     """Nested analysis of an entry: source ids filled in, statuses normalised; bad JSON gives null."""
-    doc = F.from_json(raw, V.ANALYSIS)
-    entities = F.transform(
-        doc["entities"],
-        lambda e: F.struct(
-            e["name"].alias("name"),
-            e["type"].alias("type"),
-            entity_status(text_or_empty(e["status"])).alias("status"),
-            F.coalesce(F.nullif(e["source_id"], F.lit("")), entry_id).alias("source_id"),
-        ),
-    )
-    valid = F.try_parse_json(raw).isNotNull()
-    return F.when(
-        valid,
-        F.struct(
-            doc["summary"].alias("summary"),
-            doc["mood"].alias("mood"),
-            doc["category"].alias("category"),
-            doc["tags"].alias("tags"),
-            entities.alias("entities"),
-            doc["open_loops"].alias("open_loops"),
-        ),
-    )
+    schema = V.T.StructType(V.ANALYSIS.fields + [V.T.StructField("_bad", V.S)])
+
+    def fill(doc: Column) -> Column:
+        entities = F.transform(
+            doc["entities"],
+            lambda e: F.struct(
+                e["name"].alias("name"),
+                e["type"].alias("type"),
+                entity_status(text_or_empty(e["status"])).alias("status"),
+                F.coalesce(F.nullif(e["source_id"], F.lit("")), entry_id).alias("source_id"),
+            ),
+        )
+        plain = [doc[f].alias(f) for f in ("summary", "mood", "category", "tags", "open_loops")]
+        return F.when(doc["_bad"].isNull() & raw.isNotNull(), F.struct(*plain, entities.alias("entities")))
+
+    return bind(F.from_json(raw, schema, {"columnNameOfCorruptRecord": "_bad"}), fill)
 
 
 # text statistics, units, codes, prices
 
 
 def text_stats(c: Column) -> dict[str, Column]:
-    words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    words = F.regexp_count(c, F.lit(r"\S+"))
     ends = F.regexp_count(c, F.lit("[.!?]+"))
+    # a blank line between two visible characters starts a paragraph
+    breaks = F.regexp_count(c, F.lit(r"\n\n\s*(?=\S)"))
+    leading = c.rlike(r"\A\s*?\n\n\s*(?=\S)").cast("int")
     return {
         "n_bytes": F.octet_length(c),
         "n_bytes_no_space": F.octet_length(F.replace(c, F.lit(" "), F.lit(""))),
         "n_words": words,
         "n_sentences": F.when((ends == 0) & (words > 0), 1).otherwise(ends),
-        "n_paragraphs": F.size(F.filter(F.split(c, "\n\n"), lambda p: trim_ws(p) != "")),
+        "n_paragraphs": F.when(words > 0, breaks + 1 - leading).otherwise(0),
         "minutes": words / F.lit(200.0),
     }
 

@@ -17,67 +17,94 @@ def _lines(text: Column) -> Column:
     carries the section that is open.
     """
     trimmed = F.filter(F.transform(F.split(text, "\n"), C.trim_ws), lambda x: x != "")
-    start = F.struct(
-        F.lit("").alias("open"),
-        F.array().cast("array<struct<line:string,key:string,value:string,section:string>>").alias("out"),
+    parsed = F.transform(
+        trimmed,
+        lambda x: F.struct(
+            x.alias("line"),
+            F.lower(F.regexp_extract(x, KEY_LINE, 1)).alias("key"),
+            F.regexp_extract(x, KEY_LINE, 2).alias("value"),
+        ),
     )
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("sections"))
+
+    def step(acc: Column, x: Column) -> Column:
+        has_key = x["key"] != ""
+        now_open = F.when(has_key, F.when(x["value"] == "", x["key"]).otherwise("")).otherwise(acc["open"])
+        own = F.when(has_key, F.lit("")).otherwise(acc["open"])
+        return F.struct(now_open.alias("open"), F.array_append(acc["sections"], own).alias("sections"))
+
+    def with_sections(rows: Column) -> Column:
+        sections = F.aggregate(rows, start, step, lambda acc: acc["sections"])
+        return F.zip_with(
+            rows,
+            sections,
+            lambda x, s: F.struct(x["line"].alias("line"), x["key"].alias("key"), x["value"].alias("value"), s.alias("section")),
+        )
+
+    return C.bind(parsed, with_sections)
 
-    def step(acc: Column, line: Column) -> Column:
-        key = F.lower(F.regexp_extract(line, KEY_LINE, 1))
-        value = F.regexp_extract(line, KEY_LINE, 2)
-        has_key = key != ""
-        now_open = F.when(has_key, F.when(value == "", key).otherwise("")).otherwise(acc["open"])
-        item = F.struct(
-            line.alias("line"), key.alias("key"), value.alias("value"),
-            F.when(has_key, F.lit("")).otherwise(acc["open"]).alias("section"),
+
+def _numbered(lines: Column, name: str | None) -> Column:
+    """Section lines as struct(key, pos, value), ``pos`` counting within the section."""
+
+    def number(own: Column) -> Column:
+        return F.transform(
+            own,
+            lambda x, i: F.struct(
+                x["section"].alias("key"),
+                F.size(F.filter(F.slice(own, F.lit(1), i + 1), lambda y: y["section"] == x["section"])).alias("pos"),
+                x["line"].alias("value"),
+            ),
         )
-        return F.struct(now_open.alias("open"), F.array_append(acc["out"], item).alias("out"))
 
-    return F.aggregate(trimmed, start, step, lambda acc: acc["out"])
+    wanted = F.filter(lines, lambda x: (x["section"] != "") if name is None else (x["section"] == name))
+    return C.bind(wanted, number)
 
 
 def parse_kv(texts: DataFrame, text: str = "text") -> DataFrame:
     """Long table (id, key, pos, value, is_section).
 
-    A plain key keeps its last value; section lines are numbered from 1; other text is dropped.
+    A plain key keeps its last value; section lines are numbered from 1; other text is
+    dropped. One explode per row, nothing is shuffled.
     """
-    rows = texts.select("id", F.posexplode(_lines(F.col(text))).alias("n", "l")).select("id", "n", "l.*")
-    simple = (
-        rows.filter((F.col("key") != "") & (F.col("value") != ""))
-        .groupBy("id", "key")
-        .agg(F.max_by("value", "n").alias("value"))
-        .select("id", "key", F.lit(1).alias("pos"), "value", F.lit(False).alias("is_section"))
-    )
-    return simple.unionByName(
-        section_lines(texts, None, text).select("id", "key", "pos", "value", F.lit(True).alias("is_section"))
-    )
 
+    def entries(lines: Column) -> Column:
+        plain = F.filter(lines, lambda x: (x["key"] != "") & (x["value"] != ""))
+        last = F.filter(
+            plain,
+            lambda x, i: ~F.exists(F.slice(plain, i + 2, F.size(plain)), lambda y: y["key"] == x["key"]),
+        )
+        simple = F.transform(
+            last,
+            lambda x: F.struct(
+                x["key"].alias("key"), F.lit(1).alias("pos"), x["value"].alias("value"), F.lit(False).alias("is_section")
+            ),
+        )
+        sections = F.transform(
+            _numbered(lines, None),
+            lambda x: F.struct(
+                x["key"].alias("key"), x["pos"].alias("pos"), x["value"].alias("value"), F.lit(True).alias("is_section")
+            ),
+        )
+        return F.concat(simple, sections)
 
-def simple_value(text: Column, key: str) -> Column:
-    """Last value of a plain key, null when absent."""
-    hits = F.filter(_lines(text), lambda x: (x["key"] == key) & (x["value"] != ""))
+    rows = texts.select("id", F.explode(C.bind(_lines(F.col(text)), entries)).alias("e"))
+    return rows.select("id", "e.key", "e.pos", "e.value", "e.is_section")
+
+
+def _last_value(lines: Column, key: str) -> Column:
+    hits = F.filter(lines, lambda x: (x["key"] == key) & (x["value"] != ""))
     return F.try_element_at(F.transform(hits, lambda x: x["value"]), F.lit(-1))
 
 
-def section(text: Column, name: str) -> Column:
-    """Lines of one section."""
-    return F.transform(F.filter(_lines(text), lambda x: x["section"] == name), lambda x: x["line"])
+def simple_value(text: Column, key: str) -> Column:
+    """Last value of a plain key, null when absent."""
+    return _last_value(_lines(text), key)
 
 
 def section_lines(texts: DataFrame, name: str | None, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, ..., key, pos, value) for the lines of one section, or of all sections."""
-    lines = F.filter(_lines(F.col(text)), lambda x: x["section"] != "")
-    if name is not None:
-        lines = F.filter(_lines(F.col(text)), lambda x: x["section"] == name)
-    # position within the section: lines before it in the same section, plus one
-    numbered = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            x["section"].alias("key"),
-            F.size(F.filter(F.slice(lines, F.lit(1), i + 1), lambda y: y["section"] == x["section"])).alias("pos"),
-            x["line"].alias("value"),
-        ),
-    )
+    numbered = C.bind(_lines(F.col(text)), lambda lines: _numbered(lines, name))
     return texts.select("id", *keep, F.explode(numbered).alias("s")).select("id", *keep, "s.key", "s.pos", "s.value")
 
 
@@ -129,16 +156,19 @@ def evaluator_fields(texts: DataFrame, text: str = "text", commitment: float = 0
 
     ``proposal`` is the question to ask when the commitment is strong and the intent is specific.
     """
-    number = lambda key: F.greatest(
-        F.lit(0.0), F.least(F.lit(1.0), F.coalesce(simple_value(F.col(text), key).try_cast("double"), F.lit(0.0)))
-    )
-    out = texts.select(
-        "id",
-        number("significance").alias("significance"),
-        F.coalesce(simple_value(F.col(text), "domain"), F.lit("thought")).alias("domain"),
-        number("future_commitment").alias("future_commitment"),
-        C.text_or_empty(simple_value(F.col(text), "commitment_intent")).alias("intent"),
-    )
+
+    def fields(lines: Column) -> Column:
+        number = lambda key: F.greatest(
+            F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_last_value(lines, key).try_cast("double"), F.lit(0.0)))
+        )
+        return F.struct(
+            number("significance").alias("significance"),
+            F.coalesce(_last_value(lines, "domain"), F.lit("thought")).alias("domain"),
+            number("future_commitment").alias("future_commitment"),
+            C.text_or_empty(_last_value(lines, "commitment_intent")).alias("intent"),
+        )
+
+    out = texts.select("id", C.bind(_lines(F.col(text)), fields).alias("f")).select("id", "f.*")
     strong = (F.col("future_commitment") >= commitment) & (F.octet_length("intent") >= min_bytes)
     ask = F.concat(F.lit('Should I create a task for: "'), "intent", F.lit('"?'))
     return out.withColumn("proposal", F.when(strong, ask))

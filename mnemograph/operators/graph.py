@@ -6,62 +6,86 @@ The graph is one node table: entities and reified relationships, the latter with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemograph.functions import columns as C
 from mnemograph.operators.skew import spread_join, top_rows
-from mnemograph.operators.vector import prune
+from mnemograph.operators.vector import prune_weighed, weigh
 from mnemograph.session import stage
 
 NOISE = ["log", "response"]
 
 
-def edges(nodes: DataFrame) -> DataFrame:
-    """All edges as (node_id, other, kind, source, target, predicate), seen from ``node_id``.
+EDGE = "struct<node_id:string,other:string,kind:string,source:string,target:string,predicate:string,pos:int>"
 
-    Kinds: object (own triple), subject (reachable, but no edge), incoming_triple,
-    incoming_link, entity_link. ``weight`` is that of the far row for incoming kinds;
-    ``pos`` is the place in the link array.
-    """
-    have = lambda c: F.coalesce(c, F.lit("")) != ""
-    none = F.lit(None).cast("string")
-
-    def shape(df, node, other, kind, source, target, predicate, pos=F.lit(0)):
-        return df.select(
-            node.alias("node_id"), other.alias("other"), F.lit(kind).alias("kind"), source.alias("source"),
-            target.alias("target"), predicate.alias("predicate"), F.col("weight"), pos.alias("pos"),
-        )
 
+def _own() -> Column:
+    """Edges a row gives itself: its object, its subject (reachable, no edge), its links."""
     i, s, o, p = (F.col(c) for c in ("id", "subject_id", "object_id", "predicate"))
-    triples = nodes.filter(have(o))
-    links = nodes.select("id", "weight", F.posexplode("entity_links").alias("pos", "link")).filter(have(F.col("link")))
-    link = F.col("link")
-    return (
-        shape(triples, i, o, "object", i, o, p)
-        .unionByName(shape(nodes.filter(have(s)), i, s, "subject", none, none, none))
-        .unionByName(shape(triples, o, i, "incoming_triple", i, o, p))
-        .unionByName(shape(links, link, i, "incoming_link", i, link, F.lit("incoming_link")))
-        .unionByName(shape(links, i, link, "entity_link", i, link, F.lit("entity_link"), F.col("pos")))
+    return F.concat(
+        _if_set(o, _edge(i, o, "object", i, o, p)),
+        _if_set(s, _edge(i, s, "subject", None, None, None)),
+        F.transform(_links(), lambda x, n: _edge(i, x, "entity_link", i, x, F.lit("entity_link"), n)),
+    )
+
+
+def _incoming() -> Column:
+    """Edges a row gives to others: to its object and to every row it links to."""
+    i, o, p = (F.col(c) for c in ("id", "object_id", "predicate"))
+    return F.concat(
+        _if_set(o, _edge(o, i, "incoming_triple", i, o, p)),
+        F.transform(_links(), lambda x: _edge(x, i, "incoming_link", i, x, F.lit("incoming_link"))),
+    )
+
+
+def _links() -> Column:
+    return F.filter(F.coalesce("entity_links", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def _edge(node_id, other, kind, source, target, predicate, pos=None) -> Column:
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
+    return F.struct(
+        node_id.alias("node_id"), other.alias("other"), F.lit(kind).alias("kind"), text(source).alias("source"),
+        text(target).alias("target"), text(predicate).alias("predicate"),
+        (F.lit(0) if pos is None else pos).cast("int").alias("pos"),
     )
 
 
-def capped_edges(nodes: DataFrame, per_kind: int) -> DataFrame:
+def _if_set(key: Column, edge: Column) -> Column:
+    return F.when(F.coalesce(key, F.lit("")) != "", F.array(edge)).otherwise(F.array().cast(f"array<{EDGE}>"))
+
+
+def _exploded(nodes: DataFrame, part, at: DataFrame | None) -> DataFrame:
+    rows = nodes.select(F.coalesce("weight", F.lit(0.0)).alias("weight"), F.explode(part()).alias("e"))
+    rows = rows.select("e.*", "weight")
+    return rows if at is None else rows.join(at.select("node_id"), "node_id", "left_semi")
+
+
+def edges(nodes: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """All edges as (node_id, other, kind, source, target, predicate, pos, weight), seen from ``node_id``.
+
+    Kinds: object (own triple), subject (reachable, but no edge), incoming_triple,
+    incoming_link, entity_link. ``weight`` is that of the row an edge comes from; ``pos``
+    is the place in the link array. ``at`` (node_id) restricts the result to those nodes.
+    """
+    return _exploded(nodes, _own, at).unionByName(_exploded(nodes, _incoming, at))
+
+
+def capped_edges(nodes: DataFrame, per_kind: int, at: DataFrame | None = None) -> DataFrame:
     """Edges a traversal sees: at most ``per_kind`` incoming ones of each kind per node.
 
-    The cap does not depend on the query, so it is applied once for all of them.
-    Links of a node beyond the cap give no edge but stay reachable.
+    The cap does not depend on the query, so it is applied once for all of them, and in
+    each task before the shuffle. Links of a node beyond the cap give no edge but stay
+    reachable.
     """
-    all_edges = edges(nodes).withColumn("order", F.when(F.col("kind") == "entity_link", F.col("pos")).otherwise(0))
-    weight = F.when(F.col("kind") == "entity_link", 0.0).otherwise(F.coalesce("weight", F.lit(0.0)))
-    incoming = F.col("kind").isin("incoming_triple", "incoming_link")
     capped = top_rows(
-        all_edges.filter(incoming).withColumn("weight", weight), ["node_id", "kind"], [F.desc("weight"), F.asc("other")], per_kind, "n"
-    ).drop("n", "weight", "pos", "order").withColumn("is_edge", F.lit(True))
-    own = all_edges.filter(~incoming).withColumn(
+        _exploded(nodes, _incoming, at), ["node_id", "kind"], [F.desc("weight"), F.asc("other")], per_kind, "n"
+    ).drop("n").withColumn("is_edge", F.lit(True))
+    own = _exploded(nodes, _own, at).withColumn(
         "is_edge",
         (F.col("kind") == "object") | ((F.col("kind") == "entity_link") & (F.col("pos") < per_kind)),
     )
-    return capped.unionByName(own.drop("weight", "pos", "order"))
+    return capped.unionByName(own).drop("weight", "pos", "kind")
 
 
 def expand(
@@ -75,30 +99,23 @@ def expand(
 
     ``seeds`` holds (qid, id), ``query_vectors`` (qid, embedding). Each hop follows the
     capped edges of the frontier, marks everything found as visited, and continues
-    from the ``per_kind`` best new nodes per query. Returns nodes (qid, id, hop) and
-    edges (qid, source, target, predicate, hop).
+    from the ``per_kind`` best new nodes per query. Only edges of frontier nodes are
+    read. Returns nodes (qid, id, hop) and edges (qid, source, target, predicate, hop).
     """
-    hops = max(hops, 1)
-    adjacency = stage(capped_edges(nodes, per_kind), "adjacency")
-    known = nodes.select("id", "embedding", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    visited = seeds.select("qid", "id").distinct()
+    frontier = stage(seeds.select("qid", "id").distinct(), "seeds")
+    visited = frontier
     found = visited.join(nodes.select("id"), "id", "left_semi").select("qid", "id", F.lit(0).alias("hop"))
-    frontier = visited
     walked = None
-    for hop in range(1, hops + 1):
-        last = hop == hops
-        steps = stage(
-            spread_join(frontier.select("qid", F.col("id").alias("node_id")), adjacency, ["node_id"]), "steps"
-        )
+    for hop in range(1, max(hops, 1) + 1):
+        start = frontier.select("qid", F.col("id").alias("node_id"))
+        around = capped_edges(nodes, per_kind, start)
+        steps = stage(spread_join(start, around, ["node_id"]), "steps")
         here = steps.filter("is_edge").select("qid", "source", "target", "predicate", F.lit(hop).alias("hop"))
         walked = here if walked is None else walked.unionByName(here)
         fresh = steps.select("qid", F.col("other").alias("id")).distinct().join(visited, ["qid", "id"], "left_anti")
-        fresh = stage(fresh, "fresh")
-        visited = visited.unionByName(fresh)
-        candidates = spread_join(fresh, known, ["id"])
-        frontier = prune(candidates, query_vectors, per_kind).select("qid", "id")
-        if not last:
-            frontier = stage(frontier, "frontier")
+        candidates = weigh(fresh, nodes, query_vectors, per_kind, steps.count())
+        visited = visited.unionByName(candidates.select("qid", "id"))
+        frontier = prune_weighed(candidates, nodes, query_vectors, per_kind)
         found = found.unionByName(frontier.select("qid", "id", F.lit(hop).alias("hop")))
     first_seen = walked.groupBy("qid", "source", "predicate", "target").agg(F.min("hop").alias("hop"))
     return found, first_seen

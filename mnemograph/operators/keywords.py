@@ -47,8 +47,9 @@ def search_many(queries: DataFrame, docs: DataFrame, k: int, broadcast_sets: int
     )
     sets = keyed.select("set_key").distinct()
     docs = docs.select("id", F.col("ts").cast("string").alias("ts"), F.lower("text").alias("text"))
-    if sets.limit(broadcast_sets + 1).count() <= broadcast_sets:
-        hits = _scan_with_sets(sets, docs, k)
+    few = [r[0] for r in sets.limit(broadcast_sets + 1).collect()]
+    if len(few) <= broadcast_sets:
+        hits = _scan_with_sets(few, docs, k)
     else:
         hits = _by_vocabulary(sets, docs)
     best = top_rows(hits, ["set_key"], [F.desc("ts"), F.asc("id")], k)
@@ -68,9 +69,8 @@ def _finder(words: list[str]):
     return lambda text: {i for _, i in automaton.iter(text)}
 
 
-def _scan_with_sets(sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Word sets are few (checked): one pass over the text, top-k kept per task."""
-    keys = [r[0] for r in sets.collect()]
+def _scan_with_sets(keys: list[str], docs: DataFrame, k: int) -> DataFrame:
+    """Word sets are few (checked by the caller): one pass over the text, top-k kept per task."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:

@@ -16,15 +16,19 @@ def spread_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Equi join whose hot left keys are spread over ``salts`` tasks.
 
     A key counts as hot when it holds at least ``hot_rows`` rows and at least
     1/200 of the table, so there are never more than 200 of them and the list is
     safe to broadcast. Only the right rows of those keys are repeated. ``how`` is
-    one of inner, left, left_semi, left_anti. Below ``hot_rows`` rows the plain
+    one of inner, left, left_semi, left_anti. ``at_most`` is an upper bound of the left
+    rows when the caller knows one; it saves the count. Below ``hot_rows`` rows the plain
     join is used.
     """
+    if at_most is not None and at_most < hot_rows:
+        return left.join(right, keys, how)
     n = left.count()
     if n < hot_rows:
         return left.join(right, keys, how)

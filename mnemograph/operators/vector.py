@@ -22,7 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from mnemograph.operators.skew import top_rows
+from mnemograph.operators.skew import spread_join, top_rows
+from mnemograph.session import stage
 
 SCALE = 1_000_000
 BROADCAST_BYTES = 64 << 20
@@ -276,26 +277,76 @@ def nearest_one_of_type(queries: DataFrame, corpus: DataFrame, max_distance: flo
     return nearest_one(queries, corpus, max_distance, same="node_type", **opts)
 
 
-def prune(candidates: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
-    """Keep at most ``k`` of ``candidates(qid, id, embedding, weight)`` per query.
+def unit(v: Column) -> Column:
+    """Vector scaled to length one, as doubles; null when it has no length."""
+    squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return F.when(squares > 0, F.transform(v, lambda x: x.cast("double") / F.sqrt(squares)))
 
-    By cosine to the query vector, unless the query has no vector or any of its
-    candidates lacks one: then by (weight desc, id).
+
+def weigh(
+    candidates: DataFrame, nodes: DataFrame, query_vectors: DataFrame, k: int, at_most: int | None = None
+) -> DataFrame:
+    """Known ``candidates(qid, id)`` with their weight and the ``way`` their query is pruned.
+
+    Ways: all (at most ``k`` candidates), vector (the query and every candidate have one),
+    weight (otherwise). The result is staged; it holds no vectors.
     """
-    complete = candidates.groupBy("qid").agg(
-        F.min(F.when(F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0, 1).otherwise(0)).alias("all_vec")
+    have = F.coalesce(F.size("embedding"), F.lit(0)) > 0
+    light = spread_join(
+        candidates.select("qid", "id"),
+        nodes.select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"), have.alias("has_vector")),
+        ["id"],
+        at_most=at_most,
+    )
+    counts = light.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.col("has_vector").cast("int")).alias("all_vectors")
     )
-    q = query_vectors.select("qid", F.col("embedding").alias("_qvec"))
+    with_query = counts.join(
+        query_vectors.filter(have).select("qid", F.lit(1).alias("query_vector")).distinct(), "qid", "left"
+    ).select(
+        "qid",
+        F.when(F.col("n") <= k, "all")
+        .when((F.col("all_vectors") == 1) & F.col("query_vector").isNotNull(), "vector")
+        .otherwise("weight")
+        .alias("way"),
+    )
+    return stage(light.drop("has_vector").join(with_query, "qid"), "candidates")
+
+
+def prune_weighed(candidates: DataFrame, nodes: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
+    """The (qid, id) of ``weigh``'s result that stay: at most ``k`` per query.
+
+    Vectors are only fetched for the queries that need them.
+    """
+    whole = candidates.filter("way = 'all'").select("qid", "id")
+    if candidates.filter("way <> 'all'").isEmpty():
+        return whole
+    by_weight = top_rows(
+        candidates.filter("way = 'weight'"), ["qid"], [F.desc("weight"), F.asc("id")], k
+    ).select("qid", "id")
     scored = (
-        candidates.join(complete, "qid")
-        .join(q, "qid", "left")
+        spread_join(candidates.filter("way = 'vector'"), nodes.select("id", unit(F.col("embedding")).alias("_v")), ["id"])
+        .join(query_vectors.select("qid", unit(F.col("embedding")).alias("_q")), "qid")
         .withColumn(
             "_sim",
-            F.when(
-                (F.col("all_vec") == 1) & F.col("_qvec").isNotNull(),
-                F.round(cosine(F.col("_qvec"), F.col("embedding")), 6),
-            ).otherwise(0.0),
+            F.coalesce(
+                F.round(
+                    F.aggregate(F.zip_with("_v", "_q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x), 6
+                ),
+                F.lit(0.0),
+            ),
         )
+        .select("qid", "id", "weight", "_sim")
     )
-    kept = top_rows(scored, ["qid"], [F.desc("_sim"), F.desc("weight"), F.asc("id")], k, "_rank")
-    return kept.drop("all_vec", "_qvec", "_sim", "_rank")
+    best = top_rows(scored, ["qid"], [F.desc("_sim"), F.desc("weight"), F.asc("id")], k).select("qid", "id")
+    return stage(whole.unionByName(by_weight).unionByName(best), "frontier")
+
+
+def prune(candidates: DataFrame, nodes: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
+    """Keep at most ``k`` of ``candidates(qid, id)`` per query: (qid, id).
+
+    ``nodes`` holds (id, weight, embedding); candidates it does not know are dropped.
+    Queries with more than ``k`` candidates keep the best by cosine to the query vector,
+    or by (weight desc, id) when the query has no vector or one of its candidates lacks one.
+    """
+    return prune_weighed(weigh(candidates, nodes, query_vectors, k), nodes, query_vectors, k)

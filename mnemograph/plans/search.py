@@ -39,6 +39,7 @@ def hybrid_search(
     after fusion, then ``limit``. ``orders`` (qid, indices) is a model's order of the
     2 x limit rows, if there is one.
     """
+    queries = stage(queries.select("qid", "query", "embedding"), "queries")
     by_vector = nearest(queries, significant(nodes), 5 * limit)
     by_words = keyword_hits(queries, nodes, 5 * limit)
     fused = rrf_fuse([by_vector, by_words], 2 * limit)

@@ -29,6 +29,9 @@ def shifted(unit: str, amount: str, base: str = EPOCH):
     return F.expr(f"timestampadd({unit}, cast({amount} as int), timestamp_ntz'{base}')")
 
 
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
 class Views:
     """Lazy views for one folder of parquet tables."""
 
@@ -37,7 +40,11 @@ class Views:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One driver table; its schema is read from the footer once per process."""
+        key, path = (self.folder, name), f"{self.folder}/{name}.parquet"
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
     @cached_property
     def n_vectors(self) -> int:
