@@ -74,13 +74,14 @@ def ingest_stream(v: Views):
        WHERE n = total OR (n <= 20 AND NOT (n = 1 AND total > 20))""",
 )
 def hot_edges_stream(v: Views):
-    """All events of a user as edges of equal score: the first twenty stay, the last one holds slot 1."""
+    """All events of a user as edges: the first twenty stay, the last one holds slot 1."""
     edges = stream(v, "events").select(
         F.concat(F.lit("user-"), F.col("user_id") % 40).alias("object_id"), F.concat(F.lit("ev-"), "event_id").alias("id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("seen_at"), F.lit(1.0).alias("score"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("seen_at"),
     )
-    table = jobs.latest_slots(jobs.hot_edges_stream(edges), "hot-edges")
-    return table.select("object_id", F.col("slot").cast("bigint").alias("slot"), "id")
+    job = jobs.HotEdgesJob(v.spark)
+    jobs.run_batches(edges, "hot-edges", job.handle)
+    return job.state().select("object_id", F.col("slot").cast("bigint").alias("slot"), "id")
 
 
 @query("question_flow")

@@ -41,14 +41,10 @@ def spread_join(
     )
     salted = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))).otherwise(0),
-    )
-    repeated = right.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ).cast("bigint"),
+        F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))).otherwise(0).cast("int"),
     )
+    salts_of = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts_of))
     return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
 
 

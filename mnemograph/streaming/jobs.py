@@ -16,7 +16,8 @@ from mnemograph import schema as V
 from mnemograph.functions import columns as C, outputs
 from mnemograph.operators import merge
 from mnemograph.plans.reports import should_skip
-from mnemograph.session import new_path
+from mnemograph.operators.skew import top_rows
+from mnemograph.session import new_path, stage
 
 
 def read_files(spark: SparkSession, folder: str, like: DataFrame, pattern: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -141,9 +142,12 @@ class IngestJob:
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` holds (id, ts, text, owner)."""
         texts = batch.select("id", "ts", "text", "owner")
-        triples = outputs.canonical_triples(outputs.parse_triples(texts)).select(
-            F.col("id").alias("entry_id"), "ts", "predicate",
-            *[C.trim_ws(F.col(c)).alias(c) for c in ("subject", "object")], "subject_type", "object_type",
+        triples = stage(
+            outputs.canonical_triples(outputs.parse_triples(texts)).select(
+                F.col("id").alias("entry_id"), "ts", "predicate",
+                *[C.trim_ws(F.col(c)).alias(c) for c in ("subject", "object")], "subject_type", "object_type",
+            ),
+            "triples",
         )
         ends = triples.select(
             "entry_id", "ts", F.explode(F.array(
@@ -153,7 +157,7 @@ class IngestJob:
         ).select("entry_id", "ts", "e.*")
         old = self.table("nodes")
         ids = merge.ensure_nodes(ends, old.select("id", "node_type", F.col("name").alias("content")))
-        ids = ids.filter(F.col("id").isNotNull()).select("name", "node_type", "id")
+        ids = stage(ids.filter(F.col("id").isNotNull()).select("name", "node_type", "id"), "ids")
         named = ends.join(ids, ["name", "node_type"]).select(
             "id", "name", "node_type", F.lit(V.WEIGHTS["entity"]).alias("weight"), "ts"
         )
@@ -167,10 +171,13 @@ class IngestJob:
         side = lambda end: ids.select(
             F.col("name").alias(end), F.col("node_type").alias(f"{end}_type"), F.col("id").alias(f"{end}_id")
         )
-        observed = triples.join(side("subject"), ["subject", "subject_type"]).join(side("object"), ["object", "object_type"])
+        observed = stage(
+            triples.join(side("subject"), ["subject", "subject_type"]).join(side("object"), ["object", "object_type"])
+            .select("subject_id", "predicate", "object_id", "entry_id", "ts"),
+            "observed",
+        )
         relations, evidence = merge.upsert_relationships(
-            observed.select("subject_id", "predicate", "object_id", "entry_id", "ts"),
-            self.table("relationships"), self.table("evidence"), F.lit(None).cast("timestamp_ntz"),
+            observed, self.table("relationships"), self.table("evidence"), F.lit(None).cast("timestamp_ntz"),
         )
         rel_id = C.relationship_id(F.col("subject_id"), F.col("predicate"), F.col("object_id"))
         back = observed.select(
@@ -195,36 +202,90 @@ class IngestJob:
         self.version = batch_id
 
 
-def hot_edges_stream(relationships: DataFrame, slots: int = V.HOT_EDGE_SLOTS) -> DataFrame:
-    """Bounded cache per object with slot eviction: (object_id, slot, id), in update mode.
+class HotEdgesJob:
+    """Bounded cache of relationship ids per object, kept by slot: (object_id, slot, id, score).
+
+    Rows hold (object_id, id, seen_at). An id that is present is refreshed to score 1. New
+    ids, by time, take the free slots, then the slots scored below 1 from the lowest up;
+    when every slot scores 1, each further id overwrites slot 1, so the last one stays
+    there. Only the first ``slots`` new ids and the last row of an object can matter: a
+    batch is cut to those in each task before the shuffle, however many rows one object has.
 
-    Rows hold (object_id, id, seen_at, score). A free slot is appended to; in a full cache
-    the first slot with the lowest score is overwritten. An id that is present keeps its
-    slot. State is at most ``slots`` ids per object and rows arrive in chunks.
+    Every batch writes the objects it touched; ``state`` reads the latest of each.
     """
 
-    def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, scores = (list(x) for x in state.get) if state.exists else ([], [])
-        for chunk in chunks:
-            for row in chunk.sort_values(["seen_at", "id"]).itertuples():
-                if row.id in ids:
-                    scores[ids.index(row.id)] = row.score
-                elif len(ids) < slots:
-                    ids.append(row.id)
-                    scores.append(row.score)
-                else:
-                    at = scores.index(min(scores))
-                    ids[at], scores[at] = row.id, row.score
-        state.update((ids, scores))
-        yield pd.DataFrame({"object_id": key[0], "slot": range(1, len(ids) + 1), "id": ids})
-
-    return relationships.groupBy("object_id").applyInPandasWithState(
-        update,
-        "object_id string, slot int, id string",
-        "ids array<string>, scores array<double>",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    STATE = "object_id string, slot int, id string, score double"
+
+    def __init__(self, spark: SparkSession, root: str | None = None, slots: int = V.HOT_EDGE_SLOTS, compact_every: int = 50):
+        self.spark, self.slots, self.compact_every = spark, slots, compact_every
+        self.root = root or new_path(spark, "hot-edges")
+        self.base: str | None = None
+        self.parts: dict[int, str] = {}
+
+    def seed(self, state: DataFrame) -> None:
+        self.base = f"{self.root}/base-seed"
+        state.select("object_id", F.col("slot").cast("int"), "id", "score").write.parquet(self.base)
+
+    def state(self, before: int | None = None) -> DataFrame:
+        paths = [(-1, self.base)] if self.base else []
+        paths += [(n, p) for n, p in sorted(self.parts.items()) if before is None or n < before]
+        if not paths:
+            return self.spark.createDataFrame([], self.STATE)
+        frames = [self.spark.read.schema(self.STATE).parquet(p).withColumn("batch", F.lit(n)) for n, p in paths]
+        rows = frames[0]
+        for frame in frames[1:]:
+            rows = rows.unionByName(frame)
+        last = rows.groupBy("object_id").agg(F.max("batch").alias("batch"))
+        return rows.join(last, ["object_id", "batch"], "left_semi").drop("batch")
+
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        seen = stage(
+            batch.groupBy("object_id", "id").agg(F.min("seen_at").alias("first_at"), F.max("seen_at").alias("last_at")),
+            "seen",
+        )
+        old = self.state(before=batch_id).join(seen.select("object_id").distinct(), "object_id", "left_semi")
+        again = seen.select("object_id", "id", F.lit(1.0).alias("fresh"))
+        old = stage(
+            old.join(again, ["object_id", "id"], "left")
+            .select("object_id", "slot", "id", F.coalesce("fresh", "score").alias("score")),
+            "cache",
+        )
+        fresh = seen.join(old.select("object_id", "id"), ["object_id", "id"], "left_anti")
+        ranked = top_rows(fresh, ["object_id"], [F.asc("first_at"), F.asc("id")], self.slots, "r")
+        low = F.array_sort(F.collect_list(F.when(F.col("score") < 1.0, F.struct("score", "slot"))))
+        used = old.groupBy("object_id").agg(F.max("slot").alias("n"), low.alias("low"))
+        counts = fresh.groupBy("object_id").agg(F.count(F.lit(1)).alias("new")).join(used, "object_id", "full")
+        n = F.coalesce("n", F.lit(0))
+        free = F.when(n < self.slots, F.sequence(n + 1, F.lit(self.slots))).otherwise(F.array().cast("array<int>"))
+        targets = counts.select(
+            "object_id",
+            F.concat(free, F.coalesce(F.col("low.slot"), F.array().cast("array<int>"))).alias("targets"),
+            F.coalesce("new", F.lit(0)).alias("new"),
+        )
+        placed = ranked.join(targets, "object_id").filter(F.col("r") <= F.size("targets")).select(
+            "object_id", F.try_element_at("targets", F.col("r")).alias("slot"), "id", F.lit(1.0).alias("score")
+        )
+        kept = old.join(placed.select("object_id", "slot"), ["object_id", "slot"], "left_anti")
+        state = stage(kept.unionByName(placed.select(*kept.columns)), "placed")
+        full = targets.filter(F.col("new") > F.size("targets")).select("object_id")
+        others = seen.join(full, "object_id", "left_semi").join(
+            state.filter("slot > 1").select("object_id", "id"), ["object_id", "id"], "left_anti"
+        )
+        last = others.groupBy("object_id").agg(F.max_by("id", F.struct("last_at", "id")).alias("id")).select(
+            "object_id", F.lit(1).alias("slot"), "id", F.lit(1.0).alias("score")
+        )
+        out = state.join(last.select("object_id", "slot"), ["object_id", "slot"], "left_anti").select(*last.columns).unionByName(last)
+        path = f"{self.root}/batch={batch_id}"
+        out.write.mode("overwrite").parquet(path)
+        self.parts[batch_id] = path
+        if len(self.parts) > self.compact_every:
+            self.compact(batch_id)
+
+    def compact(self, batch_id: int) -> None:
+        """Fold all batches before ``batch_id`` into one table."""
+        base = f"{self.root}/base-{batch_id}"
+        self.state(before=batch_id).write.mode("overwrite").parquet(base)
+        self.base, self.parts = base, {batch_id: self.parts[batch_id]}
 
 
 def question_flow(events: DataFrame) -> DataFrame:
@@ -233,7 +294,8 @@ def question_flow(events: DataFrame) -> DataFrame:
     Events hold (client, at, kind, question_id, text, ask_count, last_asked) with kind
     'question' (a question becomes open) or 'message' (the client says something). A
     message answers or skips the active question; then the newest open question whose
-    backoff has passed is asked.
+    backoff has passed is asked. Rows of a client are taken in arrival order, those that
+    arrive together in time order. State is the client's open questions.
     """
 
     def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -274,19 +336,3 @@ def question_flow(events: DataFrame) -> DataFrame:
         GroupStateTimeout.NoTimeout,
     )
 
-
-def latest_slots(updates: DataFrame, label: str) -> DataFrame:
-    """Drain ``hot_edges_stream`` into a table that holds the last state of every object."""
-    spark = updates.sparkSession
-    path = new_path(spark, label)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    state = new_path(spark, f"{label}-state")
-    updates.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", state).trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    rows = spark.read.schema("object_id string, slot int, id string, batch int").parquet(path)
-    last = rows.groupBy("object_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["object_id", "batch"], "left_semi").drop("batch")
