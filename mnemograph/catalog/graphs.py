@@ -365,12 +365,12 @@ def entity_network(v: Views):
 
 @query(
     "project_timeline",
-    f"""WITH q AS (SELECT 'q-' || vec_id AS qid, ['ring', 'Widget', 'small', 'bolt'][vec_id % 4 + 1] AS name, embedding FROM embeddings),
+    f"""WITH q AS (SELECT 'q-' || vec_id AS qid, ['urgent', 'Customer#00000012', ' Medium ', 'bolt'][vec_id % 4 + 1] AS name, embedding FROM embeddings),
       h AS ({knn_sql(5, queries='q')}),
       p AS (SELECT qid, arg_min(h.id, rank) AS id FROM h JOIN v_nodes n ON n.id = h.id WHERE node_type IN ('project', 'goal') GROUP BY qid),
       f AS (SELECT q.qid, n.id, n.content, json_extract_string(n.metadata, '$.status') AS status FROM q LEFT JOIN p ON p.qid = q.qid LEFT JOIN v_nodes n ON n.id = p.id),
       act AS (SELECT q.name, a.id, a.ts, a.summary, row_number() OVER (PARTITION BY q.name ORDER BY a.ts DESC, a.id) AS rn
-              FROM (SELECT DISTINCT name FROM q) q JOIN v_analysed a ON a.id IN (SELECT id FROM v_entities e WHERE contains(lower(e.name), lower(q.name)))
+              FROM (SELECT DISTINCT name FROM q) q JOIN v_analysed a ON a.id IN (SELECT id FROM v_entities e WHERE contains(lower(e.name), trim(lower(q.name))))
               WHERE a.ts >= TIMESTAMP '1998-01-01' AND a.ts < TIMESTAMP '1998-07-01')
       SELECT qid, 'status' AS part, coalesce(id, '') AS id, '' AS day, CASE WHEN id IS NULL THEN 'Not found in knowledge' ELSE coalesce(status, 'Unknown') END AS text FROM f
       UNION ALL SELECT qid, 'briefing', coalesce(id, ''), '', coalesce(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '(No knowledge node for this project.)') FROM f
@@ -378,7 +378,7 @@ def entity_network(v: Views):
 )
 def project_timeline(v: Views):
     e = v.table("embeddings")
-    name = F.element_at(F.array(*map(F.lit, ["ring", "Widget", "small", "bolt"])), (F.col("vec_id") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ["urgent", "Customer#00000012", " Medium ", "bolt"])), (F.col("vec_id") % 4 + 1).cast("int"))
     queries = e.select(F.concat(F.lit("q-"), "vec_id").alias("qid"), name.alias("name"), "embedding")
     return search.project_timeline(queries, v.nodes, v.analysed, "1998-01-01", "1998-06-30")
 

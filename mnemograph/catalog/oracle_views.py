@@ -80,16 +80,17 @@ VIEWS = {
                o_orderkey % (SELECT count(*) FROM embeddings) AS vec_id
         FROM orders""",
     "v_entities": """
-        SELECT 'ord-' || o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS category, p_name AS name, p_type AS type,
-               l_linestatus AS status, 'ord-' || o_orderkey AS source_id
-        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""",
+        SELECT id, ts, category, unnest([name1, category]) AS name, unnest([type1, 'priority']) AS type,
+               unnest([status1, 'Planned']) AS status, id AS source_id
+        FROM (SELECT 'ord-' || o_orderkey AS id, o_orderdate AS ts, o_orderpriority AS category, c_name AS name1, c_mktsegment AS type1,
+                CASE o_orderstatus WHEN 'F' THEN 'Completed' ELSE 'In-Progress' END AS status1
+              FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 9 > 0)""",
     "v_analysed": """
-        SELECT 'ord-' || o_orderkey AS id, 'order placed, priority ' || o_orderpriority AS content, 'shop' AS source,
-               o_orderdate AS ts, tags, 'order of ' || len(tags) || ' brands' AS summary,
-               CASE WHEN tags IS NOT NULL THEN o_orderpriority END AS category
-        FROM orders LEFT JOIN (
-          SELECT l_orderkey, list(DISTINCT p_brand) AS tags FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
-        ON l_orderkey = o_orderkey""",
+        SELECT 'ord-' || o_orderkey AS id, 'order placed, priority ' || o_orderpriority AS content, 'shop' AS source, o_orderdate AS ts,
+               CASE WHEN o_orderkey % 9 > 0 THEN [c_mktsegment, o_orderstatus] END AS tags,
+               CASE WHEN o_orderkey % 9 > 0 THEN 'order for ' || c_mktsegment END AS summary,
+               CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS category
+        FROM orders JOIN customer ON c_custkey = o_custkey""",
     "v_model_text": r"""
         SELECT 'log-' || doc_id AS id, CASE WHEN doc_id % 5 > 0 THEN 'Owner ' || (doc_id % 5) ELSE '' END AS owner, w,
                TIMESTAMP '2024-01-01' + to_minutes(doc_id * 37) AS ts, doc_id,

@@ -210,10 +210,10 @@ def question_mentions(v: Views):
 @query(
     "project_mentions",
     """SELECT a.id, CAST(a.ts AS VARCHAR) AS ts, summary AS line FROM v_analysed a
-       WHERE a.id IN (SELECT id FROM v_entities WHERE contains(lower(name), 'widget'))""",
+       WHERE a.id IN (SELECT id FROM v_entities WHERE contains(lower(name), 'customer#00000012'))""",
 )
 def project_mentions(v: Views):
-    return joins.project_mentions(v.analysed, "Widget").withColumn("ts", F.col("ts").cast("string"))
+    return joins.project_mentions(v.analysed, "Customer#00000012").withColumn("ts", F.col("ts").cast("string"))
 
 
 @query(
@@ -308,10 +308,10 @@ def daily_summary(v: Views):
 @query(
     "entity_rollup",
     """SELECT name, type, status, source_id, strftime(max(ts), '%Y-%m-%d') AS entry_date FROM v_entities
-       WHERE contains(lower(name), 'r') AND status = 'O' AND category <> '' GROUP BY ALL""",
+       WHERE contains(lower(name), 'r#') AND status = 'Completed' AND category = '1-URGENT' GROUP BY 1, 2, 3, 4""",
 )
 def entity_rollup(v: Views):
-    return aggregates.entity_rollup(v.analysed, name_part="R", status="O")
+    return aggregates.entity_rollup(v.analysed, name_part="R#", status="Completed", category="1-URGENT")
 
 
 @query(

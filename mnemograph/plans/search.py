@@ -200,13 +200,9 @@ def project_timeline(
     )
     wanted = queries.select("qid", F.lower(C.trim_ws(F.col("name"))).alias("name"))
     pairs = _containing(named.select("entity").distinct(), wanted.select("name").distinct())
-    hits = (
-        wanted.join(pairs, "name")
-        .join(named.dropDuplicates(["id", "entity"]), "entity")
-        .select("qid", "id", "ts", "text")
-        .distinct()
-    )
-    newest = top_rows(hits, ["qid"], [F.desc("ts"), F.asc("id")], limit)
+    # the newest entries per name first, then per query: queries that share a name share them
+    hits = pairs.join(named.dropDuplicates(["id", "entity"]), "entity").select("name", "id", "ts", "text").distinct()
+    newest = top_rows(hits, ["name"], [F.desc("ts"), F.asc("id")], limit).join(wanted, "name")
     activity = newest.select(
         "qid", F.lit("activity").alias("part"), "id", F.col("ts").cast("date").cast("string").alias("day"), "text"
     )

@@ -248,44 +248,28 @@ class Views:
 
     @cached_property
     def analysed(self) -> DataFrame:
-        """Entries whose ``journal_analysis`` holds the line items of an order as entities."""
-        items = (
-            self.table("lineitem")
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-            .agg(
-                F.array_sort(
-                    F.collect_list(
-                        F.struct(
-                            F.col("p_name").alias("name"), F.col("p_type").alias("type"),
-                            F.col("l_linestatus").alias("status"),
-                        )
-                    )
-                ).alias("entities"),
-                F.array_sort(F.collect_set("p_brand")).alias("tags"),
-            )
+        """One entry per order; its ``journal_analysis`` names the customer and the priority as entities."""
+        o = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        raw = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "ongoing").otherwise("")
+        entity = lambda name, kind, status: F.struct(
+            F.col(name).alias("name"), kind.alias("type"), status.alias("status")
         )
-        return (
-            self.table("orders")
-            .join(items, "o_orderkey", "left")
-            .select(
-                F.concat(F.lit("ord-"), "o_orderkey").alias("id"),
-                F.concat(F.lit("order placed, priority "), "o_orderpriority").alias("content"),
-                F.lit("shop").alias("source"),
-                F.col("o_orderdate").alias("ts"),
-                F.when(
-                    F.col("tags").isNotNull(),
-                    F.to_json(
-                        F.struct(
-                            F.concat(F.lit("order of "), F.size("tags"), F.lit(" brands")).alias("summary"),
-                            F.lit("calm").alias("mood"),
-                            F.col("o_orderpriority").alias("category"),
-                            "tags",
-                            "entities",
-                        )
-                    ),
-                ).alias("journal_analysis"),
-            )
+        entities = F.array(
+            entity("c_name", F.col("c_mktsegment"), raw), entity("o_orderpriority", F.lit("priority"), F.lit("Scheduled"))
+        )
+        analysis = F.struct(
+            F.concat(F.lit("order for "), "c_mktsegment").alias("summary"),
+            F.lit("calm").alias("mood"),
+            F.col("o_orderpriority").alias("category"),
+            F.array("c_mktsegment", "o_orderstatus").alias("tags"),
+            entities.alias("entities"),
+        )
+        return o.select(
+            F.concat(F.lit("ord-"), "o_orderkey").alias("id"),
+            F.concat(F.lit("order placed, priority "), "o_orderpriority").alias("content"),
+            F.lit("shop").alias("source"),
+            F.col("o_orderdate").alias("ts"),
+            F.when(F.col("o_orderkey") % 9 > 0, F.to_json(analysis)).otherwise("{broken").alias("journal_analysis"),
         )
 
     @cached_property
