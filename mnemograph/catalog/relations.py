@@ -396,8 +396,8 @@ def tool_usage(v: Views):
 
 @query(
     "rank_in_list",
-    """SELECT qid, list, id, row_number() OVER (PARTITION BY qid, list ORDER BY score DESC, id) AS rank FROM (
-         SELECT user_id AS qid, event_type AS list, 'ev-' || event_id AS id, value AS score FROM events)""",
+    """SELECT * FROM (SELECT qid, list, id, row_number() OVER (PARTITION BY qid, list ORDER BY score DESC, id) AS rank FROM (
+         SELECT user_id AS qid, event_type AS list, 'ev-' || event_id AS id, value AS score FROM events)) WHERE rank <= 100""",
 )
 def rank_in_list(v: Views):
     hits = v.event_logs.select(F.col("owner").alias("qid"), F.col("source").alias("list"), "id", "score")

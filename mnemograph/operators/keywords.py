@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemograph.operators.skew import top_rows
 
 BROADCAST_SETS = 50_000
+BROADCAST_BYTES = 16 << 20
 HIT = "set_key string, id string, ts string"
 _SEP = "\x1f"
 
@@ -47,9 +48,9 @@ def search_many(queries: DataFrame, docs: DataFrame, k: int, broadcast_sets: int
     )
     sets = keyed.select("set_key").distinct()
     docs = docs.select("id", F.col("ts").cast("string").alias("ts"), F.lower("text").alias("text"))
-    few = [r[0] for r in sets.limit(broadcast_sets + 1).collect()]
-    if len(few) <= broadcast_sets:
-        hits = _scan_with_sets(few, docs, k)
+    n, size = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("set_key")), F.lit(0))).first()
+    if n <= broadcast_sets and size <= BROADCAST_BYTES:
+        hits = _scan_with_sets([r[0] for r in sets.collect()], docs, k)
     else:
         hits = _by_vocabulary(sets, docs)
     best = top_rows(hits, ["set_key"], [F.desc("ts"), F.asc("id")], k)

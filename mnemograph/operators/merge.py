@@ -118,14 +118,19 @@ def ensure_nodes(mentions: DataFrame, nodes: DataFrame, embeddings: DataFrame |
 
     In order: nearest node of the same type within 0.15 (``embeddings`` gives
     (name, embedding); skipped without it), the hash id of type and name, a node of any
-    type with that name, a new node. A given ``entity_`` id that does not exist is an
+    type with that name, a new node. Mentions of one new name share the node of the
+    first of them, whatever their types. A given ``entity_`` id that does not exist is an
     error. Returns distinct (name, node_type, id, how, error).
     """
     clean = C.trim_ws(F.col("name"))
+    at = F.col("ts") if "ts" in mentions.columns else F.lit(None).cast("timestamp_ntz")
     keys = (
-        mentions.select(clean.alias("name"), F.coalesce(F.nullif("node_type", F.lit("")), F.lit("person")).alias("node_type"))
+        mentions.select(
+            clean.alias("name"), F.coalesce(F.nullif("node_type", F.lit("")), F.lit("person")).alias("node_type"), at.alias("at")
+        )
         .filter(F.col("name") != "")
-        .distinct()
+        .groupBy("name", "node_type")
+        .agg(F.min("at").alias("at"))
         .withColumn("given", F.col("name").startswith("entity_"))
         .withColumn(
             "hash_id",
@@ -136,7 +141,9 @@ def ensure_nodes(mentions: DataFrame, nodes: DataFrame, embeddings: DataFrame |
     by_id = nodes.select(F.col("id").alias("hash_id"), F.lit(True).alias("has_id"))
     by_name = (
         nodes.filter(~F.col("node_type").isin("log", "relationship"))
-        .groupBy(F.lower(C.trim_ws(F.col("content"))).alias("name_key"))
+        .select("id", F.lower(C.trim_ws(F.col("content"))).alias("name_key"))
+        .join(keys.select("name_key").distinct(), "name_key", "left_semi")
+        .groupBy("name_key")
         .agg(F.min("id").alias("name_id"))
     )
     rows = keys.join(by_id, "hash_id", "left").join(by_name, "name_key", "left")
@@ -161,10 +168,17 @@ def ensure_nodes(mentions: DataFrame, nodes: DataFrame, embeddings: DataFrame |
     picked = (
         F.when(F.col("how") == "similar", F.col("near_id"))
         .when(F.col("how") == "name", F.col("name_id"))
+        .when(F.col("how") == "new", F.coalesce("first_id", "hash_id"))
         .when(F.col("how") != "missing", F.col("hash_id"))
     )
     error = F.when(F.col("how") == "missing", F.concat(F.lit("entity id not found: "), F.col("name")))
-    return rows.withColumn("how", how).select("name", "node_type", picked.alias("id"), "how", error.alias("error"))
+    rows = rows.withColumn("how", how)
+    firsts = rows.filter(F.col("how") == "new").groupBy("name_key").agg(
+        F.min_by("hash_id", F.struct("at", "hash_id")).alias("first_id")
+    )
+    return rows.join(firsts, "name_key", "left").select(
+        "name", "node_type", picked.alias("id"), "how", error.alias("error")
+    )
 
 
 def merge_similar_new(resolved: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,10 +8,9 @@ from mnemograph.functions import columns as C
 from mnemograph.operators.skew import next_row, top_rows
 
 
-def rank_in_list(hits: DataFrame) -> DataFrame:
-    """1-based rank in each (qid, list), by (score desc, id)."""
-    w = Window.partitionBy("qid", "list").orderBy(F.desc("score"), F.asc("id"))
-    return hits.withColumn("rank", F.row_number().over(w))
+def rank_in_list(hits: DataFrame, most: int = 100) -> DataFrame:
+    """1-based rank of the first ``most`` rows in each (qid, list), by (score desc, id)."""
+    return top_rows(hits, ["qid", "list"], [F.desc("score"), F.asc("id")], most)
 
 
 def entry_line(ts: Column, source: Column, content: Column, image_url: Column, description: Column, entry_id: Column) -> Column:

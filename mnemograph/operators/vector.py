@@ -27,6 +27,7 @@ from mnemograph.session import stage
 
 SCALE = 1_000_000
 BROADCAST_BYTES = 64 << 20
+HELD_ROWS = 2_000_000  # top-k rows one task may hold for all queries
 CELL_ROWS = 8192
 HIT = "qid string, id string, score double"
 _HIT_ARROW = pa.schema([("qid", pa.string()), ("id", pa.string()), ("score", pa.float64())])
@@ -139,7 +140,7 @@ def nearest(
     queries = queries.filter(F.col("embedding").isNotNull()).select("qid", "embedding", kind.alias("bucket"))
     corpus = corpus.filter(F.col("embedding").isNotNull()).select("id", "embedding", kind.alias("bucket"))
     n, dim = _shape(queries)
-    if n * max(dim, 1) * 8 <= broadcast_bytes:
+    if n * max(dim, 1) * 8 <= broadcast_bytes and n * k <= HELD_ROWS:
         partial = _scan_with_queries(queries, corpus, k, _floor(min_score), dim, same is not None)
     else:
         partial = _meet_in_cells(queries, corpus, k, _floor(min_score), dim, cell_rows)

@@ -111,37 +111,54 @@ class CycleJob:
 
 
 class IngestJob:
-    """Model output of new entries into graph tables, one version per batch.
+    """Model output of new entries into graph tables, as one set of changes per batch.
 
     Batch: triples -> node ids -> relationships and evidence -> links from both ends and
-    the entry -> proposals. Ids are hashes and merges are idempotent, so a replayed batch
-    changes nothing. A failure in the graph part fails the batch and it is retried; a
-    failure in the proposals is recorded and does not.
+    the entry -> proposals. A batch writes only the rows it adds or changes; ``table``
+    reads the latest version of each row, and ``compact`` folds the changes together.
+    Ids are hashes and merges are idempotent, so a replayed batch changes nothing. A
+    failure in the graph part fails the batch and it is retried; a failure in the
+    proposals is recorded and does not.
     """
 
-    NODES = "id string, name string, node_type string, weight double, ts timestamp_ntz"
-    RELATIONS = "id string, subject_id string, predicate string, object_id string, ts timestamp_ntz, content string, weight double"
-    LINKS = "id string, target_id string"
-    PROPOSALS = "id string, question string, context string"
+    SCHEMAS = {
+        "nodes": "id string, name string, node_type string, weight double, ts timestamp_ntz",
+        "relationships": "id string, subject_id string, predicate string, object_id string, ts timestamp_ntz, content string, weight double",
+        "evidence": "id string, target_id string",
+        "links": "id string, target_id string",
+        "proposals": "id string, question string, context string",
+    }
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or new_path(spark, "ingest")
-        self.version = -1
+        self.batches: list[int] = []
         self.proposal_errors: list[str] = []
 
-    def table(self, name: str) -> DataFrame:
-        schema = {"nodes": self.NODES, "relationships": self.RELATIONS, "evidence": self.LINKS, "links": self.LINKS}[name]
-        if self.version < 0:
+    def _path(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/version={version}"
+
+    def table(self, name: str, before: int | None = None) -> DataFrame:
+        schema = self.SCHEMAS[name]
+        kept = [b for b in self.batches if before is None or b < before]
+        if not kept:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/version={self.version}")
+        rows = self.spark.read.schema(f"{schema}, version int").option("basePath", f"{self.root}/{name}").parquet(
+            *[self._path(name, b) for b in kept]
+        )
+        if name in ("nodes", "relationships"):
+            columns = [c for c in rows.columns if c not in ("id", "version")]
+            latest = rows.groupBy("id").agg(F.max_by(F.struct(*columns), "version").alias("r"))
+            return latest.select("id", "r.*")
+        return rows.drop("version")
 
     def proposals(self) -> DataFrame:
-        return self.spark.read.schema(self.PROPOSALS).parquet(f"{self.root}/proposals/*")
+        return self.table("proposals")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` holds (id, ts, text, owner)."""
         texts = batch.select("id", "ts", "text", "owner")
+        stored = lambda name: self.table(name, before=batch_id)
         triples = stage(
             outputs.canonical_triples(outputs.parse_triples(texts)).select(
                 F.col("id").alias("entry_id"), "ts", "predicate",
@@ -155,51 +172,68 @@ class IngestJob:
                 F.struct(F.col("object").alias("name"), F.col("object_type").alias("node_type")),
             )).alias("e"),
         ).select("entry_id", "ts", "e.*")
-        old = self.table("nodes")
-        ids = merge.ensure_nodes(ends, old.select("id", "node_type", F.col("name").alias("content")))
+        old_nodes = stored("nodes")
+        ids = merge.ensure_nodes(ends, old_nodes.select("id", "node_type", F.col("name").alias("content")))
         ids = stage(ids.filter(F.col("id").isNotNull()).select("name", "node_type", "id"), "ids")
-        named = ends.join(ids, ["name", "node_type"]).select(
-            "id", "name", "node_type", F.lit(V.WEIGHTS["entity"]).alias("weight"), "ts"
+        resolved = stage(ends.join(ids, ["name", "node_type"]).select("id", "name", "node_type", "ts", "entry_id"), "resolved")
+        side = lambda end: ids.select(
+            F.col("name").alias(end), F.col("node_type").alias(f"{end}_type"), F.col("id").alias(f"{end}_id")
+        )
+        observed = stage(
+            triples.join(side("subject"), ["subject", "subject_type"]).join(side("object"), ["object", "object_type"])
+            .select(
+                "subject_id", "predicate", "object_id", "entry_id", "ts",
+                C.relationship_id(F.col("subject_id"), F.col("predicate"), F.col("object_id")).alias("rel_id"),
+            ),
+            "observed",
         )
-        both = old.withColumn("old", F.lit(True)).unionByName(named.withColumn("old", F.lit(False)))
+
         # the stored name and type stay, the newest observation sets the time
+        touched = old_nodes.join(ids.select("id").distinct(), "id", "left_semi")
+        both = touched.withColumn("old", F.lit(True)).unionByName(
+            resolved.select("id", "name", "node_type", F.lit(V.WEIGHTS["entity"]).alias("weight"), "ts").withColumn("old", F.lit(False))
+        )
         first = F.struct((~F.col("old")).alias("new"), "ts", "name")
         nodes = both.groupBy("id").agg(
             F.min_by("name", first).alias("name"), F.min_by("node_type", first).alias("node_type"),
             F.max("weight").alias("weight"), F.max("ts").alias("ts"),
         )
-        side = lambda end: ids.select(
-            F.col("name").alias(end), F.col("node_type").alias(f"{end}_type"), F.col("id").alias(f"{end}_id")
+        known = stored("relationships").join(
+            observed.select(F.col("rel_id").alias("id")).distinct(), "id", "left_semi"
         )
-        observed = stage(
-            triples.join(side("subject"), ["subject", "subject_type"]).join(side("object"), ["object", "object_type"])
-            .select("subject_id", "predicate", "object_id", "entry_id", "ts"),
-            "observed",
+        no_links = self.spark.createDataFrame([], self.SCHEMAS["evidence"])
+        relations, rel_evidence = merge.upsert_relationships(
+            observed.drop("rel_id"), known, no_links, F.lit(None).cast("timestamp_ntz")
         )
-        relations, evidence = merge.upsert_relationships(
-            observed, self.table("relationships"), self.table("evidence"), F.lit(None).cast("timestamp_ntz"),
-        )
-        rel_id = C.relationship_id(F.col("subject_id"), F.col("predicate"), F.col("object_id"))
+        evidence = merge.link_union(rel_evidence, resolved.select("id", F.col("entry_id").alias("target_id")))
         back = observed.select(
-            F.explode(F.array("subject_id", "object_id", "entry_id")).alias("id"), rel_id.alias("target_id")
-        )
-        node_evidence = ends.join(ids, ["name", "node_type"]).select("id", F.col("entry_id").alias("target_id"))
-        new = {
+            F.explode(F.array("subject_id", "object_id", "entry_id")).alias("id"), F.col("rel_id").alias("target_id")
+        ).distinct()
+        pair = ["id", "target_id"]
+        changes = {
             "nodes": nodes.select("id", "name", "node_type", "weight", "ts"),
             "relationships": relations.select("id", "subject_id", "predicate", "object_id", "ts", "content", "weight"),
-            "evidence": merge.link_union(evidence, node_evidence),
-            "links": merge.link_union(self.table("links"), back),
+            "evidence": evidence.join(stored("evidence"), pair, "left_anti"),
+            "links": back.join(stored("links"), pair, "left_anti"),
         }
-        for name, df in new.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={batch_id}")
+        for name, df in changes.items():
+            df.write.mode("overwrite").parquet(self._path(name, batch_id))
         try:
             asked = outputs.evaluator_fields(texts).filter(F.col("proposal").isNotNull())
-            asked.select("id", F.col("proposal").alias("question"), F.col("intent").alias("context")).write.mode(
-                "overwrite"
-            ).parquet(f"{self.root}/proposals/version={batch_id}")
+            proposals = asked.select("id", F.col("proposal").alias("question"), F.col("intent").alias("context"))
+            proposals.write.mode("overwrite").parquet(self._path("proposals", batch_id))
         except Exception as exc:
             self.proposal_errors.append(f"{batch_id}: {exc}")
-        self.version = batch_id
+            self.spark.createDataFrame([], self.SCHEMAS["proposals"]).write.mode("overwrite").parquet(self._path("proposals", batch_id))
+        if batch_id not in self.batches:
+            self.batches.append(batch_id)
+
+    def compact(self) -> None:
+        """Fold all batches into the table version of the last one."""
+        last, root = max(self.batches), f"{self.root}/compact-{len(self.batches)}"
+        for name in self.SCHEMAS:
+            self.table(name).write.parquet(f"{root}/{name}/version={last}")
+        self.root, self.batches = root, [last]
 
 
 class HotEdgesJob:

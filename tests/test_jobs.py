@@ -82,6 +82,8 @@ def test_ingest_is_idempotent(spark):
     assert {r.predicate for r in job.table("relationships").collect()} == {"works_at", "mentors"}
     assert job.table("evidence").filter("target_id = 'e1'").count() == 2 + job.table("nodes").count()
     assert {r.context for r in job.proposals().collect()} == {"call the bank"}
+    job.compact()
+    assert first == {n: sorted(map(str, job.table(n).collect())) for n in first}
 
 
 def test_hot_edges_stream_matches_sequence(spark):

@@ -278,6 +278,9 @@ def test_ensure_nodes_order(spark):
     e = table(spark, [("Anne", [0.99, 0.05]), ("ROME", [0.0, 1.0]), ("New", [-1.0, 0.0])], "name string, embedding array<double>")
     got = {r.name: (r.id, r.how) for r in merge.ensure_nodes(m, nodes, e).collect()}
     assert got["Anne"] == ("entity_x", "similar") and got["ROME"] == ("k", "name") and got["entity_x"] == ("entity_x", "id")
+    twice = table(spark, [("Milan", "place", "2024-01-02"), ("milan", "person", "2024-01-01"), ("MILAN", "asset", "2024-01-03")], "name string, node_type string, t string")
+    ids = {r.id for r in merge.ensure_nodes(twice.withColumn("ts", F.col("t").cast(NTZ)), nodes).collect()}
+    assert ids == {spark.range(1).select(C.entity_id(F.lit("person"), F.lit("milan"))).first()[0]}
     assert got["entity_none"] == (None, "missing") and got["New"][1] == "new" and len(got) == 5
 
 
