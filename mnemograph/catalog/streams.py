@@ -55,7 +55,7 @@ def cycle_stream(v: Views):
 def ingest_stream(v: Views):
     texts = v.model_text.select("id", "ts", "text", "owner")
     path = new_path(v.spark, "ingest-in")
-    texts.repartition(2).write.parquet(path)
+    texts.repartition(2, "id").write.parquet(path)
     job = jobs.IngestJob(v.spark)
     jobs.run_batches(jobs.read_files(v.spark, path, texts, per_trigger=1), "ingest", job.handle)
     rows = lambda name, a, b: job.table(name).select(F.lit(name).alias("part"), F.col(a).alias("id"), F.col(b).alias("value"))

@@ -278,10 +278,17 @@ def nearest_one_of_type(queries: DataFrame, corpus: DataFrame, max_distance: flo
     return nearest_one(queries, corpus, max_distance, same="node_type", **opts)
 
 
-def unit(v: Column) -> Column:
-    """Vector scaled to length one, as doubles; null when it has no length."""
-    squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return F.when(squares > 0, F.transform(v, lambda x: x.cast("double") / F.sqrt(squares)))
+def _score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qid, id, weight, a, b) -> (qid, id, weight, sim) with the rounded cosine of a and b."""
+    for batch in batches:
+        a, b = batch.column("a"), batch.column("b")
+        sims = np.zeros(batch.num_rows)
+        for dim in pc.unique(pc.fill_null(pc.list_value_length(a), 0)).to_pylist():
+            sims += np.einsum("ij,ij->i", _unit_rows(a, dim), _unit_rows(b, dim)) if dim else 0.0
+        kept = [batch.column(n) for n in ("qid", "id", "weight")]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(np.rint(sims * SCALE) / SCALE)], names=["qid", "id", "weight", "sim"]
+        )
 
 
 def weigh(
@@ -325,21 +332,13 @@ def prune_weighed(candidates: DataFrame, nodes: DataFrame, query_vectors: DataFr
     by_weight = top_rows(
         candidates.filter("way = 'weight'"), ["qid"], [F.desc("weight"), F.asc("id")], k
     ).select("qid", "id")
-    scored = (
-        spread_join(candidates.filter("way = 'vector'"), nodes.select("id", unit(F.col("embedding")).alias("_v")), ["id"])
-        .join(query_vectors.select("qid", unit(F.col("embedding")).alias("_q")), "qid")
-        .withColumn(
-            "_sim",
-            F.coalesce(
-                F.round(
-                    F.aggregate(F.zip_with("_v", "_q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x), 6
-                ),
-                F.lit(0.0),
-            ),
-        )
-        .select("qid", "id", "weight", "_sim")
+    pairs = (
+        spread_join(candidates.filter("way = 'vector'"), nodes.select("id", F.col("embedding").alias("b")), ["id"])
+        .join(query_vectors.select("qid", F.col("embedding").alias("a")), "qid")
+        .select("qid", "id", F.col("weight").cast("double").alias("weight"), "a", "b")
     )
-    best = top_rows(scored, ["qid"], [F.desc("_sim"), F.desc("weight"), F.asc("id")], k).select("qid", "id")
+    scored = pairs.mapInArrow(_score_pairs, "qid string, id string, weight double, sim double")
+    best = top_rows(scored, ["qid"], [F.desc("sim"), F.desc("weight"), F.asc("id")], k).select("qid", "id")
     return stage(whole.unionByName(by_weight).unionByName(best), "frontier")
 
 
