@@ -4,7 +4,9 @@ A document is the set of its distinct word shingles. Each 64-bit shingle hash fa
 into one of ``BUCKETS`` buckets by its top bits; of the rest a bucket keeps the
 smallest value, stored as the count of its leading zeros and ``MANTISSA`` bits after
 the first one. Bands of registers give the candidates; a collision-corrected estimate
-from all registers, then the full sets, decide.
+from all registers, then the full sets, decide. Documents of crowded bands are banded
+again with more and longer bands, so that a large group of merely similar documents
+doesn't make a candidate of each of its pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +23,23 @@ from mnemograph.llm.components import components
 from mnemograph.llm.scratch import Scratch, only
 from mnemograph.llm.words import lowered_words, mix, shingle_sets, slices, text_bytes
 
-BUCKETS, BUCKET_BITS, MANTISSA, ROWS = 256, 8, 10, 8
+BUCKETS, BUCKET_BITS, MANTISSA = 256, 8, 10
+ROWS = 8
+FINE_BANDS, FINE_ROWS = 256, 20
+CROWDED, BLOCK = 32, 1024
 SET = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
 REST = 64 - BUCKET_BITS
 
 
+def compressed(hashes: np.ndarray) -> np.ndarray:
+    """16-bit codes of what hashes hold below the bucket bits: leading zeros and one, then ``MANTISSA`` bits."""
+    rest = hashes & np.uint64((1 << REST) - 1)
+    zeros = REST - np.frexp((rest >> np.uint64(REST - 53)).astype(np.float64))[1] - (REST - 53)
+    ones = np.minimum(zeros, REST - MANTISSA - 1).astype(np.uint64)
+    lead = ((rest << (ones + np.uint64(BUCKET_BITS))) >> np.uint64(REST - 1 - MANTISSA + BUCKET_BITS)) & np.uint64((1 << MANTISSA) - 1)
+    return (((zeros.astype(np.uint64) + np.uint64(1)) << np.uint64(MANTISSA)) | lead).astype(np.uint16)
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """Registers of sorted sets, one row of ``BUCKETS`` 16-bit codes each; 0 is an empty bucket."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -35,24 +49,42 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     cell = owner * BUCKETS + bucket
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]  # a set is sorted, so the smallest rest of a bucket comes first
-    rest = hashes[first] & np.uint64((1 << REST) - 1)
-    zeros = REST - np.frexp((rest >> np.uint64(REST - 53)).astype(np.float64))[1] - (REST - 53)
-    ones = np.minimum(zeros, REST - MANTISSA - 1).astype(np.uint64)
-    lead = ((rest << (ones + np.uint64(BUCKET_BITS))) >> np.uint64(REST - 1 - MANTISSA + BUCKET_BITS)) & np.uint64((1 << MANTISSA) - 1)
     out = np.zeros(len(sets) * BUCKETS, np.uint16)
-    out[cell[first]] = ((zeros.astype(np.uint64) + np.uint64(1)) << np.uint64(MANTISSA)) | lead
+    out[cell[first]] = compressed(hashes[first])
     return out.reshape(len(sets), BUCKETS)
 
 
-def band_keys(codes: np.ndarray) -> list[np.ndarray]:
-    """Keys of the bands of each row that hold a value; a key knows its band."""
-    bands = BUCKETS // ROWS
-    words = np.ascontiguousarray(codes).view(np.uint64).reshape(len(codes), bands, ROWS * 2 // 8)
-    key = np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(1)
-    for i in range(words.shape[2]):
-        key = mix(key * np.uint64(3) + words[:, :, i])
-    full = words.any(axis=2)
-    return [k[f].view(np.int64) for k, f in zip(key, full, strict=True)]
+def filled(codes: np.ndarray) -> np.ndarray:
+    """Registers whose empty buckets hold the value of the next full one, round the end; rows aren't empty."""
+    width = codes.shape[1]
+    at = np.where(codes > 0, np.arange(width), width)
+    following = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
+    return np.take_along_axis(codes, np.where(following < width, following, at.min(axis=1, keepdims=True)), axis=1)
+
+
+def band_keys(codes: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each band of ``rows`` registers, taken in a fixed random order; a key knows its band.
+
+    ``codes`` has no empty registers, so a band of two sets agrees with probability J ** rows.
+    """
+    order = np.random.default_rng(codes.shape[1]).permutation(codes.shape[1])
+    bands = codes.shape[1] // rows
+    spread = codes[:, order[: bands * rows]].reshape(len(codes), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(1), spread.shape[:2])
+    for i in range(rows):
+        key = mix(key * np.uint64(3) + spread[:, :, i])
+    return key.view(np.int64)
+
+
+def fine_codes(sets: list[np.ndarray]) -> np.ndarray:
+    """Registers of ``FINE_BANDS * FINE_ROWS`` buckets from hashes of their own; the sets aren't empty."""
+    width = FINE_BANDS * FINE_ROWS
+    out = np.zeros((len(sets), width), np.uint16)
+    for row, hashes in zip(out, sets, strict=True):
+        fresh = np.sort(mix(hashes + np.uint64(0x5851F42D4C957F2D)) & np.uint64((1 << REST) - 1))[::-1]
+        bucket = mix(fresh) % np.uint64(width)
+        row[bucket.astype(np.int64)] = compressed(fresh)  # of a bucket's values the last, smallest stays
+    return filled(out)
 
 
 @lru_cache(maxsize=4096)
@@ -82,40 +114,61 @@ def jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> t
     return np.maximum(same / np.maximum(used, 1) - part, 0) / (1 - part), used
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for a, b in slices(offsets):
-            own = offsets[a : b + 1] - offsets[a]
-            words, rows = lowered_words(data[offsets[a] : offsets[b]], own)
-            sets = shingle_sets(words, rows, b - a)
-            codes = registers(sets)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(a, b - a),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    *(
-                        pa.array(np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))
-                        for salt in (1, 2)
-                    ),
-                    pa.array([c.tobytes() for c in codes], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "registers"],
-            )
+def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs may be linked: their sizes allow it, and the estimate is at most five deviations too low."""
+    found, used = jaccard(a, b, n_a, n_b)
+    least = percent / 100
+    near = found >= least - 5 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+    return near & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = band_keys(_codes(batch.column("registers")))
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, a, b, sets in _shingled(batches):
+        sums = [np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (1, 2)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)),
-                pa.array(np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), [len(k) for k in keys])),
+                batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums),
+                pa.array([c.tobytes() for c in registers(sets)], pa.binary()),
             ],
-            names=["key", "rep"],
+            names=["doc_id", "n_shingles", "set_a", "set_b", "registers"],
         )
 
 
+def _keyed(keys: np.ndarray, reps: pa.Array) -> pa.RecordBatch:
+    owners = np.repeat(reps.to_numpy(), keys.shape[1]) if len(keys) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(owners)], names=["key", "rep"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, len(batch), 2000):
+            part = batch.slice(a, 2000)
+            yield _keyed(band_keys(filled(_codes(part.column("registers"))), ROWS), part.column("rep"))
+
+
+def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, a, b, sets in _shingled(batches, 1 << 19):
+        yield _keyed(band_keys(fine_codes(sets), FINE_ROWS), batch.column("doc_id").slice(a, b - a))
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, a, b, sets in _shingled(batches):
+        hashes = pa.array([s.tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), hashes], names=["rep", "hashes"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, int, int, list[np.ndarray]]]:
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        for a, b in slices(offsets, limit):
+            yield batch, a, b, shingle_sets(*lowered_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a)
+
+
 def _codes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BUCKETS)
 
@@ -126,11 +179,7 @@ def _estimate(percent: int):
             if not len(batch):
                 continue
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            found, used = jaccard(_codes(batch.column("reg_a")), _codes(batch.column("reg_b")), n_a, n_b)
-            least = percent / 100
-            spread = np.sqrt(least * (1 - least) / np.maximum(used, 1))
-            near = found >= least - 5 * spread
-            near &= 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+            near = likely(_codes(batch.column("reg_a")), _codes(batch.column("reg_b")), n_a, n_b, percent)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return run
@@ -145,9 +194,7 @@ def _verify(percent: int):
                 sets = [
                     shingle_sets(*lowered_words(d[o[a] : o[b]], o[a : b + 1] - o[a]), b - a) for d, o in sides
                 ]
-                for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[a + i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                keep[a:b] = [linked(x, y, percent) for x, y in zip(*sets, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -162,10 +209,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Documents with equal sets meet in one representative by an aggregation. In each
     band bucket all members are compared with a hub, the document that shares most
-    buckets with others; then, where a bucket still holds several components, its
-    members outside the hub's component are compared with all members of other
-    components. So every candidate pair is compared or already connected, and a group
-    of copies costs as many rows as it has members.
+    buckets with others; a group of copies costs as many rows as it has members. Where
+    a bucket still holds several components, its members outside the hub's component
+    are compared with all members of other components, so every candidate pair is
+    compared or already connected. A bucket of more than ``CROWDED`` members leaves
+    this to the finer bands of its members, in whose buckets members are compared
+    where they meet and only links leave the task. The finer bands miss a pair at the threshold with
+    probability (1 - 0.85 ** 20) ** 256, the others with (1 - 0.85 ** 8) ** 32, both
+    below 1 in 20,000.
 
     A null or blank text has an empty set and is linked with nothing. A null doc_id
     is linked with nothing; its component_id is null and it is kept. Repeated rows
@@ -182,32 +233,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = sets.join(alike, ["set_a", "set_b", "n_shingles"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "registers")
     reps = scratch.keep(reps.dropDuplicates(["rep", "n"]), "reps")
 
-    banded = reps.select("rep", "registers").mapInArrow(_bands, "key long, rep long").repartition("key")
-    shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = scratch.keep(banded.join(shared, "key"), "shared")
-    degree = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
-    ranked = scratch.keep(shared.join(degree, "rep").select("key", "rep", F.struct("degree", (-F.col("rep")).alias("low")).alias("rank")), "ranked")
-    hubs = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("hub"))
-    pairs = ranked.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = scratch.keep(pairs, "pairs")
-    links = _confirm(tested, reps, docs, percent, scratch)
-    groups = components(links, scratch)
-
-    member = ranked.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "rank", F.coalesce("component", "rep").alias("component")
-    )
-    open_keys = member.groupBy("key").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct("rank", "component"))["component"].alias("main")
-    ).where("least < most").select("key", "main")
-    member = scratch.keep(member.join(open_keys, "key").select("key", "rep", "component", "main"), "open")
-    outside = member.where("component <> main").select("key", F.col("rep").alias("one"), F.col("component").alias("apart"))
-    more = (
-        outside.join(member, "key").where("component <> apart")
-        .select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
-    )
-    seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.keep(more.join(seen, ["a", "b"], "left_anti"), "more")
-    links = links.union(_confirm(more, reps, docs, percent, scratch))
+    banded = reps.select("rep", "registers").mapInArrow(_bands, "key long, rep long")
+    shared, pairs = _hub_pairs(banded, scratch)
+    confirm = lambda tested: _confirm(tested, reps, docs, percent, scratch)
+    links = confirm(pairs)
+    member = _open(shared, components(links, scratch), scratch)
+    few = member.where(F.col("members") <= CROWDED)
+    more = scratch.keep(_across(few).join(pairs, ["a", "b"], "left_anti"), "more")
+    links = links.union(confirm(more))
+
+    crowd = scratch.keep(member.where(F.col("members") > CROWDED).select("rep").distinct(), "crowd")
+    crowded = only(docs, "doc_id", crowd).dropDuplicates(["doc_id"])
+    fine = scratch.keep(_crowded(crowded.mapInArrow(_fine_bands, "key long, rep long").repartition("key")), "fine")
+    member = _open(fine, components(links, scratch), scratch)
+    links = links.union(scratch.keep(_compared(member, crowded, reps, percent), "links"))
 
     copies = sets.join(alike, ["set_a", "set_b", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     groups = components(links.union(copies), scratch)
@@ -217,6 +256,86 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _hub_pairs(banded: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(key, rep, rank, members) of the buckets with several members, and the pairs (a < b) of each member and its hub."""
+    banded = banded.repartition("key")
+    counted = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = scratch.keep(banded.join(counted, "key"), "shared")
+    degree = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
+    ranked = shared.join(degree, "rep").select("key", "rep", "members", F.struct("degree", (-F.col("rep")).alias("low")).alias("rank"))
+    ranked = scratch.keep(ranked, "ranked")
+    scratch.drop(shared)
+    hubs = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("hub"))
+    pairs = ranked.join(hubs, "key").where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    return ranked, scratch.keep(pairs.distinct(), "pairs")
+
+
+def _crowded(banded: DataFrame) -> DataFrame:
+    counted = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    return banded.join(counted, "key").withColumn("rank", -F.col("rep"))
+
+
+def _compared(member: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside each bucket of ``member``, no more than connect them.
+
+    Members are compared where they lie, a block of ``BLOCK`` with a block; only links leave the task.
+    """
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = member.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    placed = placed.select("key", "rep", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    size = placed.join(reps.select("rep", "n"), "rep").agg(F.sum("n")).first()[0] or 0
+    sets = texts.mapInArrow(_full_sets, "rep long, hashes binary")
+    full = placed.join(reps, "rep").join(sets, "rep").withColumn("bin", F.pmod(F.xxhash64("key", "low", "high"), F.lit(1 + size // (1 << 20))))
+    return full.groupBy("bin").applyInArrow(_connect(percent), "a long, b long")
+
+
+def _connect(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("rep", "ascending")])
+        key, low, high, part, rep, component, n = (table.column(c).to_numpy() for c in ("key", "low", "high", "part", "rep", "component", "n"))
+        codes, hashes = _codes(table.column("registers")), [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        new = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(key)]
+        out: list[tuple[int, int]] = []
+        for x, y in zip(edges, edges[1:], strict=False):
+            up: dict[int, int] = {}
+
+            def root(c: int, up: dict[int, int] = up) -> int:
+                while up.get(c, c) != c:
+                    c = up[c]
+                return c
+
+            for i in range(x, y):
+                one = np.arange(i + 1, y) if low[i] == high[i] else np.flatnonzero(part[i + 1 : y] != part[i]) + i + 1
+                one = one[component[one] != component[i]]
+                near = one[likely(codes[[i]], codes[one], n[[i]].repeat(len(one)), n[one], percent)] if len(one) else one
+                for j in near.tolist():
+                    a, b = root(int(component[i])), root(int(component[j]))
+                    if a != b and linked(hashes[i], hashes[j], percent):
+                        up[max(a, b)] = min(a, b)
+                        out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
+def _open(ranked: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of the buckets that hold several components, with the component of the hub as ``main``."""
+    member = ranked.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    member = scratch.keep(member, "member")
+    keys = member.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct("rank", "component"))["component"].alias("main")
+    )
+    return member.join(keys.where("least < most").select("key", "main"), "key").select("key", "rep", "members", "component", "main")
+
+
+def _across(member: DataFrame) -> DataFrame:
+    """Pairs (a < b) that share a bucket and lie in different components."""
+    outside = member.where("component <> main").select("key", F.col("rep").alias("one"), F.col("component").alias("apart"))
+    both = outside.join(member, "key").where("component <> apart")
+    return both.select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are linked: estimate from the registers, then the full sets."""
     left = reps.toDF("a", "n_a", "reg_a")
