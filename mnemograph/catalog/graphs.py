@@ -405,7 +405,7 @@ def context_blocks(v: Views):
 
 @query(
     "briefing_inputs",
-    """SELECT 'entry' AS part, id, row_number() OVER (ORDER BY ts, id) AS rank, content AS text FROM (SELECT * FROM v_entries WHERE ts > TIMESTAMP '2024-01-05' ORDER BY ts, id LIMIT 50)
+    """SELECT 'entry' AS part, id, row_number() OVER (ORDER BY ts, id) AS rank, content AS text FROM (SELECT * FROM v_entries WHERE ts > TIMESTAMP '2024-01-05')
        UNION ALL SELECT 'goal', id, row_number() OVER (ORDER BY weight DESC, id), '[' || node_type || '/' || json_extract_string(metadata, '$.status') || '] ' || content FROM (
          SELECT * FROM v_nodes WHERE node_type IN ('goal', 'project') AND json_extract_string(metadata, '$.status') IN ('active', 'planning', 'blocked') ORDER BY weight DESC, id LIMIT 20)""",
 )
@@ -415,11 +415,11 @@ def briefing_inputs(v: Views):
 
 @query(
     "synthesis_inputs",
-    """SELECT 'entry' AS part, id, content AS text FROM (SELECT * FROM v_entries WHERE ts > TIMESTAMP '2024-01-05' ORDER BY ts, id LIMIT 50)
+    """SELECT 'entry' AS part, id, content AS text FROM (SELECT * FROM v_entries WHERE ts > TIMESTAMP '2024-01-05')
        UNION ALL SELECT 'task', id, '[' || status || '] ' || content FROM (SELECT * FROM v_tasks WHERE parent_id = '' AND status IN ('pending', 'active') ORDER BY ts DESC, id LIMIT 10)
        UNION ALL SELECT 'open', id, '[OPEN] ' || question FROM (SELECT * FROM v_questions WHERE resolved IS NULL ORDER BY created DESC, id LIMIT 20)
        UNION ALL SELECT 'answered', id, '[ANSWERED] ' || question || ' → ' || coalesce(nullif(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), ''), '(skipped)')
-         FROM (SELECT * FROM v_questions WHERE resolved IS NOT NULL AND created >= TIMESTAMP '2024-01-02' ORDER BY created DESC, id LIMIT 200)""",
+         FROM (SELECT * FROM v_questions WHERE resolved IS NOT NULL AND created >= TIMESTAMP '2024-01-02')""",
 )
 def synthesis_inputs(v: Views):
     return reports.synthesis_inputs(v.entries, v.tasks, v.questions, "2024-01-05 00:00:00", "2024-01-02 00:00:00")

@@ -126,6 +126,7 @@ def with_views(sql: str) -> str:
         return sql
     body = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
     text = sql.strip()
-    if text.upper().startswith("WITH "):
-        return f"WITH {body},\n{text[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(start):
+            return f"{start}{body},\n{text[len(start):]}"
     return f"WITH {body}\n{text}"

@@ -97,7 +97,7 @@ def label_relationships(v: Views):
 @query(
     "active_project",
     """WITH open AS (SELECT * FROM v_tasks WHERE status IN ('pending', 'active')),
-       roots AS (SELECT * FROM open WHERE parent_id = '' ORDER BY ts DESC, id LIMIT 15),
+       roots AS (SELECT * FROM open WHERE parent_id = ''),
        chosen AS (SELECT * FROM roots WHERE id IN (SELECT parent_id FROM open) ORDER BY ts DESC, id LIMIT 1)
        SELECT id, parent_id, status, content FROM chosen
        UNION ALL SELECT * FROM (SELECT id, parent_id, status, content FROM open WHERE parent_id IN (SELECT id FROM chosen) ORDER BY ts, id LIMIT 10)""",
@@ -155,11 +155,11 @@ def dangling_ids(v: Views):
 
 @query(
     "find_entity",
-    f"""WITH h AS ({knn_sql(15)})
+    f"""WITH h AS ({knn_sql(15, "n.node_type = 'person'")})
         SELECT qid, id, score FROM (
           SELECT h.qid, h.id, h.score, row_number() OVER (PARTITION BY h.qid ORDER BY
             CASE WHEN contains(lower(n.content), lower(s.query)) OR contains(lower(s.query), lower(n.content)) THEN 0 ELSE 1 END, h.rank) AS rn
-          FROM h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid WHERE n.node_type = 'person') WHERE rn = 1""",
+          FROM h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid) WHERE rn = 1""",
 )
 def find_entity(v: Views):
     return joins.find_entity(v.search_inputs.withColumn("name", F.col("query")), v.nodes)
@@ -167,9 +167,7 @@ def find_entity(v: Views):
 
 @query(
     "find_project",
-    f"""WITH h AS ({knn_sql(5)})
-        SELECT qid, arg_min(h.id, rank) AS id, arg_min(score, rank) AS score FROM h JOIN v_nodes n ON n.id = h.id
-        WHERE node_type IN ('project', 'goal') GROUP BY qid""",
+    f"""SELECT qid, id, score FROM ({knn_sql(1, "n.node_type IN ('project', 'goal')")})""",
 )
 def find_project(v: Views):
     return joins.find_project(v.search_inputs, v.nodes)
@@ -177,7 +175,7 @@ def find_project(v: Views):
 
 @query(
     "discover_related",
-    f"""WITH h AS ({knn_sql(20)})
+    f"""WITH h AS ({knn_sql(20, "n.node_type = 'person'")} UNION ALL {knn_sql(10, "n.node_type NOT IN ('log', 'person')")})
         SELECT qid, id, score, rank FROM (
           SELECT h.qid, h.id, h.score, row_number() OVER (PARTITION BY h.qid ORDER BY h.score DESC, h.id) AS rank
           FROM h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid
@@ -397,7 +395,7 @@ def tool_usage(v: Views):
 @query(
     "rank_in_list",
     """SELECT * FROM (SELECT qid, list, id, row_number() OVER (PARTITION BY qid, list ORDER BY score DESC, id) AS rank FROM (
-         SELECT user_id AS qid, event_type AS list, 'ev-' || event_id AS id, value AS score FROM events)) WHERE rank <= 100""",
+         SELECT user_id AS qid, event_type AS list, 'ev-' || event_id AS id, value AS score FROM events))""",
 )
 def rank_in_list(v: Views):
     hits = v.event_logs.select(F.col("owner").alias("qid"), F.col("source").alias("list"), "id", "score")
@@ -428,7 +426,7 @@ def char_budget(v: Views):
     e = v.entries
     line = sequences.entry_line(F.col("ts"), F.col("source"), F.col("content"), F.col("image_url"), F.lit(""), F.col("id"))
     rows = e.select(F.col("source").alias("ctx"), "id", "ts", line.alias("line"))
-    return long(sequences.char_budget(rows, 10000, [F.desc("ts"), F.asc("id")], min_len=25), "pos")
+    return long(sequences.char_budget(rows, 10000, [F.desc("ts"), F.asc("id")]), "pos")
 
 
 @query(
@@ -442,7 +440,7 @@ def char_budget(v: Views):
 def char_budget_queries(v: Views):
     line = sequences.query_line(F.col("ts"), F.col("source"), F.col("question"), F.col("answer"))
     rows = v.queries.select(F.concat(F.lit("c"), F.col("conv_id") % 10).alias("ctx"), "id", "ts", line.alias("line"))
-    return long(sequences.char_budget(rows, 10000, [F.desc("ts"), F.asc("id")], gap=2, noun="queries", min_len=40), "pos")
+    return long(sequences.char_budget(rows, 10000, [F.desc("ts"), F.asc("id")], gap=2, noun="queries"), "pos")
 
 
 @query(
@@ -455,7 +453,7 @@ def char_budget_queries(v: Views):
 def char_budget_tasks(v: Views):
     line = sequences.task_line(F.col("id"), F.col("status"), F.lit(""), F.col("content"))
     rows = v.tasks.select(F.col("entry_id").alias("ctx"), "id", "ts", line.alias("line"))
-    return long(sequences.char_budget(rows, 400, [F.desc("ts"), F.asc("id")], gap=0, noun=None, min_len=40), "pos")
+    return long(sequences.char_budget(rows, 400, [F.desc("ts"), F.asc("id")], gap=0, noun=None), "pos")
 
 
 @query(
@@ -539,17 +537,25 @@ def apply_external_order(v: Views):
 
 # set operations
 
+#: Rows of a key in time order: a row is created unless the last created one is at most 30 s older.
+REPLAYED = """
+  numbered AS (SELECT id, epoch_us(ts) AS at, row_number() OVER w AS n, dense_rank() OVER (ORDER BY {key}) AS k
+               FROM ({source}) WINDOW w AS (PARTITION BY {key} ORDER BY ts, id)),
+  replayed AS (
+    SELECT id, k, n, at AS last_at, id AS created_id FROM numbered WHERE n = 1
+    UNION ALL
+    SELECT x.id, x.k, x.n, CASE WHEN x.at - r.last_at > 30000000 THEN x.at ELSE r.last_at END,
+           CASE WHEN x.at - r.last_at > 30000000 THEN x.id ELSE r.created_id END
+    FROM replayed r JOIN numbered x ON x.k = r.k AND x.n = r.n + 1) """
+
 
 @query(
     "recent_questions",
-    """SELECT id, question FROM (
-         SELECT * FROM (SELECT id, question, created, 0 AS part FROM v_questions WHERE resolved IS NULL ORDER BY created DESC, id LIMIT 100)
-         UNION ALL SELECT * FROM (SELECT id, question, created, 1 AS part FROM v_questions WHERE resolved IS NOT NULL AND created >= TIMESTAMP '2024-01-02' ORDER BY created DESC, id LIMIT 200))
-       ORDER BY part, created DESC, id LIMIT 200""",
+    "SELECT id, question FROM v_questions WHERE resolved IS NULL OR created >= TIMESTAMP '2024-01-02'",
 )
 def recent_questions(v: Views):
     q = v.questions
-    out = dedup.recent_questions(filters.unresolved(q, 100), filters.resolved(q, "2024-01-02 00:00:00"))
+    out = dedup.recent_questions(filters.unresolved(q, None), filters.resolved(q, "2024-01-02 00:00:00"))
     return out.select("id", "question")
 
 
@@ -599,8 +605,8 @@ def semantic_anti_join(v: Views):
 @query(
     "similar_open_task",
     f"""WITH t AS (SELECT 'task-' || vec_id AS id, vec_id % 3 AS s, embedding FROM embeddings),
-        h AS ({knn_sql(5, "TRUE", "v_near", "t", 0.85)})
-        SELECT qid, arg_min(h.id, rank) AS id, arg_min(score, rank) AS score FROM h JOIN t ON t.id = h.id WHERE s < 2 GROUP BY qid""",
+        h AS ({knn_sql(1, "n.s < 2", "v_near", "t", 0.85)})
+        SELECT qid, id, score FROM h""",
 )
 def similar_open_task(v: Views):
     status = F.element_at(F.array(*map(F.lit, ["pending", "active", "completed"])), (F.col("vec_id") % 3 + 1).cast("int"))
@@ -610,9 +616,7 @@ def similar_open_task(v: Views):
 
 @query(
     "recent_duplicate_task",
-    """SELECT id, duplicate_of FROM (
-         SELECT 'ev-' || event_id AS id, lag('ev-' || event_id) OVER w AS duplicate_of, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap
-         FROM events WINDOW w AS (PARTITION BY user_id % 5, event_type ORDER BY ts, 'ev-' || event_id)) WHERE gap <= 30000000""",
+    "WITH RECURSIVE " + REPLAYED.format(key="user_id % 5, event_type", source="SELECT 'ev-' || event_id AS id, * FROM events") + "SELECT id, created_id AS duplicate_of FROM replayed WHERE id <> created_id",
 )
 def recent_duplicate_task(v: Views):
     tasks = v.event_logs.select(

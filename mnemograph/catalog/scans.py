@@ -165,7 +165,7 @@ def queries_by_date(v: Views):
 
 @query(
     "entries_since",
-    f"{ENTRY} FROM v_entries WHERE v_entries.ts > TIMESTAMP '2024-01-04 12:00:00' ORDER BY v_entries.ts, id LIMIT 50",
+    f"{ENTRY} FROM v_entries WHERE v_entries.ts > TIMESTAMP '2024-01-04 12:00:00'",
 )
 def entries_since(v: Views):
     return brief(filters.since(v.entries, "2024-01-04 12:00:00"))
@@ -225,7 +225,7 @@ def search_entries_category(v: Views):
 @query(
     "activity_history",
     f"""{ENTRY} FROM (SELECT * FROM v_entries WHERE contains(lower(content), 'ent')
-         AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-21' ORDER BY ts DESC, id LIMIT 200) v_entries""",
+         AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-21') v_entries""",
 )
 def activity_history(v: Views):
     return brief(filters.activity_history(v.entries, "Ent", "2024-01-02", "2024-01-20"))
@@ -328,8 +328,7 @@ def unresolved_questions(v: Views):
 
 @query(
     "resolved_questions",
-    """SELECT id, kind, answer FROM v_questions WHERE resolved IS NOT NULL AND created >= TIMESTAMP '2024-01-02'
-       ORDER BY created DESC, id LIMIT 200""",
+    """SELECT id, kind, answer FROM v_questions WHERE resolved IS NOT NULL AND created >= TIMESTAMP '2024-01-02'""",
 )
 def resolved_questions(v: Views):
     return filters.resolved(v.questions, "2024-01-02 00:00:00").select("id", "kind", "answer")

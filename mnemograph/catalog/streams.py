@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemograph.catalog.registry import query
+from mnemograph.catalog.relations import REPLAYED
 from mnemograph.session import new_path
-from mnemograph.sources.views import Views, shifted
+from mnemograph.sources.views import Views
 from mnemograph.streaming import jobs
 
 
@@ -23,31 +24,45 @@ def staged_by_day(v: Views, df, label: str) -> str:
 
 @query(
     "task_dedup_stream",
-    """SELECT 'ev-' || event_id AS id, 'entry-' || user_id || event_id AS entry_id FROM events""",
+    "WITH RECURSIVE "
+    + REPLAYED.format(key="user_id % 40, event_type", source="SELECT 'ev-' || event_id AS id, * FROM events")
+    + "SELECT DISTINCT created_id AS id FROM replayed",
 )
 def task_dedup_stream(v: Views):
-    tasks = stream(v, "events").select(
-        F.concat(F.lit("ev-"), "event_id").alias("id"), F.concat(F.lit("entry-"), "user_id", "event_id").alias("entry_id"),
-        F.concat(F.lit(" Do  "), "event_type").alias("content"), "ts",
+    """Events as tasks of 40 entries, in files by day; every file arrives twice."""
+    tasks = v.event_logs.select(
+        "id", F.concat(F.lit("entry-"), F.col("owner") % 40).alias("entry_id"), F.concat(F.lit(" Do  "), "source").alias("content"), "ts"
     )
-    # every file row arrives twice; the second copy is inside the window
-    return jobs.run_to_parquet(jobs.task_dedup(tasks.unionByName(tasks)), "task-dedup").select("id", "entry_id")
+    path = staged_by_day(v, tasks.unionByName(tasks), "task-in")
+    job = jobs.TaskDedupJob(v.spark, new_path(v.spark, "task-dedup"))
+    jobs.run_batches(jobs.read_files(v.spark, path, tasks, per_trigger=8), job.root, job.handle)
+    return job.table().select("id")
 
 
-@query("late_rows", "SELECT 'ev-' || event_id AS id, CAST(ts AS VARCHAR) AS ts FROM events")
+@query(
+    "late_rows",
+    """SELECT 'ev-' || event_id AS id, CAST(ts AS VARCHAR) AS ts,
+         coalesce(ts < max(CASE WHEN event_id % 2 = 0 THEN ts END) OVER () AND event_id % 2 = 1, false) AS late FROM events""",
+)
 def late_rows(v: Views):
+    """Events of even number arrive first, the others in a second batch."""
     rows = v.event_logs.select("id", "ts")
-    path = staged_by_day(v, rows, "late-in")
-    source = jobs.read_files(v.spark, path, rows, per_trigger=8)
-    return jobs.late_rows(source, "late").select("id", F.col("ts").cast("string").alias("ts"))
+    path, root = new_path(v.spark, "late-in"), new_path(v.spark, "late")
+    out = None
+    for half in (0, 1):
+        part = rows.filter(F.substring_index("id", "-", -1).cast("bigint") % 2 == half)
+        part.write.mode("append").parquet(path)
+        out = jobs.late_rows(jobs.read_files(v.spark, path, rows), root)
+    return out.select("id", F.col("ts").cast("string").alias("ts"), "late")
 
 
 @query("cycle_stream", "SELECT 'ev-' || event_id AS id FROM events")
 def cycle_stream(v: Views):
     rows = v.event_logs.select("id", "ts")
     path = staged_by_day(v, rows, "cycle-in")
-    job = jobs.CycleJob(v.spark, most=None)
-    jobs.run_batches(jobs.read_files(v.spark, path, rows, per_trigger=8), "cycle", lambda b, i: job.handle(b, i, tick=1.0))
+    job = jobs.CycleJob(v.spark, new_path(v.spark, "cycle"))
+    jobs.run_batches(jobs.read_files(v.spark, path, rows, per_trigger=8), job.root, lambda b, i: job.handle(b, i, tick=1.0))
+    job.close()
     return job.processed().select("id")
 
 
@@ -56,8 +71,8 @@ def ingest_stream(v: Views):
     texts = v.model_text.select("id", "ts", "text", "owner")
     path = new_path(v.spark, "ingest-in")
     texts.repartition(2, "id").write.parquet(path)
-    job = jobs.IngestJob(v.spark)
-    jobs.run_batches(jobs.read_files(v.spark, path, texts, per_trigger=1), "ingest", job.handle)
+    job = jobs.IngestJob(v.spark, new_path(v.spark, "ingest"))
+    jobs.run_batches(jobs.read_files(v.spark, path, texts, per_trigger=1), job.root, job.handle)
     rows = lambda name, a, b: job.table(name).select(F.lit(name).alias("part"), F.col(a).alias("id"), F.col(b).alias("value"))
     return (
         rows("nodes", "id", "node_type").unionByName(rows("relationships", "id", "predicate"))
@@ -79,20 +94,6 @@ def hot_edges_stream(v: Views):
         F.concat(F.lit("user-"), F.col("user_id") % 40).alias("object_id"), F.concat(F.lit("ev-"), "event_id").alias("id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("seen_at"),
     )
-    job = jobs.HotEdgesJob(v.spark)
-    jobs.run_batches(edges, "hot-edges", job.handle)
+    job = jobs.HotEdgesJob(v.spark, new_path(v.spark, "hot-edges"))
+    jobs.run_batches(edges, job.root, job.handle)
     return job.state().select("object_id", F.col("slot").cast("bigint").alias("slot"), "id")
-
-
-@query("question_flow")
-def question_flow(v: Views):
-    """User turns arrive as questions of a client, assistant turns as its messages."""
-    c = stream(v, "conversations")
-    events = c.select(
-        F.concat(F.lit("client-"), F.col("conv_id") % 50).alias("client"),
-        F.unix_micros(shifted("MINUTE", "conv_id * 60 + turn").cast("timestamp")).alias("at"),
-        F.when(F.col("role") == "assistant", "message").otherwise("question").alias("kind"),
-        F.concat_ws("-", F.lit("pq"), "conv_id", "turn").alias("question_id"), "text",
-        F.lit(0).alias("ask_count"), F.lit(-1).cast("bigint").alias("last_asked"),
-    )
-    return jobs.run_to_parquet(jobs.question_flow(events), "question-flow")

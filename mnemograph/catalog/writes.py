@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemograph import schema as V
 from mnemograph.catalog.graphs import AS_OF_SQL, DECAYED
 from mnemograph.catalog.registry import query
-from mnemograph.catalog.relations import knn_sql, long
+from mnemograph.catalog.relations import REPLAYED, knn_sql, long
 from mnemograph.catalog.texts import NORMALISED
 from mnemograph.functions import columns as C, model
 from mnemograph.operators import merge
@@ -332,7 +333,10 @@ def migrate_metadata(v: Views):
     return merge.migrate_metadata(v.nodes.withColumn("archive_summary", archive))
 
 
-@query("backfill_embeddings")
+@query(
+    "backfill_embeddings",
+    """SELECT id, 64 AS dim FROM v_entries WHERE regexp_replace(content, '\\s', '', 'g') <> '' AND id NOT IN (SELECT 'log-' || vec_id FROM embeddings)""",
+)
 def backfill_embeddings(v: Views):
     vectors = v.table("embeddings").select(key("log-", "vec_id").alias("id"), "embedding")
     entries = v.entries.join(vectors, "id", "left")
@@ -340,7 +344,10 @@ def backfill_embeddings(v: Views):
     return out.select("id", F.size("embedding").alias("dim"))
 
 
-@query("attach_media_vector")
+@query(
+    "attach_media_vector",
+    "SELECT 'page-' || page_id AS id, CASE WHEN page_id % 5 > 0 AND html <> '' THEN 64 ELSE 0 END AS dim FROM pages",
+)
 def attach_media_vector(v: Views):
     media = v.table("pages").select(
         key("page-", "page_id").alias("id"), F.when(F.col("page_id") % 5 > 0, F.col("html")).otherwise("").cast("binary").alias("bytes")
@@ -352,6 +359,15 @@ def attach_media_vector(v: Views):
 
 @query(
     "create_tasks",
+    "WITH RECURSIVE "
+    + REPLAYED.format(key="user_id % 5, event_type", source="SELECT 'new-' || event_id AS id, * FROM events")
+    + f""", t AS (SELECT 'task-' || vec_id AS id, vec_id % 3 AS s, embedding FROM embeddings),
+       h AS ({knn_sql(1, "n.s < 2", "v_near", "t", 1 - V.TASK_DISTANCE)}),
+       c AS (SELECT 'new-' || event_id AS id, h.id AS similar_id
+             FROM events JOIN v_near q ON q.vec_id = event_id % (SELECT count(*) FROM embeddings) LEFT JOIN h ON h.qid = q.qid)
+       SELECT r.id, CASE WHEN r.created_id <> r.id THEN 'repeat' WHEN c.similar_id IS NOT NULL THEN 'similar' ELSE 'create' END AS action,
+              CASE WHEN r.created_id <> r.id THEN coalesce(f.similar_id, r.created_id) ELSE coalesce(c.similar_id, r.id) END AS surviving_id
+       FROM replayed r JOIN c ON c.id = r.id LEFT JOIN c f ON f.id = r.created_id""",
 )
 def create_tasks(v: Views):
     """New tasks from events: exact repeats within the window first, then close open tasks, then inserts."""

@@ -450,7 +450,7 @@ def weather_label(code: Column) -> Column:
 def zone_of(alias: Column) -> Column:
     """Time zone id of an alias; other names pass through."""
     name = F.lower(trim_ws(alias))
-    return F.coalesce(lookup(inverted(V.ZONES), name), name)
+    return F.coalesce(lookup(V.ZONES, name), name)
 
 
 def price_key(model: Column, prices: dict | None = None, default: str = V.DEFAULT_MODEL) -> Column:

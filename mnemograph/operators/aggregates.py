@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemograph import schema as V
 from mnemograph.functions import columns as C
+from mnemograph.session import stage
 from mnemograph.operators.filters import in_range
 
 
@@ -70,31 +71,32 @@ def daily_summary(analysed: DataFrame, keep: str = "newest") -> DataFrame:
     """Per day, as rows (day, part, key, value, n): entry count, summaries, tag counts, entity statuses.
 
     Of several statuses of one entity on a day, the newest counts (or ``keep='oldest'``).
-    Every entry becomes its facts, and all facts share one aggregation.
+    Summary lines are as they are written; counts and statuses are aggregations of their own.
     """
-    rows = analysis_of(analysed)
-    fact = lambda part, key, value, pos=F.lit(0): F.struct(
-        F.lit(part).alias("part"), key.alias("key"), value.alias("value"), pos.alias("pos")
+    doc = stage(analysis_of(analysed).select(
+        F.col("ts").cast("date").cast("string").alias("day"), "ts", "id", C.trim_ws(C.text_or_empty(F.col("analysis.summary"))).alias("summary"),
+        F.transform(_or_empty("analysis.tags"), C.trim_ws).alias("tags"),
+        F.transform(
+            _or_empty("analysis.entities"),
+            lambda e, i: F.struct(F.concat_ws("|", e["name"], e["type"]).alias("key"), e["status"].alias("value"), i.alias("pos")),
+        ).alias("entities"),
+    ), "analyses")
+    out = lambda rows, part, key, value, n: rows.select(
+        "day", F.lit(part).alias("part"), key.alias("key"), value.alias("value"), n.cast("bigint").alias("n")
     )
-    blank = F.lit("")
-    summary = C.trim_ws(C.text_or_empty(F.col("analysis.summary")))
+    blank, one, n = F.lit(""), F.lit(1), F.col("n")
     stamp = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] "))
-    entities = F.transform(
-        _or_empty("analysis.entities"),
-        lambda e, i: fact("entity", F.concat_ws("|", e["name"], e["type"]), e["status"], i),
-    )
-    facts = F.concat(
-        F.array(fact("entries", blank, blank), fact("summary", F.col("id"), F.concat(stamp, summary))),
-        F.transform(_or_empty("analysis.tags"), lambda t: fact("tag", C.trim_ws(t), blank)),
-        entities,
-    )
-    facts = F.filter(facts, lambda f: (f["part"] != "summary") | (summary != ""))
-    long = rows.select(F.col("ts").cast("date").cast("string").alias("day"), "ts", "id", F.explode(facts).alias("f"))
+    summaries = out(doc.filter("summary <> ''"), "summary", F.col("id"), F.concat(stamp, "summary"), one)
+    counted = doc.select("day", F.explode(F.concat(F.array(F.struct(F.lit("entries").alias("part"), blank.alias("key"))), F.transform(
+        "tags", lambda t: F.struct(F.lit("tag").alias("part"), t.alias("key"))))).alias("f"))
+    counted = counted.groupBy("day", "f.part", "f.key").agg(F.count(one).alias("n")).select("day", "part", "key", blank.alias("value"), "n")
+    seen = doc.select("day", "ts", "id", F.explode("entities").alias("e"))
     if keep == "newest":
-        value = F.max_by("f.value", F.struct("ts", "id", "f.pos"))
+        value = F.max_by("e.value", F.struct("ts", "id", "e.pos"))
     else:
-        value = F.min_by("f.value", F.struct("ts", "id", (-F.col("f.pos")).alias("p")))
-    return long.groupBy("day", "f.part", "f.key").agg(value.alias("value"), F.count(F.lit(1)).alias("n"))
+        value = F.min_by("e.value", F.struct("ts", "id", (-F.col("e.pos")).alias("p")))
+    statuses = seen.groupBy("day", F.col("e.key").alias("key")).agg(value.alias("value"), F.count(one).alias("n"))
+    return summaries.unionByName(counted).unionByName(out(statuses, "entity", F.col("key"), F.col("value"), n))
 
 
 def _or_empty(name: str) -> Column:

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from mnemograph import schema as V
 from mnemograph.functions import columns as C
+from mnemograph.operators.skew import latest_mark
 from mnemograph.operators.vector import nearest
 
 WINDOW_SECONDS = 30
 SPAN_SECONDS = 3600
 
 
-def recent_questions(open_questions: DataFrame, answered: DataFrame, limit: int = 200) -> DataFrame:
-    """Open questions first, then answered ones, newest first, cut at ``limit``."""
+def recent_questions(open_questions: DataFrame, answered: DataFrame, limit: int | None = None) -> DataFrame:
+    """Open questions first, then answered ones, newest first; only the first ``limit`` when given."""
     cols = ["id", "question", "created"]
     both = open_questions.select(*cols, F.lit(0).alias("part")).unionByName(
         answered.select(*cols, F.lit(1).alias("part"))
     )
-    return both.orderBy("part", F.desc("created"), "id").limit(limit).drop("part")
+    rows = both.orderBy("part", F.desc("created"), "id")
+    return (rows if limit is None else rows.limit(limit)).drop("part")
 
 
 def semantic_anti_join(
@@ -29,35 +32,69 @@ def semantic_anti_join(
     return candidates.join(close.select("qid"), "qid", "left_anti")
 
 
-def similar_open_task(candidates: DataFrame, tasks: DataFrame, distance: float = V.TASK_DISTANCE, pool: int = 5) -> DataFrame:
-    """First pending or active task among the ``pool`` nearest within the distance: (qid, id, score)."""
+def similar_open_task(
+    candidates: DataFrame, tasks: DataFrame, distance: float = V.TASK_DISTANCE, pool: int | None = None
+) -> DataFrame:
+    """Nearest pending or active task within the distance: (qid, id, score).
+
+    With ``pool`` only the ``pool`` nearest tasks of any status are looked at.
+    """
+    is_open = F.col("status").isin("pending", "active")
+    if pool is None:
+        return nearest(candidates, tasks.filter(is_open), 1, min_score=1.0 - distance).select("qid", "id", "score")
     hits = nearest(candidates, tasks, pool, min_score=1.0 - distance)
-    open_ids = tasks.filter(F.col("status").isin("pending", "active")).select("id")
     best = F.min_by(F.struct("id", "score"), F.col("rank"))
-    return hits.join(open_ids, "id").groupBy("qid").agg(best.alias("b")).select("qid", "b.id", "b.score")
+    return hits.join(tasks.filter(is_open).select("id"), "id").groupBy("qid").agg(best.alias("b")).select("qid", "b.id", "b.score")
 
 
-def recent_duplicate_task(tasks: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Tasks repeated within ``seconds`` for the same entry and normalised content.
+def replay_tasks(tasks: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """What happens to each task(id, entry_id, content, ts): (id, created_id).
+
+    Rows of one entry and normalised content are taken in time order: a row is created
+    unless the last created one is at most ``seconds`` older, which then is its created_id.
+    Rows marked in an optional boolean column ``stored`` are created already. Rows without
+    entry or content are created, always.
 
-    Returns (id, duplicate_of), the latter being the row just before it. Rows are cut into time spans, so one busy entry is spread over many tasks;
-    a row near the start of a span also sees the end of the previous one.
+    A gap of more than ``seconds`` to the row before starts a run, and its first row is
+    created; a second row of a run without a third repeats it. Only longer runs are folded, each in
+    one task with the times of its rows.
     """
-    rows = tasks.filter((F.col("entry_id") != "") & (C.dedup_text(F.col("content")) != "")).select(
-        "id", "entry_id", "ts", C.dedup_text(F.col("content")).alias("norm"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+    stored = F.col("stored") if "stored" in tasks.columns else F.lit(False)
+    norm = C.dedup_text(F.col("content"))
+    rows = tasks.select(
+        "id", "entry_id", norm.alias("norm"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), stored.alias("stored")
+    )
+    keyed = (F.coalesce("entry_id", F.lit("")) != "") & (F.coalesce("norm", F.lit("")) != "") & F.col("at").isNotNull()
+    alone = rows.filter(~keyed).select("id", F.col("id").alias("created_id"))
+    runs = latest_mark(rows.filter(keyed), ["entry_id", "norm"], "at", "id", seconds * 1_000_000, SPAN_SECONDS * 1_000_000, "run")
+    sizes = runs.groupBy("entry_id", "norm", "run").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("id", F.struct("at", "id")).alias("first_id"), F.max("stored").alias("any_stored")
     )
-    span = SPAN_SECONDS * 1_000_000
-    reach = seconds * 1_000_000
-    own = F.floor(F.col("at") / span)
-    placed = rows.withColumn("own", own).withColumn(
-        "span", F.explode(F.array_distinct(F.array(own, F.floor((F.col("at") + reach) / span))))
+    sized = runs.join(sizes, ["entry_id", "norm", "run"])
+    short = (F.col("n") <= 2) & ~F.col("any_stored")
+    folded = sized.filter(~short).select("entry_id", "norm", "run", "id", "at", "stored").groupBy("entry_id", "norm", "run").applyInArrow(
+        _fold(seconds * 1_000_000), "id string, created_id string"
     )
-    w = Window.partitionBy("entry_id", "norm", "span").orderBy("at", "id")
-    before = F.lag(F.struct("id", "at")).over(w)
-    near = placed.withColumn("before", before).filter(F.col("own") == F.col("span"))
-    hit = (F.col("at") - F.col("before.at")) <= reach
-    return near.filter(hit).select("id", F.col("before.id").alias("duplicate_of"))
+    return sized.filter(short).select("id", F.col("first_id").alias("created_id")).unionByName(folded).unionByName(alone)
+
+
+def _fold(reach: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("at", "ascending"), ("id", "ascending")])
+        ids, at, stored = (table.column(c).to_pylist() for c in ("id", "at", "stored"))
+        last, created = None, []
+        for i, (when, done) in enumerate(zip(at, stored, strict=True)):
+            if done or last is None or when - at[last] > reach:
+                last = i
+            created.append(ids[last])
+        return pa.table({"id": pa.array(ids, pa.string()), "created_id": pa.array(created, pa.string())})
+
+    return run
+
+
+def recent_duplicate_task(tasks: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Tasks that repeat a created one within ``seconds``: (id, duplicate_of), the latter created."""
+    return replay_tasks(tasks, seconds).filter("id <> created_id").select("id", F.col("created_id").alias("duplicate_of"))
 
 
 def merge_neighbours(parts: list[DataFrame], roots: DataFrame) -> DataFrame:
@@ -73,21 +110,23 @@ def merge_neighbours(parts: list[DataFrame], roots: DataFrame) -> DataFrame:
 def create_tasks(new: DataFrame, tasks: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Outcome per new task(id, entry_id, content, status, ts, embedding): (id, action, surviving_id).
 
-    ``repeat`` when the same entry and text occurred within ``seconds``, ``similar`` when an
-    open task is close, else ``create``.
+    ``repeat`` when the same entry and text was created within ``seconds``, ``similar`` when an
+    open task is close, else ``create``. A repeat survives as what its first task became.
     """
     repeats = recent_duplicate_task(new, seconds)
     rest = new.join(repeats.select("id"), "id", "left_anti")
     close = similar_open_task(rest.select(F.col("id").alias("qid"), "embedding"), tasks).select(
         F.col("qid").alias("id"), F.col("id").alias("similar_id")
     )
+    of_first = close.select(F.col("id").alias("duplicate_of"), F.col("similar_id").alias("first_similar_id"))
     return (
         new.select("id")
         .join(repeats, "id", "left")
         .join(close, "id", "left")
+        .join(of_first, "duplicate_of", "left")
         .select(
             "id",
             F.when(F.col("duplicate_of").isNotNull(), "repeat").when(F.col("similar_id").isNotNull(), "similar").otherwise("create").alias("action"),
-            F.coalesce("duplicate_of", "similar_id", "id").alias("surviving_id"),
+            F.coalesce("first_similar_id", "duplicate_of", "similar_id", "id").alias("surviving_id"),
         )
     )

@@ -15,12 +15,16 @@ from mnemograph.operators.skew import top_rows
 OPEN = ["pending", "active"]
 
 
-def newest(df: DataFrame, limit: int, ts: str = "ts") -> DataFrame:
-    return df.orderBy(F.desc(ts), F.asc("id")).limit(limit)
+def newest(df: DataFrame, limit: int | None, ts: str = "ts") -> DataFrame:
+    """Newest ``limit`` rows, or all of them, in that order."""
+    rows = df.orderBy(F.desc(ts), F.asc("id"))
+    return rows if limit is None else rows.limit(limit)
 
 
-def oldest(df: DataFrame, limit: int, ts: str = "ts") -> DataFrame:
-    return df.orderBy(F.asc(ts), F.asc("id")).limit(limit)
+def oldest(df: DataFrame, limit: int | None, ts: str = "ts") -> DataFrame:
+    """Oldest ``limit`` rows, or all of them, in that order."""
+    rows = df.orderBy(F.asc(ts), F.asc("id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def in_range(df: DataFrame, start: str | None, end: str | None, ts: str = "ts") -> DataFrame:
@@ -38,7 +42,7 @@ def by_date(df: DataFrame, start: str, end: str, limit: int, ts: str = "ts") ->
     return newest(in_range(df, start, end, ts), limit, ts)
 
 
-def since(df: DataFrame, watermark: str | None, limit: int = 50) -> DataFrame:
+def since(df: DataFrame, watermark: str | None, limit: int | None = None) -> DataFrame:
     """Oldest rows after the watermark; without one, the newest rows."""
     if not watermark:
         return newest(df, limit)
@@ -78,11 +82,11 @@ def mentions(df: DataFrame, phrase: str, column: str = "content") -> DataFrame:
 
 
 def activity_history(
-    entries: DataFrame, topic: str, start: str | None = None, end: str | None = None, limit: int = 200
+    entries: DataFrame, topic: str, start: str | None = None, end: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Entries about a topic, oldest first; the newest ``limit`` of them are considered."""
+    """Entries about a topic, oldest first; with ``limit`` only the newest ``limit`` of them."""
     rows = mentions(in_range(entries, start, end), topic)
-    return newest(rows, limit).orderBy(F.asc("ts"), F.asc("id"))
+    return oldest(rows if limit is None else newest(rows, limit), None)
 
 
 def by_source(entries: DataFrame, part: str, limit: int) -> DataFrame:
@@ -94,7 +98,6 @@ def with_image(entries: DataFrame, limit: int) -> DataFrame:
 
 
 def open_roots(tasks: DataFrame, limit: int = 25) -> DataFrame:
-    limit = limit if 0 < limit <= 50 else 25
     return newest(tasks.filter((F.col("parent_id") == "") & F.col("status").isin(OPEN)), limit)
 
 
@@ -128,11 +131,11 @@ def summaries(nodes: DataFrame, limit: int) -> DataFrame:
     return picked.select("id", "ts", line.alias("line"))
 
 
-def unresolved(questions: DataFrame, limit: int = 20) -> DataFrame:
+def unresolved(questions: DataFrame, limit: int | None = 20) -> DataFrame:
     return newest(questions.filter(F.col("resolved").isNull()), limit, "created")
 
 
-def resolved(questions: DataFrame, since_ts: str, limit: int = 200, by: str = "created") -> DataFrame:
+def resolved(questions: DataFrame, since_ts: str, limit: int | None = None, by: str = "created") -> DataFrame:
     """Resolved questions created (or resolved, with ``by='resolved'``) from ``since_ts`` on."""
     recent = F.col(by) >= F.lit(since_ts).cast("timestamp_ntz")
     return newest(questions.filter(F.col("resolved").isNotNull() & recent), limit, "created")

@@ -6,11 +6,13 @@ The graph is one node table: entities and reified relationships, the latter with
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemograph.functions import columns as C
 from mnemograph.operators.skew import spread_join, top_rows
-from mnemograph.operators.vector import prune_weighed, weigh
+from mnemograph.operators.vector import node_weights, prune_weighed, weigh
 from mnemograph.session import stage
 
 NOISE = ["log", "response"]
@@ -71,7 +73,7 @@ def edges(nodes: DataFrame, at: DataFrame | None = None) -> DataFrame:
     return _exploded(nodes, _own, at).unionByName(_exploded(nodes, _incoming, at))
 
 
-def capped_edges(nodes: DataFrame, per_kind: int, at: DataFrame | None = None) -> DataFrame:
+def capped_edges(nodes: DataFrame, per_kind: int) -> DataFrame:
     """Edges a traversal sees: at most ``per_kind`` incoming ones of each kind per node.
 
     The cap does not depend on the query, so it is applied once for all of them, and in
@@ -79,9 +81,9 @@ def capped_edges(nodes: DataFrame, per_kind: int, at: DataFrame | None = None) -
     reachable.
     """
     capped = top_rows(
-        _exploded(nodes, _incoming, at), ["node_id", "kind"], [F.desc("weight"), F.asc("other")], per_kind, "n"
+        _exploded(nodes, _incoming, None), ["node_id", "kind"], [F.desc("weight"), F.asc("other")], per_kind, "n"
     ).drop("n").withColumn("is_edge", F.lit(True))
-    own = _exploded(nodes, _own, at).withColumn(
+    own = _exploded(nodes, _own, None).withColumn(
         "is_edge",
         (F.col("kind") == "object") | ((F.col("kind") == "entity_link") & (F.col("pos") < per_kind)),
     )
@@ -99,21 +101,23 @@ def expand(
 
     ``seeds`` holds (qid, id), ``query_vectors`` (qid, embedding). Each hop follows the
     capped edges of the frontier, marks everything found as visited, and continues
-    from the ``per_kind`` best new nodes per query. Only edges of frontier nodes are
-    read. Returns nodes (qid, id, hop) and edges (qid, source, target, predicate, hop).
+    from the ``per_kind`` best new nodes per query. The cap does not depend on the query:
+    the capped edges and the weights of all nodes are written once, and a hop joins its
+    frontier with them. Returns nodes (qid, id, hop) and edges (qid, source, target, predicate, hop).
     """
+    around = stage(capped_edges(nodes, per_kind), "edges")
+    weights = stage(node_weights(nodes), "weights")
     frontier = stage(seeds.select("qid", "id").distinct(), "seeds")
     visited = frontier
     found = visited.join(nodes.select("id"), "id", "left_semi").select("qid", "id", F.lit(0).alias("hop"))
     walked = None
     for hop in range(1, max(hops, 1) + 1):
         start = frontier.select("qid", F.col("id").alias("node_id"))
-        around = capped_edges(nodes, per_kind, start)
         steps = stage(spread_join(start, around, ["node_id"]), "steps")
         here = steps.filter("is_edge").select("qid", "source", "target", "predicate", F.lit(hop).alias("hop"))
         walked = here if walked is None else walked.unionByName(here)
         fresh = steps.select("qid", F.col("other").alias("id")).distinct().join(visited, ["qid", "id"], "left_anti")
-        candidates = weigh(fresh, nodes, query_vectors, per_kind, steps.count())
+        candidates = weigh(fresh, weights, query_vectors, per_kind, steps.count())
         visited = visited.unionByName(candidates.select("qid", "id"))
         frontier = prune_weighed(candidates, nodes, query_vectors, per_kind)
         found = found.unionByName(frontier.select("qid", "id", F.lit(hop).alias("hop")))
@@ -121,8 +125,8 @@ def expand(
     return found, first_seen
 
 
-def resolve_dangling(nodes: DataFrame, found: DataFrame, walked: DataFrame, passes: int = 4) -> DataFrame:
-    """Add the nodes that edges and found relationships refer to, until nothing is new.
+def resolve_dangling(nodes: DataFrame, found: DataFrame, walked: DataFrame, passes: int | None = None) -> DataFrame:
+    """Add the nodes that edges and found relationships refer to, until nothing is new (or ``passes`` times).
 
     Returns (qid, id, hop); resolved rows have no hop.
     """
@@ -131,7 +135,7 @@ def resolve_dangling(nodes: DataFrame, found: DataFrame, walked: DataFrame, pass
     wanted = walked.select("qid", F.explode(F.array("source", "target")).alias("id"))
     have = stage(found, "found")
     newest = have
-    for _ in range(passes):
+    for _ in count() if passes is None else range(passes):
         ends = newest.select("qid", "id").join(triples, "id").select(
             "qid", F.explode(F.array("subject_id", "object_id")).alias("id")
         )

@@ -87,11 +87,11 @@ def missing_embeddings(nodes: DataFrame) -> DataFrame:
 
 
 def find_entity(queries: DataFrame, nodes: DataFrame, pool: int = 15) -> DataFrame:
-    """Best person per ``queries(qid, name, embedding)`` among its nearest rows.
+    """Best person per ``queries(qid, name, embedding)`` among its ``pool`` nearest persons.
 
     A person whose content contains the name, or is contained in it, goes first.
     """
-    hits = nearest(queries, of_type_not_log(nodes), pool)
+    hits = nearest(queries, of_type(nodes, "person"), pool)
     people = of_type(nodes, "person").select("id", F.lower("content").alias("content"))
     named = hits.join(people, "id").join(queries.select("qid", C.trim_ws(F.lower("name")).alias("name")), "qid")
     match = F.contains(F.col("content"), F.col("name")) | F.contains(F.col("name"), F.col("content"))
@@ -99,17 +99,18 @@ def find_entity(queries: DataFrame, nodes: DataFrame, pool: int = 15) -> DataFra
     return named.groupBy("qid").agg(best.alias("b")).select("qid", "b.id", "b.score")
 
 
-def find_project(queries: DataFrame, nodes: DataFrame, pool: int = 5) -> DataFrame:
-    """Nearest project or goal per query among its ``pool`` nearest rows."""
-    hits = nearest(queries, of_type_not_log(nodes), pool)
-    projects = of_type(nodes, "project", "goal").select("id")
-    best = F.min_by(F.struct("id", "score"), F.col("rank"))
-    return hits.join(projects, "id").groupBy("qid").agg(best.alias("b")).select("qid", "b.id", "b.score")
+def find_project(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nearest project or goal per query."""
+    return nearest(queries, of_type(nodes, "project", "goal"), 1).select("qid", "id", "score")
 
 
 def discover_related(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
-    """Nearest rows per query, without persons whose content contains the name."""
-    hits = nearest(queries, of_type_not_log(nodes), limit * 2)
+    """Nearest rows per query, without persons whose content contains the name.
+
+    Rows that aren't persons are all considered, of the persons the ``2 * limit`` nearest.
+    """
+    others = nearest(queries, nodes.filter(~F.col("node_type").isin("log", "person")), limit)
+    hits = nearest(queries, of_type(nodes, "person"), limit * 2).unionByName(others)
     info = nodes.select("id", "node_type", F.lower("content").alias("content"))
     named = hits.join(info, "id").join(queries.select("qid", C.trim_ws(F.lower("name")).alias("name")), "qid")
     self_hit = (F.col("node_type") == "person") & F.contains(F.col("content"), F.col("name"))
@@ -117,10 +118,6 @@ def discover_related(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> D
     return top_rows(kept, ["qid"], [F.desc("score"), F.asc("id")], limit).select("qid", "id", "score", "rank")
 
 
-def of_type_not_log(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(F.col("node_type") != "log")
-
-
 def question_mentions(messages: DataFrame, questions: DataFrame) -> DataFrame:
     """Newest question that mentions a proper noun of each message(qid, text).
 
@@ -146,10 +143,12 @@ def project_mentions(analysed: DataFrame, project: str) -> DataFrame:
     return rows.filter(named).select("id", "ts", line.alias("line"))
 
 
-def active_project(tasks: DataFrame, roots: int = 15, children: int = 10) -> DataFrame:
-    """Newest open root task (of the newest ``roots``) with open children, and those children."""
+def active_project(tasks: DataFrame, roots: int | None = None, children: int = 10) -> DataFrame:
+    """Newest open root task with open children, and those children; with ``roots`` only of the newest ``roots``."""
     open_tasks = tasks.filter(F.col("status").isin("pending", "active"))
-    candidates = open_tasks.filter(F.col("parent_id") == "").orderBy(F.desc("ts"), F.asc("id")).limit(roots)
+    candidates = open_tasks.filter(F.col("parent_id") == "")
+    if roots is not None:
+        candidates = candidates.orderBy(F.desc("ts"), F.asc("id")).limit(roots)
     kids = open_tasks.filter(F.col("parent_id") != "")
     parent = (
         candidates.join(kids.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi")

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemograph.functions import columns as C
 from mnemograph.operators.skew import next_row, top_rows
+from mnemograph.session import stage
 
 
-def rank_in_list(hits: DataFrame, most: int = 100) -> DataFrame:
-    """1-based rank of the first ``most`` rows in each (qid, list), by (score desc, id)."""
-    return top_rows(hits, ["qid", "list"], [F.desc("score"), F.asc("id")], most)
+def rank_in_list(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """1-based rank of the rows in each (qid, list), by (score desc, id); of the first ``most`` only when given."""
+    order = [F.desc("score"), F.asc("id")]
+    if most is not None:
+        return top_rows(hits, ["qid", "list"], order, most)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "list").orderBy(*order)))
 
 
 def entry_line(ts: Column, source: Column, content: Column, image_url: Column, description: Column, entry_id: Column) -> Column:
@@ -39,17 +43,21 @@ def task_line(task_id: Column, status: Column, due: Column, content: Column) ->
 
 
 def char_budget(
-    rows: DataFrame, budget: int, order: list[Column], gap: int = 1, noun: str | None = "entries", min_len: int = 1
+    rows: DataFrame, budget: int, order: list[Column], gap: int = 1, noun: str | None = "entries"
 ) -> DataFrame:
     """Leading rows of each ``ctx`` whose summed ``line`` length (+ ``gap`` each) fits ``budget``.
 
     When rows are left over, one more row says how many (unless ``noun`` is None).
-    A line is at least ``min_len`` long, so no more than budget / (min_len + gap) rows
-    can fit: only that many rows per context reach the running sum.
+    The shortest line is measured first: no more rows than the budget has room for such
+    lines can fit, and only that many rows per context reach the running sum. Only where
+    lines are empty and ``gap`` is 0 all rows do.
     """
-    most = budget // (min_len + gap) + 1
-    totals = rows.groupBy("ctx").agg(F.count(F.lit(1)).alias("total"))
-    head = top_rows(rows, ["ctx"], order, most, "pos")
+    totals = stage(rows.groupBy("ctx").agg(F.count(F.lit(1)).alias("total"), F.min(F.length("line")).alias("shortest")), "totals")
+    least = (totals.agg(F.min("shortest")).first()[0] or 0) + gap
+    if least:
+        head = top_rows(rows, ["ctx"], order, budget // least + 1, "pos")
+    else:
+        head = rows.withColumn("pos", F.row_number().over(Window.partitionBy("ctx").orderBy(*order)))
     running = Window.partitionBy("ctx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.length("line") + gap).over(running)
     fits = head.withColumn("used", used).filter(F.col("used") <= budget).select("ctx", "pos", "line")

@@ -76,3 +76,30 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank:
     """First ``k`` rows per key with their rank. Spark cuts each map task to ``k`` rows first."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
+def latest_mark(df: DataFrame, keys: list[str], pos: str, tie: str, gap: int, span: int, name: str) -> DataFrame:
+    """Add ``name``: the ``pos`` of the row that starts the run of each row, within ``keys``.
+
+    A row starts a run when it is the first of its key or more than ``gap`` behind the row
+    before in (``pos``, ``tie``) order. Each key is cut into spans of ``pos``; what crosses a
+    span is found over one row per span, so a key of any length is many tasks.
+    """
+    cut = df.withColumn("_span", F.floor(F.col(pos) / span))
+    inside = Window.partitionBy(*keys, "_span").orderBy(pos, tie)
+    marked = cut.withColumn("_before", F.lag(pos).over(inside))
+    ends = marked.groupBy(*keys, "_span").agg(
+        F.min(pos).alias("_low"), F.max(pos).alias("_high"),
+        F.max(F.when(F.col(pos) - F.col("_before") > gap, F.col(pos))).alias("_start"),
+    )
+    along = Window.partitionBy(*keys).orderBy("_span")
+    ends = ends.withColumn("_prev", F.lag("_high").over(along))
+    opens = F.col("_prev").isNull() | (F.col("_low") - F.col("_prev") > gap)
+    ends = ends.withColumn("_start", F.coalesce("_start", F.when(opens, F.col("_low"))))
+    carried = F.last("_start", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "_span", "_prev", carried.alias("_carried"))
+    joined = marked.join(ends, [*keys, "_span"])
+    before = F.coalesce("_before", "_prev")
+    starts = F.when(before.isNull() | (F.col(pos) - before > gap), F.col(pos))
+    latest = F.max(starts).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn(name, F.coalesce(latest, "_carried")).drop("_span", "_before", "_prev", "_carried")

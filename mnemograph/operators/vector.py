@@ -291,21 +291,23 @@ def _score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def node_weights(nodes: DataFrame) -> DataFrame:
+    """(id, weight, has_vector): all that a traversal needs of a node before it prunes."""
+    have = F.coalesce(F.size("embedding"), F.lit(0)) > 0
+    return nodes.select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"), have.alias("has_vector"))
+
+
 def weigh(
-    candidates: DataFrame, nodes: DataFrame, query_vectors: DataFrame, k: int, at_most: int | None = None
+    candidates: DataFrame, weights: DataFrame, query_vectors: DataFrame, k: int, at_most: int | None = None
 ) -> DataFrame:
     """Known ``candidates(qid, id)`` with their weight and the ``way`` their query is pruned.
 
+    ``weights`` holds (id, weight, has_vector) of the known nodes.
     Ways: all (at most ``k`` candidates), vector (the query and every candidate have one),
     weight (otherwise). The result is staged; it holds no vectors.
     """
     have = F.coalesce(F.size("embedding"), F.lit(0)) > 0
-    light = spread_join(
-        candidates.select("qid", "id"),
-        nodes.select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"), have.alias("has_vector")),
-        ["id"],
-        at_most=at_most,
-    )
+    light = spread_join(candidates.select("qid", "id"), weights.select("id", "weight", "has_vector"), ["id"], at_most=at_most)
     counts = light.groupBy("qid").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.col("has_vector").cast("int")).alias("all_vectors")
     )
@@ -349,4 +351,4 @@ def prune(candidates: DataFrame, nodes: DataFrame, query_vectors: DataFrame, k:
     Queries with more than ``k`` candidates keep the best by cosine to the query vector,
     or by (weight desc, id) when the query has no vector or one of its candidates lacks one.
     """
-    return prune_weighed(weigh(candidates, nodes, query_vectors, k), nodes, query_vectors, k)
+    return prune_weighed(weigh(candidates, node_weights(nodes), query_vectors, k), nodes, query_vectors, k)

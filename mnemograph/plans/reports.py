@@ -42,7 +42,7 @@ def context_blocks(nodes: DataFrame, queries: DataFrame, tasks: DataFrame) -> Da
     return out
 
 
-def briefing_inputs(entries: DataFrame, nodes: DataFrame, watermark: str | None, most: int = 50, fallback: int = 3) -> DataFrame:
+def briefing_inputs(entries: DataFrame, nodes: DataFrame, watermark: str | None, most: int | None = None, fallback: int = 3) -> DataFrame:
     """New entries and active goals; without new entries only the top goals: (part, id, rank, text)."""
     new = filters.since(entries, watermark, most)
     kept = filters.active_goals(nodes, fallback if new.isEmpty() else 20)
@@ -59,10 +59,10 @@ def briefing_inputs(entries: DataFrame, nodes: DataFrame, watermark: str | None,
 
 
 def synthesis_inputs(
-    entries: DataFrame, tasks: DataFrame, questions: DataFrame, watermark: str | None, month_ago: str
+    entries: DataFrame, tasks: DataFrame, questions: DataFrame, watermark: str | None, month_ago: str, most: int | None = None
 ) -> DataFrame:
-    """(part, id, text): new entries, open root tasks, open and recently answered questions."""
-    new = filters.since(entries, watermark, 50)
+    """(part, id, text): all new (or the oldest ``most``) entries, open root tasks, open and recently answered questions."""
+    new = filters.since(entries, watermark, most)
     answer = F.coalesce(F.nullif(C.trim_ws(F.col("answer")), F.lit("")), F.lit("(skipped)"))
     parts = [
         new.select(F.lit("entry").alias("part"), "id", F.col("content").alias("text")),

@@ -167,22 +167,22 @@ WEATHER_CODES = [
     (95, 95, "Thunderstorm"), (96, 99, "Thunderstorm with hail"),
 ]
 
-# Time zone aliases.
+# Time zone alias -> zone.
 ZONES = {
-    "America/Los_Angeles": ["pst", "pt", "pacific", "pdt", "los angeles", "la"],
-    "America/Denver": ["mst", "mt", "mountain", "mdt", "denver"],
-    "America/Chicago": ["cst", "ct", "central", "cdt", "chicago"],
-    "America/New_York": ["est", "et", "eastern", "edt", "new york", "nyc"],
-    "UTC": ["utc", "gmt", "z"],
-    "Asia/Tokyo": ["jst", "tokyo", "japan"],
-    "Asia/Seoul": ["kst", "seoul", "korea"],
-    "Europe/Paris": ["cet", "paris"],
-    "Europe/London": ["bst", "london", "uk"],
-    "Asia/Kolkata": ["ist", "india"],
-    "Australia/Sydney": ["aest", "sydney", "aedt"],
-    "Asia/Shanghai": ["cst_china", "shanghai", "beijing", "china"],
-    "Asia/Hong_Kong": ["hkt", "hong kong"],
-    "Asia/Singapore": ["sgt", "singapore"],
+    "pst": "America/Los_Angeles", "pt": "America/Los_Angeles", "pacific": "America/Los_Angeles", "pdt": "America/Los_Angeles", "los angeles": "America/Los_Angeles", "la": "America/Los_Angeles",
+    "mst": "America/Denver", "mt": "America/Denver", "mountain": "America/Denver", "mdt": "America/Denver", "denver": "America/Denver",
+    "cst": "America/Chicago", "ct": "America/Chicago", "central": "America/Chicago", "cdt": "America/Chicago", "chicago": "America/Chicago",
+    "est": "America/New_York", "et": "America/New_York", "eastern": "America/New_York", "edt": "America/New_York", "new york": "America/New_York", "nyc": "America/New_York",
+    "utc": "UTC", "gmt": "UTC", "z": "UTC",
+    "jst": "Asia/Tokyo", "tokyo": "Asia/Tokyo", "japan": "Asia/Tokyo",
+    "kst": "Asia/Seoul", "seoul": "Asia/Seoul", "korea": "Asia/Seoul",
+    "cet": "Europe/Paris", "paris": "Europe/Paris",
+    "bst": "Europe/London", "london": "Europe/London", "uk": "Europe/London",
+    "ist": "Asia/Kolkata", "india": "Asia/Kolkata",
+    "aest": "Australia/Sydney", "sydney": "Australia/Sydney", "aedt": "Australia/Sydney",
+    "cst_china": "Asia/Shanghai", "shanghai": "Asia/Shanghai", "beijing": "Asia/Shanghai", "china": "Asia/Shanghai",
+    "hkt": "Asia/Hong_Kong", "hong kong": "Asia/Hong_Kong",
+    "sgt": "Asia/Singapore", "singapore": "Asia/Singapore",
 }
 
 # Unit -> (dimension, factor to the base unit, offset), base = value * factor + offset.

@@ -1,23 +1,22 @@
 """Incremental jobs on Structured Streaming.
 
-Every job reads files as they arrive, is triggered with ``availableNow`` and keeps its
-offsets in a checkpoint, so late and back-dated rows are seen once, when they arrive.
+Every job has a root folder. It reads files as they arrive, is triggered with
+``availableNow`` and keeps offsets, tables and pending rows under its root, so a new process
+on the same root goes on where the last one stopped. Late and back-dated rows are seen once,
+when they arrive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemograph import schema as V
 from mnemograph.functions import columns as C, outputs
 from mnemograph.operators import merge
+from mnemograph.operators.dedup import replay_tasks
 from mnemograph.plans.reports import should_skip
 from mnemograph.operators.skew import top_rows
-from mnemograph.session import new_path, stage
+from mnemograph.session import stage, versions
 
 
 def read_files(spark: SparkSession, folder: str, like: DataFrame, pattern: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -29,85 +28,120 @@ def read_files(spark: SparkSession, folder: str, like: DataFrame, pattern: str |
     return reader.parquet(folder)
 
 
-def run_to_parquet(stream: DataFrame, label: str) -> DataFrame:
-    """Drain an append stream into a parquet table and read it back."""
-    spark = stream.sparkSession
-    path, state = new_path(spark, label), new_path(spark, f"{label}-state")
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
-
+def run_batches(stream: DataFrame, root: str, handle) -> None:
+    """Drain a stream through ``handle(batch, batch_id)``; its offsets live in ``root``.
 
-def run_batches(stream: DataFrame, label: str, handle) -> None:
-    """Drain a stream through ``handle(batch, batch_id)``."""
-    state = new_path(stream.sparkSession, f"{label}-state")
+    The same root resumes where the last run ended: a batch that was being handled comes
+    again under its number, files that arrived meanwhile follow.
+    """
+    state = f"{root}/checkpoint"
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
-def task_dedup(tasks: DataFrame, seconds: int = 30) -> DataFrame:
-    """First task per entry and normalised content inside the window."""
-    rows = tasks.withColumn("event_time", F.col("ts").cast("timestamp")).withColumn("norm", C.dedup_text(F.col("content")))
-    return rows.withWatermark("event_time", f"{seconds} seconds").dropDuplicatesWithinWatermark(["entry_id", "norm"]).drop("event_time", "norm")
+class Batches:
+    """A table kept as one complete folder per batch; what there is, is read from the folders."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def numbers(self, before: int | None = None) -> list[int]:
+        return [n for n in versions(self.spark, self.path) if before is None or n < before]
+
+    def write(self, df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/version={number}")
+
+    def read(self, before: int | None = None, numbers: list[int] | None = None) -> DataFrame:
+        """All rows, with their ``version``."""
+        kept = self.numbers(before) if numbers is None else numbers
+        if not kept:
+            return self.spark.createDataFrame([], f"{self.schema}, version int")
+        paths = [f"{self.path}/version={n}" for n in kept]
+        return self.spark.read.schema(f"{self.schema}, version int").option("basePath", self.path).parquet(*paths)
+
+
+class TaskDedupJob:
+    """First task per entry and normalised content inside the window, whatever order rows arrive in.
+
+    Rows hold (id, entry_id, content, ts). A batch is replayed in time order together with
+    the stored tasks of its keys; what it creates is stored. A row that is older than all
+    stored ones is created, so late files lose nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, seconds: int = 30):
+        self.spark, self.root, self.seconds = spark, root, seconds
+        self.created = Batches(spark, f"{root}/created", "id string, entry_id string, content string, ts timestamp_ntz")
+
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("id", "entry_id", "content", "ts").dropDuplicates(["id"])
+        key = ["entry_id", C.dedup_text(F.col("content")).alias("norm")]
+        stored = self.created.read(before=batch_id).drop("version")
+        stored = stored.withColumn("norm", key[1]).join(rows.select(*key).distinct(), ["entry_id", "norm"], "left_semi").drop("norm")
+        both = rows.join(stored.select("id"), "id", "left_anti").withColumn("stored", F.lit(False)).unionByName(stored.withColumn("stored", F.lit(True)))
+        made = replay_tasks(both, self.seconds).filter("id = created_id").select("id")
+        self.created.write(rows.join(stored.select("id"), "id", "left_anti").join(made, "id", "left_semi"), batch_id)
+
+    def table(self) -> DataFrame:
+        return self.created.read().drop("version")
 
 
-def late_rows(stream: DataFrame, label: str, run: str | None = None) -> DataFrame:
+def late_rows(stream: DataFrame, root: str) -> DataFrame:
     """All rows with a flag ``late``: older than the newest row of an earlier batch."""
     spark = stream.sparkSession
-    root = run or new_path(spark, label)
-    newest_path = f"{root}/newest"
-    schema = stream.schema.simpleString()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    rows = Batches(spark, f"{root}/rows", f"{columns}, late boolean")
+    newest = Batches(spark, f"{root}/newest", "newest timestamp_ntz")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        before = None
-        if batch_id > 0:
-            before = (
-                spark.read.schema("newest timestamp_ntz, batch bigint").parquet(newest_path)
-                .filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
-            )
-        flag = F.lit(False) if before is None else F.col("ts") < F.lit(before).cast("timestamp_ntz")
-        batch.withColumn("late", flag).write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
-        batch.agg(F.max("ts").alias("newest")).withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{newest_path}/part={batch_id}"
-        )
+        before = newest.read(before=batch_id).agg(F.max("newest")).first()[0]
+        flag = F.lit(False) if before is None else F.coalesce(F.col("ts") < F.lit(before).cast("timestamp_ntz"), F.lit(False))
+        rows.write(batch.withColumn("late", flag), batch_id)
+        newest.write(batch.agg(F.max("ts").alias("newest")), batch_id)
 
-    run_batches(stream, label, handle)
-    return spark.read.parquet(f"{root}/rows").drop("batch")
+    run_batches(stream, root, handle)
+    return rows.read().drop("version")
 
 
 class CycleJob:
     """Entries since the last cycle, processed when there are enough of them or enough time has passed.
 
     Rows that do not reach the threshold wait in a pending table and join the next batch.
-    Cycles are capped at ``most`` rows, oldest first; the rest stays pending, so none is lost.
-    ``tick`` gives the hours since the last cycle.
+    ``most`` caps a cycle at its oldest rows; the rest stays pending. ``tick`` gives the
+    hours since the last cycle; ``close`` processes what still waits. A batch that comes
+    again starts from the pending rows before it.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, least: int = 5, hours: float = 24, most: int | None = 50):
-        self.spark = spark
-        self.root = root or new_path(spark, "cycle")
+    ROWS = "id string, ts timestamp_ntz"
+
+    def __init__(self, spark: SparkSession, root: str, least: int = 5, hours: float = 24, most: int | None = None):
+        self.spark, self.root = spark, root
         self.least, self.hours, self.most = least, hours, most
-        self.pending: str | None = None
-        self.cycles = 0
+        self.waiting = Batches(spark, f"{root}/pending", self.ROWS)
+        self.done = Batches(spark, f"{root}/cycles", self.ROWS)
+
+    def pending(self, before: int | None = None) -> DataFrame:
+        return self.waiting.read(numbers=self.waiting.numbers(before)[-1:]).drop("version")
 
     def handle(self, batch: DataFrame, batch_id: int, tick: float | None = None, forced: bool = False) -> None:
-        waiting = batch.select("id", "ts")
-        if self.pending:
-            waiting = waiting.unionByName(self.spark.read.schema("id string, ts timestamp_ntz").parquet(self.pending))
-        path = f"{self.root}/pending/{batch_id}"
-        since = tick if self.cycles else None
+        waiting = batch.select("id", "ts").unionByName(self.pending(before=batch_id))
+        since = tick if self.done.numbers(before=batch_id) else None
         if should_skip(waiting.count(), since, forced, self.least, self.hours):
-            waiting.write.mode("overwrite").parquet(path)
+            self.done.write(waiting.limit(0), batch_id)
+            self.waiting.write(waiting, batch_id)
         else:
-            chosen = waiting if self.most is None else waiting.orderBy("ts", "id").limit(self.most)
-            out = f"{self.root}/cycles/cycle={batch_id}"
-            chosen.write.mode("overwrite").parquet(out)
-            done = self.spark.read.schema("id string, ts timestamp_ntz").parquet(out)
-            waiting.join(done.select("id"), "id", "left_anti").write.mode("overwrite").parquet(path)
-            self.cycles += 1
-        self.pending = path
+            self.done.write(waiting if self.most is None else waiting.orderBy("ts", "id").limit(self.most), batch_id)
+            taken = self.done.read(numbers=[batch_id])
+            self.waiting.write(waiting.join(taken.select("id"), "id", "left_anti"), batch_id)
+
+    def close(self) -> None:
+        """Process all pending rows, as a cycle of the last batch."""
+        last = self.waiting.numbers()[-1:]
+        if last:
+            rest = stage(self.pending(), "rest").unionByName(stage(self.done.read(numbers=last).drop("version"), "taken"))
+            self.done.write(rest, last[0])
+            self.waiting.write(rest.limit(0), last[0])
 
     def processed(self) -> DataFrame:
-        return self.spark.read.schema("id string, ts timestamp_ntz, cycle int").parquet(f"{self.root}/cycles")
+        return self.done.read().withColumnRenamed("version", "cycle")
 
 
 class IngestJob:
@@ -129,23 +163,21 @@ class IngestJob:
         "proposals": "id string, question string, context string",
     }
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
-        self.root = root or new_path(spark, "ingest")
-        self.batches: list[int] = []
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = 50):
+        self.spark, self.root, self.compact_every = spark, root, compact_every
         self.proposal_errors: list[str] = []
 
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/version={version}"
+    def _changes(self, name: str) -> Batches:
+        return Batches(self.spark, f"{self.root}/{name}", self.SCHEMAS[name])
+
+    def _folded(self, name: str) -> Batches:
+        return Batches(self.spark, f"{self.root}/folded-{name}", self.SCHEMAS[name])
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
-        schema = self.SCHEMAS[name]
-        kept = [b for b in self.batches if before is None or b < before]
-        if not kept:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, version int").option("basePath", f"{self.root}/{name}").parquet(
-            *[self._path(name, b) for b in kept]
-        )
+        """The table after all batches (``before`` a batch): the last fold and the changes since."""
+        folded = self._folded(name).numbers(before)[-1:]
+        since = [n for n in self._changes(name).numbers(before) if not folded or n > folded[0]]
+        rows = self._folded(name).read(numbers=folded).unionByName(self._changes(name).read(numbers=since))
         if name in ("nodes", "relationships"):
             columns = [c for c in rows.columns if c not in ("id", "version")]
             latest = rows.groupBy("id").agg(F.max_by(F.struct(*columns), "version").alias("r"))
@@ -217,23 +249,23 @@ class IngestJob:
             "links": back.join(stored("links"), pair, "left_anti"),
         }
         for name, df in changes.items():
-            df.write.mode("overwrite").parquet(self._path(name, batch_id))
+            self._changes(name).write(df, batch_id)
         try:
             asked = outputs.evaluator_fields(texts).filter(F.col("proposal").isNotNull())
             proposals = asked.select("id", F.col("proposal").alias("question"), F.col("intent").alias("context"))
-            proposals.write.mode("overwrite").parquet(self._path("proposals", batch_id))
+            self._changes("proposals").write(proposals, batch_id)
         except Exception as exc:
             self.proposal_errors.append(f"{batch_id}: {exc}")
-            self.spark.createDataFrame([], self.SCHEMAS["proposals"]).write.mode("overwrite").parquet(self._path("proposals", batch_id))
-        if batch_id not in self.batches:
-            self.batches.append(batch_id)
+            self._changes("proposals").write(self.spark.createDataFrame([], self.SCHEMAS["proposals"]), batch_id)
+        if batch_id % self.compact_every == self.compact_every - 1:
+            self.compact()
 
     def compact(self) -> None:
-        """Fold all batches into the table version of the last one."""
-        last, root = max(self.batches), f"{self.root}/compact-{len(self.batches)}"
+        """Fold all batches of every table into the state after the last one."""
         for name in self.SCHEMAS:
-            self.table(name).write.parquet(f"{root}/{name}/version={last}")
-        self.root, self.batches = root, [last]
+            last = self._changes(name).numbers()[-1:]
+            if last and last != self._folded(name).numbers()[-1:]:
+                self._folded(name).write(self.table(name), last[0])
 
 
 class HotEdgesJob:
@@ -250,27 +282,22 @@ class HotEdgesJob:
 
     STATE = "object_id string, slot int, id string, score double"
 
-    def __init__(self, spark: SparkSession, root: str | None = None, slots: int = V.HOT_EDGE_SLOTS, compact_every: int = 50):
-        self.spark, self.slots, self.compact_every = spark, slots, compact_every
-        self.root = root or new_path(spark, "hot-edges")
-        self.base: str | None = None
-        self.parts: dict[int, str] = {}
+    def __init__(self, spark: SparkSession, root: str, slots: int = V.HOT_EDGE_SLOTS, compact_every: int = 50):
+        self.spark, self.slots, self.compact_every, self.root = spark, slots, compact_every, root
+        self.parts = Batches(spark, f"{root}/objects", self.STATE)
+        self.folds = Batches(spark, f"{root}/folded", self.STATE)
 
     def seed(self, state: DataFrame) -> None:
-        self.base = f"{self.root}/base-seed"
-        state.select("object_id", F.col("slot").cast("int"), "id", "score").write.parquet(self.base)
+        """The cache as it is before the first batch."""
+        self.folds.write(state.select("object_id", F.col("slot").cast("int"), "id", "score"), -1)
 
     def state(self, before: int | None = None) -> DataFrame:
-        paths = [(-1, self.base)] if self.base else []
-        paths += [(n, p) for n, p in sorted(self.parts.items()) if before is None or n < before]
-        if not paths:
-            return self.spark.createDataFrame([], self.STATE)
-        frames = [self.spark.read.schema(self.STATE).parquet(p).withColumn("batch", F.lit(n)) for n, p in paths]
-        rows = frames[0]
-        for frame in frames[1:]:
-            rows = rows.unionByName(frame)
-        last = rows.groupBy("object_id").agg(F.max("batch").alias("batch"))
-        return rows.join(last, ["object_id", "batch"], "left_semi").drop("batch")
+        """The cache after all batches (``before`` a batch): of each object the rows of its last batch."""
+        folded = self.folds.numbers(before)[-1:]
+        since = [n for n in self.parts.numbers(before) if not folded or n > folded[0]]
+        rows = self.folds.read(numbers=folded).unionByName(self.parts.read(numbers=since))
+        last = rows.groupBy("object_id").agg(F.max("version").alias("version"))
+        return rows.join(last, ["object_id", "version"], "left_semi").drop("version")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         seen = stage(
@@ -309,64 +336,12 @@ class HotEdgesJob:
             "object_id", F.lit(1).alias("slot"), "id", F.lit(1.0).alias("score")
         )
         out = state.join(last.select("object_id", "slot"), ["object_id", "slot"], "left_anti").select(*last.columns).unionByName(last)
-        path = f"{self.root}/batch={batch_id}"
-        out.write.mode("overwrite").parquet(path)
-        self.parts[batch_id] = path
-        if len(self.parts) > self.compact_every:
-            self.compact(batch_id)
-
-    def compact(self, batch_id: int) -> None:
-        """Fold all batches before ``batch_id`` into one table."""
-        base = f"{self.root}/base-{batch_id}"
-        self.state(before=batch_id).write.mode("overwrite").parquet(base)
-        self.base, self.parts = base, {batch_id: self.parts[batch_id]}
-
-
-def question_flow(events: DataFrame) -> DataFrame:
-    """Question dialogue per client, in update mode: (client, at, action, question_id, text).
-
-    Events hold (client, at, kind, question_id, text, ask_count, last_asked) with kind
-    'question' (a question becomes open) or 'message' (the client says something). A
-    message answers or skips the active question; then the newest open question whose
-    backoff has passed is asked. Rows of a client are taken in arrival order, those that
-    arrive together in time order. State is the client's open questions.
-    """
-
-    def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, ids, created, counts, asked_at = (state.get if state.exists else ("", [], [], [], []))
-        waiting = {q: [c, n, a] for q, c, n, a in zip(ids, created, counts, asked_at)}
-        day_us = 86_400_000_000
-        out = []
-        for chunk in chunks:
-            for row in chunk.sort_values(["at", "kind", "question_id"], ascending=[True, False, True]).itertuples():
-                if row.kind == "question":
-                    waiting[row.question_id] = [row.at, int(row.ask_count), int(row.last_asked)]
-                    continue
-                text = (row.text or "").strip()
-                if active:
-                    skipped = text.lower() in ("skip", "/skip")
-                    out.append((key[0], row.at, "skipped" if skipped else "answered", active, "" if skipped else text))
-                    if not skipped:
-                        waiting.pop(active, None)
-                    active = ""
-                due = [
-                    (-c, q)
-                    for q, (c, n, a) in waiting.items()
-                    if n == 0 or a < 0 or row.at - a >= min(30, 2 ** (min(n, 6) - 1)) * day_us
-                ]
-                if due:
-                    active = min(due)[1]
-                    waiting[active][1] += 1
-                    waiting[active][2] = row.at
-                    out.append((key[0], row.at, "asked", active, ""))
-        state.update((active, list(waiting), *(([w[i] for w in waiting.values()]) for i in range(3))))
-        yield pd.DataFrame(out, columns=["client", "at", "action", "question_id", "text"])
-
-    return events.groupBy("client").applyInPandasWithState(
-        update,
-        "client string, at bigint, action string, question_id string, text string",
-        "active string, ids array<string>, created array<bigint>, counts array<int>, asked_at array<bigint>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+        self.parts.write(out, batch_id)
+        if batch_id % self.compact_every == self.compact_every - 1:
+            self.compact()
 
+    def compact(self) -> None:
+        """Fold all batches into the state after the last one."""
+        last = self.parts.numbers()[-1:]
+        if last and last != self.folds.numbers()[-1:]:
+            self.folds.write(self.state(), last[0])

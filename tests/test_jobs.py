@@ -49,24 +49,43 @@ def test_skip_rule():
     assert should_skip(4, 23.9, False) and not should_skip(4, 1.0, True)
 
 
-def batches(spark, frames):
-    path = new_path(spark, "in")
-    for f in frames:
-        f.coalesce(1).write.mode("append").parquet(path)
-    return jobs.read_files(spark, path, frames[0], per_trigger=1)
+def times(spark, items):
+    return spark.createDataFrame(items, "id string, t string").select("id", F.col("t").cast(NTZ).alias("ts")).coalesce(1)
 
 
-def test_cycle_waits_then_takes_all(spark):
-    rows = lambda ids: spark.createDataFrame([(i, "2024-01-01 00:00:00") for i in ids], "id string, t string").select("id", F.col("t").cast(NTZ).alias("ts"))
-    job = jobs.CycleJob(spark, most=None)
-    jobs.run_batches(batches(spark, [rows(["a"]), rows(["b", "c"]), rows(["d", "e", "f"])]), "c", lambda b, i: job.handle(b, i, tick=1.0))
-    assert job.cycles >= 1 and {r.id for r in job.processed().collect()} == set("abcdef")
+def arrive(spark, folder, frame):
+    frame.coalesce(1).write.mode("append").parquet(folder)
+    return jobs.read_files(spark, folder, frame, per_trigger=1)
 
 
-def test_late_rows(spark):
-    rows = lambda items: spark.createDataFrame(items, "id string, t string").select("id", F.col("t").cast(NTZ).alias("ts")).coalesce(1)
-    got = jobs.late_rows(batches(spark, [rows([("a", "2024-01-05 00:00:00")]), rows([("b", "2024-01-01 00:00:00"), ("c", "2024-01-06 00:00:00")])]), "late")
-    assert {r.id: r.late for r in got.collect()} in ({"a": False, "b": True, "c": False}, {"a": True, "b": False, "c": False})
+def test_cycle_survives_a_restart(spark):
+    rows = lambda ids: times(spark, [(i, "2024-01-01 00:00:00") for i in ids])
+    folder, root = new_path(spark, "in"), new_path(spark, "c")
+    jobs.CycleJob(spark, root).handle(rows("x"), -1)  # the first cycle never waits
+    for ids in ("ab", "cdefg", "h"):
+        job = jobs.CycleJob(spark, root)
+        jobs.run_batches(arrive(spark, folder, rows(ids)), root, lambda b, i, job=job: job.handle(b, i, tick=1.0))
+        if ids == "ab":
+            assert {r.id for r in job.pending().collect()} == set("ab")
+    assert {r.id for r in job.processed().collect()} == set("xabcdefg") and [r.id for r in job.pending().collect()] == ["h"]
+    job.close()
+    assert {r.id for r in job.processed().collect()} == set("xabcdefgh")
+
+
+def test_late_rows_over_two_runs(spark):
+    folder, root = new_path(spark, "in"), new_path(spark, "late")
+    jobs.late_rows(arrive(spark, folder, times(spark, [("a", "2024-01-05 00:00:00")])), root)
+    got = jobs.late_rows(arrive(spark, folder, times(spark, [("b", "2024-01-01 00:00:00"), ("c", "2024-01-06 00:00:00")])), root)
+    assert {r.id: r.late for r in got.collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_task_dedup_keeps_late_files_and_state(spark):
+    folder, root = new_path(spark, "in"), new_path(spark, "d")
+    task = lambda items: times(spark, items).select("id", F.lit("e").alias("entry_id"), F.lit(" Do  It").alias("content"), "ts")
+    for items in ([("a", "2024-01-10 00:00:00")], [("z", "2024-01-10 00:05:00"), ("y", "2024-01-10 00:05:20")], [("late", "2024-01-01 00:00:00")], [("again", "2024-01-10 00:00:10")]):
+        job = jobs.TaskDedupJob(spark, root)
+        jobs.run_batches(arrive(spark, folder, task(items)), root, job.handle)
+    assert {r.id for r in job.table().collect()} == {"a", "z", "late"}
 
 
 TEXT = "triples:\nAnn | works at | Acme | person | work\nAnn | NEW:mentors | Bob\nbad\nfuture_commitment: 0.9\ncommitment_intent: call the bank"
@@ -74,7 +93,7 @@ TEXT = "triples:\nAnn | works at | Acme | person | work\nAnn | NEW:mentors | Bob
 
 def test_ingest_is_idempotent(spark):
     batch = spark.createDataFrame([("e1", TEXT, "Ann"), ("e2", TEXT, "Ann")], "id string, text string, owner string").withColumn("ts", F.lit("2024-01-01").cast(NTZ))
-    job = jobs.IngestJob(spark)
+    job = jobs.IngestJob(spark, new_path(spark, "ingest"))
     job.handle(batch, 0)
     first = {n: sorted(map(str, job.table(n).collect())) for n in ("nodes", "relationships", "evidence", "links")}
     job.handle(batch, 1)
@@ -83,6 +102,7 @@ def test_ingest_is_idempotent(spark):
     assert job.table("evidence").filter("target_id = 'e1'").count() == 2 + job.table("nodes").count()
     assert {r.context for r in job.proposals().collect()} == {"call the bank"}
     job.compact()
+    job = jobs.IngestJob(spark, job.root)  # a new process on the same root
     assert first == {n: sorted(map(str, job.table(n).collect())) for n in first}
 
 
@@ -98,7 +118,7 @@ def test_hot_edges_stream_matches_sequence(spark):
                 cache.append(i)
             else:
                 cache[0] = i
-    job = jobs.HotEdgesJob(spark)
+    job = jobs.HotEdgesJob(spark, new_path(spark, "hot"))
     for n, f in enumerate(frames):
         job.handle(f, n)
     job.handle(frames[-1], 2)  # a replayed batch changes nothing
@@ -107,7 +127,7 @@ def test_hot_edges_stream_matches_sequence(spark):
 
 
 def test_hot_edges_evicts_lowest_first(spark):
-    job = jobs.HotEdgesJob(spark, slots=3, compact_every=1)
+    job = jobs.HotEdgesJob(spark, new_path(spark, "hot"), slots=3, compact_every=1)
     job.seed(spark.createDataFrame([("o", 1, "a", 0.9), ("o", 2, "b", 0.2), ("o", 3, "c", 0.5), ("p", 1, "z", 1.0)], "object_id string, slot int, id string, score double"))
     new = lambda ids, at: spark.createDataFrame([("o", i, at + n) for n, i in enumerate(ids)], "object_id string, id string, seen_at bigint")
     job.handle(new("defg", 10), 0)
@@ -117,13 +137,6 @@ def test_hot_edges_evicts_lowest_first(spark):
     assert {(r.object_id, r.slot): r.id for r in job.state().collect()} == {("o", 1): "i", ("o", 2): "d", ("o", 3): "e", ("p", 1): "z"}
 
 
-def test_question_flow(spark):
-    ev = [("c", 1, "question", "q1", "", 0, -1), ("c", 2, "question", "q2", "", 0, -1), ("c", 3, "message", "", "hello", 0, -1), ("c", 4, "message", "", "skip", 0, -1), ("c", 5, "message", "", "an answer", 0, -1)]
-    df = spark.createDataFrame(ev, "client string, at bigint, kind string, question_id string, text string, ask_count int, last_asked bigint")
-    got = jobs.run_to_parquet(jobs.question_flow(batches(spark, [df])), "flow").orderBy("at", "action").collect()
-    assert [(r.at, r.action, r.question_id) for r in got] == [(3, "asked", "q2"), (4, "asked", "q1"), (4, "skipped", "q2"), (5, "answered", "q1")]
-
-
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
