@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     crowd = scratch.keep(member.where(F.col("members") > CROWDED).select("rep").distinct(), "crowd")
     crowded = only(docs, "doc_id", crowd).dropDuplicates(["doc_id"])
-    fine = scratch.keep(_crowded(crowded.mapInArrow(_fine_bands, "key long, rep long").repartition("key")), "fine")
+    fine = scratch.keep(_crowded(crowded.mapInArrow(_fine_bands, "key long, rep long"), scratch), "fine")
     member = _open(fine, components(links, scratch), scratch)
     links = links.union(scratch.keep(_compared(member, crowded, reps, percent), "links"))
 
@@ -258,8 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _hub_pairs(banded: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(key, rep, rank, members) of the buckets with several members, and the pairs (a < b) of each member and its hub."""
-    banded = banded.repartition("key")
-    counted = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    counted = scratch.keep(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "counted")
     shared = scratch.keep(banded.join(counted, "key"), "shared")
     degree = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
     ranked = shared.join(degree, "rep").select("key", "rep", "members", F.struct("degree", (-F.col("rep")).alias("low")).alias("rank"))
@@ -270,8 +269,8 @@ def _hub_pairs(banded: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return ranked, scratch.keep(pairs.distinct(), "pairs")
 
 
-def _crowded(banded: DataFrame) -> DataFrame:
-    counted = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+def _crowded(banded: DataFrame, scratch: Scratch) -> DataFrame:
+    counted = scratch.keep(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "counted")
     return banded.join(counted, "key").withColumn("rank", -F.col("rep"))
 
 
