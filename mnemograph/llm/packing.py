@@ -25,14 +25,14 @@ CHUNKS = 1024
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _complement(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that fill ``gap`` and are in stock, the largest first."""
+def _complement(have: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
+    """Up to ``most`` (three) lengths that fill ``gap`` and are in stock, the fewest and the largest first."""
     if gap <= 0:
         return None
     if have[gap] > 0:
         return (gap,)
-    pair = _pair(have, gap, gap - 1)
-    if pair:
+    pair = _pair(have, gap, gap - 1) if most > 1 else None
+    if pair or most < 3:
         return pair
     for top in np.flatnonzero(have[: gap - 1])[::-1].tolist():
         if 3 * top < gap:
@@ -58,9 +58,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     From the longest length down, a length takes the one, two or three lengths whose sum fills
     its gap exactly, as often at once as the stock allows. What finds no complement is packed
-    best-fit decreasing, whole groups of equal sequences at a time. A step uses up a length or
-    a group of gaps, so the plan's size and time depend on ``capacity`` alone.
+    best-fit decreasing, whole groups of equal sequences at a time. Pairs and triples can take
+    the short pieces that other long ones need, so the plan is made with up to one, two and
+    three, and the one with the fewest sequences counts. A step uses up a length or a group of
+    gaps: the plan's size and time depend on ``capacity`` alone.
     """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -69,7 +76,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     for length in range(capacity - 1, 0, -1):
         while have[length] > 0:
             have[length] -= 1
-            rest = _complement(have, capacity - length)
+            rest = _complement(have, capacity - length, most)
             have[length] += 1
             if rest is None:
                 left[length] = have[length]

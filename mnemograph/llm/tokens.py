@@ -128,8 +128,8 @@ def _huge(texts: DataFrame, model: str, chunk: int, overlap: int, scratch: Scrat
         shared = F.array_intersect(F.expr("transform(tail, x -> struct(x.place, x.piece))"), F.expr("transform(next, x -> struct(x.place, x.piece))"))
         seams = seams.withColumn("shared", F.get(shared, F.lit(0))).select(
             "text_id", "n",
-            F.expr("filter(tail, x -> x.place = shared.place)[0].before").alias("upto"),
-            F.expr("filter(next, x -> x.place = shared.place)[0].before").alias("since"),
+            F.expr("get(filter(tail, x -> x.place = shared.place), 0).before").alias("upto"),
+            F.expr("get(filter(next, x -> x.place = shared.place), 0).before").alias("since"),
         )
         spliced = seams.groupBy("text_id").agg(
             F.sum(F.col("n") - F.col("upto") + F.col("since")).alias("twice"), F.max(F.col("upto").isNull()).alias("apart")
