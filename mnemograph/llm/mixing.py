@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     one = one.withColumn("level", level).withColumn("level", F.max("level").over(whole))
     one = one.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
     one = one.withColumn("take", F.floor(F.col("target") + 0.5).cast("long"))
-    upto = F.sum("take").over(Window.orderBy("sid")) / F.sum("take").over(whole)
+    upto = F.try_divide(F.sum("take").over(Window.orderBy("sid")), F.sum("take").over(whole))
     edge = F.coalesce(F.floor(upto * float(1 << 32)), F.lit(0)).cast("long")
     one = one.withColumn("hi", edge).withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("sid")))
     return one.select("source", "sid", "source_size", "target", "take", "lo", "hi")

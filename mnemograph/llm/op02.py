@@ -32,16 +32,18 @@ def _fences(keys: str) -> str:
 
 
 SQL = rf"""
-WITH split AS (
+WITH split AS MATERIALIZED (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
          [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
   FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM split),
 grams AS (
-  SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, unnest([hash(words[i:i + 7]) FOR i IN range(1, len(words) - 6)]) AS gram
-  FROM split WHERE len(words) >= 8),
+  SELECT doc_id, i, gram FROM (
+    SELECT doc_id, i, string_agg(word, ' ') OVER w AS gram, count(*) OVER w AS n
+    FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8),
 twice AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams),
-covered AS (
+covered AS MATERIALIZED (
   SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(0, 8) r(j) WHERE n > 1 GROUP BY doc_id),
 base AS (
   SELECT doc_id, lang, source, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
@@ -49,12 +51,12 @@ base AS (
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
          length(regexp_replace(text, '[^\p{{Lu}}!]+', '', 'g')) AS capitals
   FROM split LEFT JOIN covered USING (doc_id)),
-measured AS (
+measured AS MATERIALIZED (
   SELECT *, n_symbols * 1000 // greatest(word_chars, 1) AS m_symbols, capitals * 1000 // greatest(word_chars, 1) AS m_capitals,
          n_dup_lines * 1000 // greatest(n_lines, 1) AS m_dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS m_repeats,
          word_chars * 100 // greatest(n_words, 1) AS m_word_length, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
   FROM base),
-sketch AS (
+sketch AS MATERIALIZED (
   SELECT lang, source, metric, {_LOW} AS bucket
   FROM (SELECT lang, source, unnest([{", ".join(f"{{'metric': '{m}', 'v': m_{m}}}" for m in quality.SPREADS)}], recursive := true)
         FROM measured WHERE n_words >= 20)),
