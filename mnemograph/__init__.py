@@ -1,3 +1,3 @@
-"""Journal and knowledge-graph analytics on Spark DataFrames."""
+"""Log and knowledge-graph analytics on Spark DataFrames."""
 
 __version__ = "0.1.0"

@@ -77,23 +77,24 @@ def knn_lsh(v: Views):
 
 @query(
     "prune_candidates",
-    """WITH c AS (SELECT 'task-' || (o_orderkey % 40) AS qid, 'ord-' || o_orderkey AS id, 0.1 * (o_orderkey % 7) AS weight,
-                CASE WHEN o_orderkey % 40 = 3 AND o_orderkey < 100 THEN NULL ELSE e.embedding END AS embedding
-              FROM orders JOIN embeddings e ON e.vec_id = o_orderkey % (SELECT count(*) FROM embeddings)),
-        q AS (SELECT 'task-' || vec_id AS qid, embedding FROM embeddings WHERE vec_id <> 5),
+    """WITH n AS (SELECT count(*) AS n FROM embeddings),
+        c AS (SELECT 'task-' || (o_custkey % (n + 1)) AS qid, 'ord-' || o_orderkey AS id, 0.1 * (o_orderkey % 7) AS weight,
+                CASE WHEN o_orderkey % 97 = 3 THEN NULL ELSE e.embedding END AS embedding
+              FROM orders, n, embeddings e WHERE e.vec_id = o_orderkey % n),
+        q AS (SELECT 'task-' || vec_id AS qid, embedding FROM embeddings),
         s AS (SELECT c.qid, c.id, weight, CASE WHEN min((c.embedding IS NOT NULL)::INT) OVER (PARTITION BY c.qid) = 1 AND q.embedding IS NOT NULL
                 THEN round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) ELSE 0 END AS sim FROM c LEFT JOIN q ON q.qid = c.qid)
         SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, weight DESC, id) AS rn FROM s) WHERE rn <= 8""",
 )
 def prune_candidates(v: Views):
     o, e, n = v.table("orders"), v.table("embeddings"), v.n_vectors
-    k = F.col("o_orderkey")
-    gap = (k % 40 == 3) & (k < 100)
-    rows = o.select(k, (k % n).alias("vec_id")).join(e, "vec_id").select(
-        F.concat(F.lit("task-"), k % 40).alias("qid"), F.concat(F.lit("ord-"), k).alias("id"),
+    k, owner = F.col("o_orderkey"), F.col("o_custkey")
+    gap = k % 97 == 3
+    rows = o.select(k, owner, (k % n).alias("vec_id")).join(e, "vec_id").select(
+        F.concat(F.lit("task-"), owner % (n + 1)).alias("qid"), F.concat(F.lit("ord-"), k).alias("id"),
         (0.1 * (k % 7)).alias("weight"), F.when(~gap, F.col("embedding")).alias("embedding"),
     )
-    vectors = e.filter(F.col("vec_id") != 5).select(F.concat(F.lit("task-"), "vec_id").alias("qid"), "embedding")
+    vectors = e.select(F.concat(F.lit("task-"), "vec_id").alias("qid"), "embedding")
     return vector.prune(rows.select("qid", "id"), rows.drop("qid"), vectors, 8)
 
 
@@ -326,11 +327,11 @@ def rag_context(v: Views):
     "entity_network",
     f"""WITH nn AS (SELECT count(*) AS n FROM embeddings),
       links AS (SELECT id, 'node-' || ((vec_id + k) % n) AS other FROM v_nodes, nn, (SELECT unnest([1, 2, 3]) AS k)),
-      h15 AS ({knn_sql(15)}),
+      h15 AS ({knn_sql(15, "n.node_type = 'person'")}),
       root AS (SELECT qid, id FROM (SELECT h.qid, h.id, row_number() OVER (PARTITION BY h.qid ORDER BY
             CASE WHEN contains(lower(n.content), lower(s.query)) OR contains(lower(s.query), lower(n.content)) THEN 0 ELSE 1 END, h.rank) AS rn
-          FROM h15 h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid WHERE n.node_type = 'person') WHERE rn = 1),
-      h20 AS ({knn_sql(20)}),
+          FROM h15 h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid) WHERE rn = 1),
+      h20 AS ({knn_sql(20, "n.node_type = 'person'")} UNION ALL {knn_sql(10, "n.node_type NOT IN ('log', 'person')")}),
       disc AS (SELECT qid, id FROM (SELECT h.qid, h.id, row_number() OVER (PARTITION BY h.qid ORDER BY h.score DESC, h.id) AS rank
           FROM h20 h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid
           WHERE NOT (n.node_type = 'person' AND contains(lower(n.content), lower(s.query)))) WHERE rank <= 10),
@@ -344,7 +345,7 @@ def rag_context(v: Views):
       rec AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ts DESC, id) AS rn FROM ev WHERE ts >= {AS_OF_SQL} - INTERVAL 20 DAY)
       SELECT r.qid, 'PRIMARY' AS part, r.id, n.content AS text FROM root r JOIN v_nodes n ON n.id = r.id
       UNION ALL SELECT m.qid, CASE WHEN n.vec_id % 2 = 0 THEN 'RELATION' ELSE 'FACT' END, m.id, n.content FROM merged m JOIN v_nodes n ON n.id = m.id
-      UNION ALL SELECT qid, 'JOURNAL', id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || CASE WHEN length(content) > 200 THEN substring(content, 1, 197) || '...' ELSE content END FROM rec WHERE rn <= 50
+      UNION ALL SELECT qid, 'ENTRY', id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || CASE WHEN length(content) > 200 THEN substring(content, 1, 197) || '...' ELSE content END FROM rec WHERE rn <= 50
       UNION ALL SELECT qid, 'OMITTED', '', CAST(n - least(r, 50) AS VARCHAR) FROM (SELECT qid, count(*) AS n, count(*) FILTER (ts >= {AS_OF_SQL} - INTERVAL 20 DAY) AS r FROM ev GROUP BY qid) WHERE n - least(r, 50) > 0
       """.replace("nn_docs", "(SELECT count(*) FROM documents)").replace(" , (SELECT 1))", ")"),
 )
@@ -366,8 +367,7 @@ def entity_network(v: Views):
 @query(
     "project_timeline",
     f"""WITH q AS (SELECT 'q-' || vec_id AS qid, ['urgent', 'Customer#00000012', ' Medium ', 'bolt'][vec_id % 4 + 1] AS name, embedding FROM embeddings),
-      h AS ({knn_sql(5, queries='q')}),
-      p AS (SELECT qid, arg_min(h.id, rank) AS id FROM h JOIN v_nodes n ON n.id = h.id WHERE node_type IN ('project', 'goal') GROUP BY qid),
+      p AS ({knn_sql(1, "n.node_type IN ('project', 'goal')", 'q')}),
       f AS (SELECT q.qid, n.id, n.content, json_extract_string(n.metadata, '$.status') AS status FROM q LEFT JOIN p ON p.qid = q.qid LEFT JOIN v_nodes n ON n.id = p.id),
       act AS (SELECT q.name, a.id, a.ts, a.summary, row_number() OVER (PARTITION BY q.name ORDER BY a.ts DESC, a.id) AS rn
               FROM (SELECT DISTINCT name FROM q) q JOIN v_analysed a ON a.id IN (SELECT id FROM v_entities e WHERE contains(lower(e.name), trim(lower(q.name))))

@@ -539,13 +539,13 @@ def apply_external_order(v: Views):
 
 #: Rows of a key in time order: a row is created unless the last created one is at most 30 s older.
 REPLAYED = """
-  numbered AS (SELECT id, epoch_us(ts) AS at, row_number() OVER w AS n, dense_rank() OVER (ORDER BY {key}) AS k
+  numbered AS (SELECT id, epoch_us(ts) AS us, row_number() OVER w AS n, dense_rank() OVER (ORDER BY {key}) AS k
                FROM ({source}) WINDOW w AS (PARTITION BY {key} ORDER BY ts, id)),
   replayed AS (
-    SELECT id, k, n, at AS last_at, id AS created_id FROM numbered WHERE n = 1
+    SELECT id, k, n, us AS last_us, id AS created_id FROM numbered WHERE n = 1
     UNION ALL
-    SELECT x.id, x.k, x.n, CASE WHEN x.at - r.last_at > 30000000 THEN x.at ELSE r.last_at END,
-           CASE WHEN x.at - r.last_at > 30000000 THEN x.id ELSE r.created_id END
+    SELECT x.id, x.k, x.n, CASE WHEN x.us - r.last_us > 30000000 THEN x.us ELSE r.last_us END,
+           CASE WHEN x.us - r.last_us > 30000000 THEN x.id ELSE r.created_id END
     FROM replayed r JOIN numbered x ON x.k = r.k AND x.n = r.n + 1) """
 
 

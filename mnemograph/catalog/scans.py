@@ -9,7 +9,7 @@ from mnemograph.functions import columns as C
 from mnemograph.operators import filters, joins
 from mnemograph.operators.skew import top_rows
 from mnemograph.session import new_path
-from mnemograph.sources import journal
+from mnemograph.sources import logs
 from mnemograph.sources.views import AS_OF, Views, ntz
 
 LEN = F.length
@@ -20,9 +20,22 @@ def brief(df, *more):
     return df.select("id", "source", F.col("ts").cast("string").alias("ts"), F.length("content").cast("bigint").alias("n_chars"), *more)
 
 
-@query("journal_scan", f"{ENTRY} FROM v_entries WHERE node_type = 'log'")
-def journal_scan(v: Views):
-    return brief(v.entries.filter(F.col("node_type") == "log"))
+@query(
+    "entry_scan",
+    f"""{ENTRY} FROM v_entries WHERE source <> 'src1' UNION ALL
+        SELECT 'broken ' || id, NULL, NULL, NULL FROM v_entries WHERE image_url <> ''""",
+)
+def entry_scan(v: Views):
+    """A stored log of JSON lines, some of them broken: decoded rows, and the rejected lines as ids."""
+    path = new_path(v.spark, "log")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
+    lines = v.entries.select(F.to_json(F.struct("id", "node_type", "content", "source", stamp)).alias("value"))
+    broken = v.entries.filter("image_url <> ''").select(F.concat(F.lit("broken "), "id").alias("value"))
+    lines.unionByName(broken).write.text(path)
+    good, bad = logs.read_json_log(v.spark, path)
+    rows = brief(logs.with_time(good).filter(F.col("source") != "src1"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[1:]]
+    return rows.unionByName(bad.select(F.col("line").alias("id"), *nothing))
 
 
 @query("get_by_ids", "SELECT id, node_type, weight FROM v_nodes WHERE vec_id IN (SELECT doc_id FROM labels)")
@@ -33,14 +46,14 @@ def get_by_ids(v: Views):
 
 @query("list_nodes", "SELECT id, node_type FROM v_nodes WHERE node_type <> 'log' ORDER BY id LIMIT 100")
 def list_nodes(v: Views):
-    return journal.list_nodes(v.nodes, 100).select("id", "node_type")
+    return logs.list_nodes(v.nodes, 100).select("id", "node_type")
 
 
 @query("export_manifest", f"{ENTRY}, image_url FROM v_entries")
 def export_manifest(v: Views):
     path = new_path(v.spark, "manifest")
-    journal.export_manifest(v.entries, path)
-    good, _ = journal.read_manifest(v.spark, path)
+    logs.export_manifest(v.entries, path)
+    good, _ = logs.read_manifest(v.spark, path)
     return brief(good, "image_url")
 
 
@@ -52,8 +65,8 @@ def replay_manifest(v: Views):
     from mnemograph.operators.merge import append_entries
 
     path = new_path(v.spark, "manifest")
-    journal.export_manifest(v.entries, path)
-    rows, _ = journal.read_manifest(v.spark, path)
+    logs.export_manifest(v.entries, path)
+    rows, _ = logs.read_manifest(v.spark, path)
     accepted, _ = append_entries(rows, ntz(AS_OF))
     return brief(accepted)
 
@@ -95,7 +108,7 @@ def normalise_updates(v: Views):
             )
         ).alias("raw")
     )
-    return journal.normalise_updates(raw).drop("lng")
+    return logs.normalise_updates(raw).drop("lng")
 
 
 @query(
@@ -117,7 +130,7 @@ def audit_log_scan(v: Views):
         F.col("user_id").cast("string").alias("trace_id"),
         F.lit(None).cast("string").alias("path"),
     )
-    out = journal.audit_lines(logs, "2024-01-05 00:00:00", "2024-01-25 00:00:00")
+    out = logs.audit_lines(logs, "2024-01-05 00:00:00", "2024-01-25 00:00:00")
     return out.select(F.col("ts").cast("string").alias("ts"), "line")
 
 
@@ -218,7 +231,7 @@ def scan_window(v: Views):
 def search_entries_category(v: Views):
     rows = filters.search_category(v.analysed, "Priority", "1-URGENT", 200)
     return rows.select(
-        "id", F.get_json_object("journal_analysis", "$.category").alias("category"), F.col("ts").cast("string").alias("ts")
+        "id", F.get_json_object("entry_analysis", "$.category").alias("category"), F.col("ts").cast("string").alias("ts")
     )
 
 

@@ -283,12 +283,10 @@ def save_queries(v: Views):
 @query(
     "boost_significance",
     """SELECT n.id, round(least(1.0, weight + 0.05 * c), 6) AS weight FROM v_nodes n JOIN (
-         SELECT 'node-' || (user_id % (SELECT count(*) FROM embeddings)) AS id, count(*) AS c FROM events WHERE event_type = 'signup' GROUP BY 1) USING (id)""",
+         SELECT 'node-' || (user_id % (SELECT count(*) FROM embeddings)) AS id, count(*) AS c FROM events GROUP BY 1) USING (id)""",
 )
 def boost_significance(v: Views):
-    mentions = v.table("events").filter(F.col("event_type") == "signup").select(
-        F.concat(F.lit("node-"), F.col("user_id") % v.n_vectors).alias("id")
-    )
+    mentions = v.table("events").select(F.concat(F.lit("node-"), F.col("user_id") % v.n_vectors).alias("id"))
     return merge.boost(v.nodes, mentions)
 
 

@@ -1,4 +1,4 @@
-"""Date expressions of journal queries, resolved against an ``as_of`` column."""
+"""Date expressions of log queries, resolved against an ``as_of`` column."""
 
 from __future__ import annotations
 
@@ -80,8 +80,3 @@ def resolve_range(start_expr: Column, end_expr: Column, as_of: Column) -> Column
     has_end = (F.coalesce(end_expr, F.lit("")) != "") & (end_expr != start_expr)
     end = F.when(has_end, F.coalesce(F.to_date(last["end"]), end_iso, own_end)).otherwise(own_end)
     return F.struct(start.cast("string").alias("start_date"), end.cast("string").alias("end_date"))
-
-
-def day_start(expr: Column) -> Column:
-    """A bare date or timestamp string as the first instant it covers."""
-    return F.try_to_timestamp(expr).cast(NTZ)

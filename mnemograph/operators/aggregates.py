@@ -31,7 +31,7 @@ def local_days(events: DataFrame, zone: Column) -> DataFrame:
 
 
 def analysis_of(analysed: DataFrame) -> DataFrame:
-    return analysed.withColumn("analysis", C.parse_analysis(F.col("journal_analysis"), F.col("id")))
+    return analysed.withColumn("analysis", C.parse_analysis(F.col("entry_analysis"), F.col("id")))
 
 
 def entities_of(analysed: DataFrame) -> DataFrame:

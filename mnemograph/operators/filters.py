@@ -72,7 +72,7 @@ def search_knowledge(nodes: DataFrame, keywords: str, limit: int, window: int |
 
 
 def search_category(analysed: DataFrame, phrase: str, category: str, limit: int) -> DataFrame:
-    category_of = F.get_json_object("journal_analysis", "$.category")
+    category_of = F.get_json_object("entry_analysis", "$.category")
     hit = (category_of == category) & F.contains(F.lower("content"), F.lit(phrase.lower()))
     return newest(analysed.filter(hit), limit)
 

@@ -1,4 +1,4 @@
-"""Lookups between journal rows."""
+"""Lookups between log rows."""
 
 from __future__ import annotations
 
@@ -136,8 +136,8 @@ def question_mentions(messages: DataFrame, questions: DataFrame) -> DataFrame:
 
 def project_mentions(analysed: DataFrame, project: str) -> DataFrame:
     """Entries with an extracted entity whose name contains the project name."""
-    doc = C.parse_analysis(F.col("journal_analysis"), F.col("id"))
-    rows = analysed.filter(F.contains(F.lower("journal_analysis"), F.lit(project.lower()))).withColumn("analysis", doc)
+    doc = C.parse_analysis(F.col("entry_analysis"), F.col("id"))
+    rows = analysed.filter(F.contains(F.lower("entry_analysis"), F.lit(project.lower()))).withColumn("analysis", doc)
     named = F.exists("analysis.entities", lambda e: F.contains(F.lower(e["name"]), F.lit(project.lower())))
     line = F.coalesce(F.nullif("analysis.summary", F.lit("")), C.cut_runes(F.col("content"), 80))
     return rows.filter(named).select("id", "ts", line.alias("line"))

@@ -20,13 +20,6 @@ from mnemograph.session import stage
 DEFAULT_LABELS = ("Assistant asked", "User responded")
 
 
-def publish(table: DataFrame, root: str, version: str, partition_by: str = "node_type") -> str:
-    """Write one version of the table under ``root``; readers switch by path."""
-    path = f"{root}/version={version}"
-    table.write.partitionBy(partition_by).parquet(path)
-    return path
-
-
 def _patched(rows: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
     """Rows with the non-null fields of ``changes`` applied, joined on id."""
     new = changes.select("id", *[F.col(f).alias(f"_{f}") for f in fields])

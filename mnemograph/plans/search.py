@@ -68,7 +68,7 @@ def entity_network(
 ) -> DataFrame:
     """Profile rows of the entity each ``queries(qid, name, embedding)`` names.
 
-    Parts: PRIMARY, RELATION (rows with a predicate), FACT (others), JOURNAL (recent
+    Parts: PRIMARY, RELATION (rows with a predicate), FACT (others), ENTRY (recent
     source entries, newest first), OMITTED (how many were left out). ``evidence`` holds
     (id, target_id) from node to entry. Returns (qid, part, id, text).
     """
@@ -100,8 +100,8 @@ def entity_network(
     recent = dated.filter(F.col("ts") >= as_of - F.expr(f"INTERVAL '{days}' DAY"))
     shown = top_rows(recent, ["qid"], [F.desc("ts"), F.asc("id")], most)
     short = F.when(F.length("content") > 200, F.concat(C.cut_runes(F.col("content"), 197), F.lit("..."))).otherwise(F.col("content"))
-    journal = shown.select(
-        "qid", F.lit("JOURNAL").alias("part"), "id",
+    log = shown.select(
+        "qid", F.lit("ENTRY").alias("part"), "id",
         F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("] "), short).alias("content"),
     )
     counts = dated.groupBy("qid").agg(
@@ -111,7 +111,7 @@ def entity_network(
     omitted = counts.filter(left_out > 0).select(
         "qid", F.lit("OMITTED").alias("part"), F.lit("").alias("id"), left_out.cast("string").alias("content")
     )
-    out = primary.unionByName(facts).unionByName(journal).unionByName(omitted)
+    out = primary.unionByName(facts).unionByName(log).unionByName(omitted)
     return out.withColumnRenamed("content", "text")
 
 
@@ -192,7 +192,7 @@ def project_timeline(
         "qid", F.lit("briefing").alias("part"), F.coalesce("id", F.lit("")).alias("id"), F.lit("").alias("day"),
         F.coalesce(C.trim_ws(F.col("content")), F.lit("(No knowledge node for this project.)")).alias("text"),
     )
-    doc = C.parse_analysis(F.col("journal_analysis"), F.col("id"))
+    doc = C.parse_analysis(F.col("entry_analysis"), F.col("id"))
     rows = in_range(analysed, start, end).withColumn("analysis", doc)
     line = F.coalesce(F.nullif("analysis.summary", F.lit("")), C.cut_runes(F.col("content"), 80))
     named = rows.select("id", "ts", line.alias("text"), F.explode("analysis.entities").alias("e")).select(

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 S = T.StringType()
 STRINGS = T.ArrayType(S)
 
-JOURNAL = T.StructType(
+ENTRY_LOG = T.StructType(
     [
         T.StructField("id", S, False),
         T.StructField("node_type", S),
@@ -23,7 +23,7 @@ JOURNAL = T.StructType(
         T.StructField("object_value", S),
         T.StructField("source_entry_id", S),
         T.StructField("entity_links", STRINGS),
-        T.StructField("journal_entry_ids", STRINGS),
+        T.StructField("source_entry_ids", STRINGS),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("significance_weight", T.DoubleType()),
         T.StructField("relevance_score", T.DoubleType()),
@@ -33,7 +33,7 @@ JOURNAL = T.StructType(
         T.StructField("parsed_image_description", S),
         T.StructField("audio_url", S),
         T.StructField("transcription", S),
-        T.StructField("journal_analysis", S),
+        T.StructField("entry_analysis", S),
         T.StructField("archive_summary", S),
     ]
 )

@@ -1,4 +1,4 @@
-"""Reading and writing journals, manifests, chat updates and audit logs."""
+"""Reading and writing logs, manifests, chat updates and audit logs."""
 
 from __future__ import annotations
 
@@ -8,22 +8,14 @@ from mnemograph import schema as V
 from mnemograph.functions import columns as C
 
 
-def read_journal(spark: SparkSession, path: str, *node_types: str) -> DataFrame:
-    """Journal table of one version folder; node types prune partitions. ``ts`` is parsed once."""
-    rows = spark.read.schema(V.JOURNAL).parquet(path)
-    if node_types:
-        rows = rows.filter(F.col("node_type").isin(*node_types))
-    return with_time(rows)
-
-
 def with_time(rows: DataFrame, column: str = "timestamp") -> DataFrame:
     """Add ``ts``, the instant (UTC) of an RFC 3339 string, null when unreadable."""
     return rows.withColumn("ts", F.convert_timezone(None, F.lit("UTC"), F.try_to_timestamp(column).cast("timestamp_ntz")))
 
 
-def read_json_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected lines) of a JSON Lines journal; undecodable lines are kept apart."""
-    schema = V.T.StructType(V.JOURNAL.fields + [V.T.StructField("_bad", V.S)])
+def read_json_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines) of a JSON Lines log; undecodable lines are kept apart."""
+    schema = V.T.StructType(V.ENTRY_LOG.fields + [V.T.StructField("_bad", V.S)])
     lines = spark.read.text(path)
     parsed = lines.select(
         F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"), F.col("value").alias("line")
@@ -40,9 +32,11 @@ def export_manifest(entries: DataFrame, path: str) -> None:
     """All entries, oldest first, as JSON Lines with explicit nulls; ``_SUCCESS`` marks a complete export."""
     file_name = lambda c: F.nullif(F.regexp_extract(C.text_or_empty(F.col(c)), r"[^/]*$", 0), F.lit("")).alias(c.replace("_url", "_file"))
     have = lambda c: file_name(c) if c in entries.columns else F.lit(None).cast("string").alias(c.replace("_url", "_file"))
+    second = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    finer = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stamp = F.when(F.col("ts") == F.date_trunc("second", "ts"), second).otherwise(finer)
     rows = entries.orderBy("ts", "id").select(
-        F.col("id").alias("uuid"), "content", "source",
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), have("image_url"), have("audio_url"),
+        F.col("id").alias("uuid"), "content", "source", stamp.alias("timestamp"), have("image_url"), have("audio_url"),
     )
     rows.write.option("ignoreNullFields", "false").json(path)
 

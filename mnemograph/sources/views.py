@@ -1,4 +1,4 @@
-"""Journal-shaped views over the driver's tables.
+"""Log-shaped views over the driver's tables.
 
 Every view keeps all rows of the tables it is built from.
 """
@@ -248,7 +248,7 @@ class Views:
 
     @cached_property
     def analysed(self) -> DataFrame:
-        """One entry per order; its ``journal_analysis`` names the customer and the priority as entities."""
+        """One entry per order; its ``entry_analysis`` names the customer and the priority as entities."""
         o = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         raw = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "ongoing").otherwise("")
         entity = lambda name, kind, status: F.struct(
@@ -269,7 +269,7 @@ class Views:
             F.concat(F.lit("order placed, priority "), "o_orderpriority").alias("content"),
             F.lit("shop").alias("source"),
             F.col("o_orderdate").alias("ts"),
-            F.when(F.col("o_orderkey") % 9 > 0, F.to_json(analysis)).otherwise("{broken").alias("journal_analysis"),
+            F.when(F.col("o_orderkey") % 9 > 0, F.to_json(analysis)).otherwise("{broken").alias("entry_analysis"),
         )
 
     @cached_property

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from mnemograph.plans.reports import should_skip
 from mnemograph.session import new_path
-from mnemograph.sources import journal
+from mnemograph.sources import logs
 from mnemograph.streaming import jobs
 
 NTZ = "timestamp_ntz"
@@ -15,19 +15,19 @@ NTZ = "timestamp_ntz"
 def test_manifest_round_trip(spark):
     e = spark.createDataFrame([("a", "x\ny", "s", "2024-01-02 00:00:00", "img/1.jpg"), ("b", "z", "s", "2024-01-01 00:00:00", "")], "id string, content string, source string, t string, image_url string")
     path = new_path(spark, "m")
-    journal.export_manifest(e.withColumn("ts", F.col("t").cast(NTZ)), path)
+    logs.export_manifest(e.withColumn("ts", F.col("t").cast(NTZ)), path)
     assert '"audio_file":null' in spark.read.text(path).first()[0]
     spark.createDataFrame([("not json",)], "value string").write.mode("append").text(path)
-    good, bad = journal.read_manifest(spark, path)
+    good, bad = logs.read_manifest(spark, path)
     assert {(r.id, r.content, str(r.ts), r.image_url) for r in good.collect()} == {("a", "x\ny", "2024-01-02 00:00:00", "1.jpg"), ("b", "z", "2024-01-01 00:00:00", "")}
     assert [r.line for r in bad.collect()] == ["not json"]
 
 
-def test_json_journal_rejects(spark):
+def test_json_log_rejects(spark):
     path = new_path(spark, "j")
     spark.createDataFrame([('{"id": "a", "node_type": "log", "timestamp": "2024-01-01T10:00:00+02:00"}',), ("{oops",), ('{"content": "no id"}',)], "value string").write.text(path)
-    good, bad = journal.read_json_journal(spark, path)
-    row = journal.with_time(good).first()
+    good, bad = logs.read_json_log(spark, path)
+    row = logs.with_time(good).first()
     assert row.id == "a" and str(row.ts) == "2024-01-01 08:00:00" and bad.count() == 2
 
 
@@ -37,7 +37,7 @@ def test_updates(spark):
         '{"update_id": 2, "edited_message": {"message_id": 6, "chat": {"id": 7}, "from": {"id": 9}, "voice": {"file_id": "v"}}}',
         '{"update_id": 3}', '{"update_id": 4, "message": {"message_id": 8, "chat": {"id": 7}, "location": {"latitude": 1.5, "longitude": 2.5}}}',
     ]
-    rows = {r.update_id: r for r in journal.normalise_updates(spark.createDataFrame([(x,) for x in raw], "raw string")).collect()}
+    rows = {r.update_id: r for r in logs.normalise_updates(spark.createDataFrame([(x,) for x in raw], "raw string")).collect()}
     assert set(rows) == {1, 2, 4}
     assert (rows[1].text, rows[1].image_file_id, rows[1].user_id) == ("c", "l", 0)
     assert (rows[2].text, rows[2].voice_file_id, rows[2].user_id) == ("Voice note", "v", 9)
