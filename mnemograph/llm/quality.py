@@ -47,21 +47,25 @@ def features(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"_words": F.array_remove(F.split(text, BLANKS), ""), "_lines": lines})
-    n = F.size("_words")
-    grams = F.when(
-        n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))
-    ).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumns(
-        {
-            "n_words": n.cast("long"), "word_chars": F.length(F.regexp_replace(text, BLANKS, "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-            "_capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}!]+", "")).cast("long"),
-            "_n_lines": F.size("_lines"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_grams": grams,
-        }
-    )
-    repeats = F.when(F.size(F.array_distinct("_grams")) == F.size("_grams"), F.lit(0)).otherwise(_covered(F.col("_grams")))
-    out = out.withColumn("n_repeat_words", repeats.cast("long"))
+    count = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
+
+    def grams(words: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+        return F.when(F.size(words) >= WINDOW, found).otherwise(F.array().cast("array<bigint>"))
+
+    def repeats(hashes: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_covered(hashes)).cast("long")
+
+    def base(words: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"), count(BLANKS).alias("word_chars"), count(r"[^#*$%&|<>]+").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), _let(grams(words), repeats).alias("n_repeat_words"),
+            count(r"[^\p{Lu}!]+").alias("_capitals"), F.size(lines).cast("long").alias("_n_lines"),
+        )
+
+    found = _let(F.array_remove(F.split(text, BLANKS), ""), lambda words: _let(lines, lambda rows: base(words, rows)))
+    # a generator is computed once a row; filters on its fields don't go below it and repeat it
+    out = docs.drop(*FEATURES, "base_failed").select("*", F.explode(F.array(found)).alias("_found")).select("*", "_found.*").drop("_found")
     part = lambda a, b, times: F.expr(f"{a} * {times} div greatest({b}, 1)").cast("long")
     out = out.withColumns(
         {
@@ -71,7 +75,7 @@ def features(docs: DataFrame) -> DataFrame:
             "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
         }
     )
-    return out.drop("_words", "_lines", "_n_lines", "_grams", "_capitals")
+    return out.drop("_n_lines", "_capitals")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
