@@ -282,9 +282,9 @@ def _compared(member: DataFrame, texts: DataFrame, reps: DataFrame, percent: int
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = member.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     placed = placed.select("key", "rep", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    size = placed.join(reps.select("rep", "n"), "rep").agg(F.sum("n")).first()[0] or 0
-    sets = texts.mapInArrow(_full_sets, "rep long, hashes binary")
-    full = placed.join(reps, "rep").join(sets, "rep").withColumn("bin", F.pmod(F.xxhash64("key", "low", "high"), F.lit(1 + size // (1 << 20))))
+    known = reps.join(texts.mapInArrow(_full_sets, "rep long, hashes binary"), "rep")
+    bins = F.lit(1 + placed.count() // 512)
+    full = placed.join(known, "rep").withColumn("bin", F.pmod(F.xxhash64("key", "low", "high"), bins))
     return full.groupBy("bin").applyInArrow(_connect(percent), "a long, b long")
 
 
