@@ -72,17 +72,18 @@ def _terms(text: Column) -> Column:
 
 
 def scored(blocks: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """(block, licence, score): the best template of each distinct block (column ``block``) that reaches ``least``."""
+    """(block_id, licence, score): the best template of each distinct block (block_id, block) that reaches ``least``."""
     spark = blocks.sparkSession
     idf, other, rows = weights(templates)
     table = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, weight double"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    terms = blocks.select("block").distinct().select("block", F.explode(_terms(F.col("block"))).alias("term")).groupBy("block", "term").agg(F.count("*").alias("n"))
+    terms = blocks.select("block_id", "block").dropDuplicates(["block_id"]).select("block_id", F.explode(_terms(F.col("block"))).alias("term"))
+    terms = terms.groupBy("block_id", "term").agg(F.count("*").alias("n"))
     terms = terms.join(known, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
-    length = terms.groupBy("block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = terms.join(table, "term").groupBy("block", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dots.join(length, "block").select("block", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= least)
-    return cosine.groupBy("block").agg(F.max(F.struct("score", "licence")).alias("best")).select("block", "best.licence", "best.score")
+    length = terms.groupBy("block_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = terms.join(table, "term").groupBy("block_id", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cosine = dots.join(length, "block_id").select("block_id", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= least)
+    return cosine.groupBy("block_id").agg(F.max(F.struct("score", "licence")).alias("best")).select("block_id", "best.licence", "best.score")
 
 
 def _prefixes(path: Column) -> Column:
@@ -116,8 +117,8 @@ def scan(pages: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     whole = F.when(name.rlike(LICENCE_FILE), F.array(F.regexp_replace("html", "<[^>]*>", " "))).otherwise(F.array().cast("array<string>"))
     anchored = F.filter(F.array_distinct(F.concat(lines, whole)), lambda x: x.rlike(pattern))
     blocks = named.select("page_id", "path", F.explode(anchored).alias("block"))
-    blocks = scratch.keep(blocks, "blocks")
-    hits = blocks.join(scratch.keep(scored(blocks, templates, least), "scored"), "block")
+    blocks = blocks.withColumn("block_id", F.xxhash64("block"))
+    hits = blocks.select("page_id", "path", "block_id").join(scratch.keep(scored(blocks, templates, least), "scored"), "block_id")
     own = scratch.keep(hits.groupBy("page_id", "path").agg(F.max(F.struct("score", "licence")).alias("best")), "own")
 
     files = own.where(name.rlike(LICENCE_FILE)).withColumn("directory", F.regexp_replace("path", "[^/]*$", ""))
