@@ -3,7 +3,8 @@
 The neighbour graph starts from a few random-hyperplane partitions and is refined by comparing
 the neighbours of each vector with each other, forward and backward, until little changes. A
 list whose last neighbour still is a link is saturated and grows; where it stays saturated,
-its whole group of links is compared in blocks, so counts are exact whatever a group's size.
+its whole group of links is compared in blocks, so counts are exact whatever a group's size,
+and with the groups that it can touch, so that links which full lists dropped join them.
 An audit compares a bounded sample of vectors with all others.
 """
 
@@ -27,6 +28,7 @@ ROUNDS, STEADY = 6, 0.001
 AUDIT, ENOUGH, ATTEMPTS = 512, 0.9999, 3
 
 EDGE = "u long, v long, cos float"
+LINK = "a long, b long, n_a long, n_b long, cos double"
 
 
 def _matrix(column, kind=np.float64) -> np.ndarray:
@@ -113,6 +115,11 @@ def _closest(edges: DataFrame, lists: DataFrame | None) -> DataFrame:
     return edges.withColumn("place", F.row_number().over(best)).where("place <= k")
 
 
+def _longer(lists: DataFrame | None, full: DataFrame) -> DataFrame:
+    """The greatest k of each u in ``lists`` and ``full`` (u, k)."""
+    return full if lists is None else lists.union(full).groupBy("u").agg(F.max("k").alias("k"))
+
+
 def _neighbours_joined(table: pa.Table) -> pa.Table:
     """Compares the members of each centre with each other; all centres of a bucket at once."""
     x, centre, ids, last = (
@@ -172,7 +179,7 @@ def _links(graph: DataFrame, vectors: DataFrame, least: float, scratch: Scratch)
     near = graph.where(F.col("cos") >= least - 1e-4).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     side = lambda x: vectors.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("vec").alias(f"vec_{x}"))
     both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "vec_a", "vec_b")
-    return scratch.keep(both.mapInArrow(_exact, "a long, b long, n_a long, n_b long, cos double").where(F.col("cos") >= least), "links")
+    return scratch.keep(both.mapInArrow(_exact, LINK).where(F.col("cos") >= least), "links")
 
 
 def _block_counts(least: float):
@@ -200,6 +207,93 @@ def _dense_counts(members: DataFrame, vectors: DataFrame, least: float) -> DataF
     return full.groupBy("component", "low", "high").applyInArrow(_block_counts(least), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def _angle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            cos = (_matrix(batch.column("vec")) * _matrix(batch.column("centre_vec"))).sum(axis=1)
+            kept = [c for c in batch.schema.names if not c.endswith("vec")]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(np.arccos(np.clip(cos, -1, 1)))], names=[*kept, "angle"])
+
+
+def _touching(reach: float):
+    """Pairs (low, high) of balls (component, vec, radius) whose members can be ``reach`` or less apart."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, part, radius = (table.column(c).to_numpy() for c in ("component", "part", "radius"))
+        x, low, high = _matrix(table.column("vec")), *(table.column(c)[0].as_py() for c in ("low", "high"))
+        one, two = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        near = np.arccos(np.clip(x[one] @ x[two].T, -1, 1)) <= radius[one][:, None] + radius[two][None, :] + reach
+        i, j = np.nonzero(near)
+        a, b = ids[one[i]], ids[two[j]]
+        keep = a < b if low == high else np.ones(len(a), bool)
+        return pa.table({"low": pa.array(np.minimum(a, b)[keep], pa.int64()), "high": pa.array(np.maximum(a, b)[keep], pa.int64())})
+
+    return run
+
+
+def _first_link(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids, side, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
+        x, low = _matrix(table.column("vec")), table.column("low")[0].as_py()
+        one, two = np.flatnonzero(side == low), np.flatnonzero(side != low)
+        near = x[one] @ x[two].T
+        at = int(near.argmax()) if near.size else -1
+        found = [] if at < 0 or near.flat[at] < least else [(one[at // len(two)], two[at % len(two)])]
+        pairs = [tuple(sorted(p, key=lambda i: ids[i])) for p in found]
+        cols = [[ids[i] for i, _ in pairs], [ids[j] for _, j in pairs], [n[i] for i, _ in pairs], [n[j] for _, j in pairs], [near.flat[at] for _ in pairs]]
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "n_a", "n_b", "cos"])
+
+    return run
+
+
+def _bridges(top: DataFrame, vectors: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Links between vectors of ``top`` (rep, component) in different components: all pairs of components that have one.
+
+    A list that is full of links may have dropped others, which only a full list of the other
+    vector too can hide. Each component is a ball around the vector it is named after; the balls
+    are compared in blocks, then, in blocks again, the members that can reach the other ball.
+    """
+    reach = math.acos(min(1.0, least)) + 1e-6
+    names = scratch.keep(top.select("component").distinct(), "names")
+    some = names.count()
+    if some < 2:
+        return scratch.keep(_no_links(top), "bridges")
+    centres = scratch.keep(names.join(vectors.select(F.col("rep").alias("component"), "dim", F.col("vec").alias("centre_vec")), "component"), "centres")
+    small = lambda df, rows: F.broadcast(df) if rows <= 20_000 else df
+    member = scratch.keep(top.join(vectors.select("rep", "n", "vec"), "rep"), "member")
+    apart = member.join(small(centres.drop("dim"), some), "component").select("component", "vec", "centre_vec")
+    radius = apart.mapInArrow(_angle, "component long, angle double").groupBy("component").agg(F.max("angle").alias("radius"))
+    balls = scratch.keep(centres.join(radius, "component"), "balls")
+    parts = balls.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = balls.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("component"), F.col("parts")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    cells = cells.select("dim", "low", "high", "part", "component", "radius", F.col("centre_vec").alias("vec"))
+    pairs = scratch.keep(cells.groupBy("dim", "low", "high").applyInArrow(_touching(reach), "low long, high long"), "touching")
+    if pairs.isEmpty():
+        return scratch.keep(_no_links(top), "bridges")
+    both = pairs.select("low", "high", F.col("low").alias("component"), F.col("high").alias("beyond")).union(pairs.select("low", "high", "high", "low"))
+    far = balls.select(F.col("component").alias("beyond"), "radius", "centre_vec")
+    facing = member.select("rep", "component", "vec").join(both, "component").join(small(far, some), "beyond")
+    facing = facing.select("rep", "component", "low", "high", "radius", "vec", "centre_vec")
+    facing = facing.mapInArrow(_angle, "rep long, component long, low long, high long, radius double, angle double").where(F.col("angle") <= F.col("radius") + reach)
+    facing = scratch.keep(facing.select("rep", "component", "low", "high"), "facing")
+    side = facing.groupBy("low", "high").agg(
+        *(F.ceil(F.sum((F.col("component") == F.col(c)).cast("int")) / BLOCK).cast("int").alias(f"of_{c}") for c in ("low", "high"))
+    ).where("of_low > 0 and of_high > 0")
+    placed = facing.join(side, ["low", "high"])
+    first = F.col("component") == F.col("low")
+    part = F.pmod(F.xxhash64("rep"), F.when(first, F.col("of_low")).otherwise(F.col("of_high"))).cast("int")
+    placed = placed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("of_high")).otherwise(F.col("of_low")) - 1)))
+    placed = placed.withColumns({"i": F.when(first, F.col("part")).otherwise(F.col("other")), "j": F.when(first, F.col("other")).otherwise(F.col("part"))})
+    full = placed.select("low", "high", "i", "j", "rep", "component").join(member.select("rep", "n", "vec"), "rep")
+    return scratch.keep(full.groupBy("low", "high", "i", "j").applyInArrow(_first_link(least), LINK), "bridges")
+
+
+def _no_links(table: DataFrame) -> DataFrame:
+    return table.sparkSession.createDataFrame([], LINK)
+
+
 def audit(vectors: DataFrame, counts: DataFrame, least: float, scratch: Scratch) -> float:
     """Recall of links: up to ``AUDIT`` vectors, those of smallest hash, against all vectors."""
     asked = vectors.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT).select("rep", "dim", "vec").collect()
@@ -247,16 +341,21 @@ def near_vectors(table: DataFrame, least: float = 0.95) -> DataFrame:
         start = _start(vectors, range(attempt * TREES, (attempt + 1) * TREES), n, scratch)
         start = start if graph is None else start.union(graph.select("u", "v", "cos"))
         graph = _descend(scratch.keep(_closest(start, None), "graph"), None, vectors, n, ROUNDS, scratch)
-        k = K
+        k, lists = K, None
         while k < MOST_K:
-            full = graph.groupBy("u").agg(F.count("*").alias("held"), F.min("cos").alias("cos")).where((F.col("held") >= k) & (F.col("cos") >= least))
+            full = graph.groupBy("u").agg(F.count("*").alias("held"), F.min("cos").alias("cos")).where((F.col("held") >= k) & (F.col("cos") >= least - 1e-4))
             full = scratch.keep(full.select("u", F.lit(2 * k).alias("k")), "saturated")
             if full.isEmpty():
                 break
-            graph = _descend(scratch.keep(graph.drop("k").join(full, "u", "left").withColumn("k", F.coalesce("k", F.lit(K))), "graph"), full, vectors, n, 2, scratch)
             k *= 2
+            lists = scratch.keep(_longer(lists, full), "lists")
+            graph = _descend(scratch.keep(graph.drop("k").join(lists, "u", "left").withColumn("k", F.coalesce("k", F.lit(K))), "graph"), lists, vectors, n, 2, scratch)
         links = _links(graph, vectors, least, scratch)
         groups = components(links, scratch)
+        top = graph.groupBy("u").agg(F.count("*").alias("held"), F.min("cos").alias("cos")).where((F.col("held") >= MOST_K) & (F.col("cos") >= least - 1e-4))
+        top = scratch.keep(top.select(F.col("u").alias("node")).join(groups, "node").select(F.col("node").alias("rep"), "component"), "top")
+        links = links.union(_bridges(top, vectors, least, scratch))
+        groups = components(links, scratch)
         direct = links.select(F.col("a").alias("rep"), F.col("n_b").alias("links")).union(links.select("b", "n_a"))
         held = scratch.keep(direct.groupBy("rep").agg(F.sum("links").alias("links"), F.count("*").alias("held")), "held")
         dense = held.where(F.col("held") >= K).join(groups.withColumnRenamed("node", "rep"), "rep").select("component").distinct()

@@ -1,6 +1,7 @@
 import numpy as np
 
 from mnemograph.llm import descent
+from mnemograph.llm.scratch import Scratch
 
 SCHEMA = "vec_id long, embedding array<double>, label int, n int, rep string"
 
@@ -47,3 +48,32 @@ def test_odd_rows(spark):
     assert descent.near_vectors(table.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 2.0], 1, 2, "r")] * 2, SCHEMA)
     assert [tuple(r) for r in descent.near_vectors(twice).collect()] == [(1, 1, 1, True)] * 2
+
+
+def test_tight_subgroups_near_each_other_are_one_group(spark):
+    rng = np.random.default_rng(4)
+
+    def tight(centre, size):
+        off = rng.standard_normal((size, 32))
+        off -= np.outer(off @ centre, centre)
+        return centre + 0.05 * off / np.linalg.norm(off, axis=1)[:, None]
+
+    def beside(centre, cos):
+        side = rng.standard_normal(32)
+        side -= (side @ centre) * centre
+        return cos * centre + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side)
+
+    one = rng.standard_normal(32)
+    one /= np.linalg.norm(one)
+    rows = [*tight(one, 60), *tight(beside(one, 0.945), 60), *tight(beside(one, 0.7), 60)]
+    units = np.array([v / np.linalg.norm(v) for v in rows])
+    vectors = spark.createDataFrame([(i, 32, 1, bytearray(v.tobytes())) for i, v in enumerate(units)], "rep long, dim int, n long, vec binary")
+    top = spark.createDataFrame([(i, i - i % 60) for i in range(180)], "rep long, component long")
+    got = descent._bridges(top, vectors, 0.95, Scratch(spark, "bridges")).collect()
+    assert (units[:60] @ units[60:120].T >= 0.95).any() and (units[:120] @ units[120:].T).max() < 0.95
+    assert {(r.a // 60, r.b // 60) for r in got} == {(0, 1)} and all(units[r.a] @ units[r.b] >= 0.95 for r in got)
+
+
+def test_lists_once_grown_stay_long(spark):
+    lists, full = (spark.createDataFrame(x, "u long, k int") for x in ([(1, 20), (2, 20)], [(2, 40), (3, 40)]))
+    assert sorted(map(tuple, descent._longer(lists, full).collect())) == [(1, 20), (2, 40), (3, 40)]
