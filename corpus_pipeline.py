@@ -27,9 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one of smallest doc_id, in one row."""
+    """One document of each near-duplicate class (similarity of 0.8 or more), the one of smallest doc_id, in one row."""
     scratch = Scratch(spark, "near-dedup")
-    classes = scratch.keep(near_duplicates(docs).select("doc_id", "kept"), "classes")
+    classes = scratch.keep(near_duplicates(docs, percent=80).select("doc_id", "kept"), "classes")
     gone = classes.where("not kept").select("doc_id").distinct()
     left = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left_anti")
     again = scratch.keep(classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")

@@ -24,8 +24,8 @@ from mnemograph.llm.scratch import Scratch, only
 from mnemograph.llm.words import lowered_words, mix, shingle_sets, slices, text_bytes
 
 BUCKETS, BUCKET_BITS, MANTISSA = 256, 8, 10
-ROWS = 8
-FINE_BANDS, FINE_ROWS = 256, 20
+FINE_BUCKETS = 5120
+MISS = 1 / 20_000
 CROWDED, BLOCK = 32, 1024
 SET = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
 REST = 64 - BUCKET_BITS
@@ -76,9 +76,15 @@ def band_keys(codes: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def band_rows(percent: int, width: int) -> int:
+    """Rows of a band of ``width`` registers: the most that miss a pair at ``percent`` with a probability of ``MISS`` or less."""
+    missed = lambda rows: (1 - (percent / 100) ** rows) ** (width // rows)
+    return max((r for r in range(1, 65) if missed(r) <= MISS), default=1)
+
+
 def fine_codes(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of ``FINE_BANDS * FINE_ROWS`` buckets from hashes of their own; the sets aren't empty."""
-    width = FINE_BANDS * FINE_ROWS
+    """Registers of ``FINE_BUCKETS`` buckets from hashes of their own; the sets aren't empty."""
+    width = FINE_BUCKETS
     out = np.zeros((len(sets), width), np.uint16)
     for row, hashes in zip(out, sets, strict=True):
         fresh = np.sort(mix(hashes + np.uint64(0x5851F42D4C957F2D)) & np.uint64((1 << REST) - 1))[::-1]
@@ -144,16 +150,22 @@ def _keyed(keys: np.ndarray, reps: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(owners)], names=["key", "rep"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, len(batch), 2000):
-            part = batch.slice(a, 2000)
-            yield _keyed(band_keys(filled(_codes(part.column("registers"))), ROWS), part.column("rep"))
+def _bands(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 2000):
+                part = batch.slice(a, 2000)
+                yield _keyed(band_keys(filled(_codes(part.column("registers"))), rows), part.column("rep"))
+
+    return run
 
 
-def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, a, b, sets in _shingled(batches, 1 << 19):
-        yield _keyed(band_keys(fine_codes(sets), FINE_ROWS), batch.column("doc_id").slice(a, b - a))
+def _fine_bands(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, b, sets in _shingled(batches, 1 << 19):
+            yield _keyed(band_keys(fine_codes(sets), rows), batch.column("doc_id").slice(a, b - a))
+
+    return run
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +226,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     are compared with all members of other components, so every candidate pair is
     compared or already connected. A bucket of more than ``CROWDED`` members leaves
     this to the finer bands of its members, in whose buckets members are compared
-    where they meet and only links leave the task. The finer bands miss a pair at the threshold with
-    probability (1 - 0.85 ** 20) ** 256, the others with (1 - 0.85 ** 8) ** 32, both
-    below 1 in 20,000.
+    where they meet and only links leave the task. Rows and bands follow ``percent`` (``band_rows``): with
+    independent registers bands of either kind miss a pair at the threshold with a
+    probability of ``MISS`` or less. In short texts registers are borrowed and depend on
+    each other, so more pairs are missed there.
 
     A null or blank text has an empty set and is linked with nothing. A null doc_id
     is linked with nothing; its component_id is null and it is kept. Repeated rows
@@ -233,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = sets.join(alike, ["set_a", "set_b", "n_shingles"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "registers")
     reps = scratch.keep(reps.dropDuplicates(["rep", "n"]), "reps")
 
-    banded = reps.select("rep", "registers").mapInArrow(_bands, "key long, rep long")
+    banded = reps.select("rep", "registers").mapInArrow(_bands(band_rows(percent, BUCKETS)), "key long, rep long")
     shared, pairs = _hub_pairs(banded, scratch)
     confirm = lambda tested: _confirm(tested, reps, docs, percent, scratch)
     links = confirm(pairs)
@@ -244,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     crowd = scratch.keep(member.where(F.col("members") > CROWDED).select("rep").distinct(), "crowd")
     crowded = only(docs, "doc_id", crowd).dropDuplicates(["doc_id"])
-    fine = scratch.keep(_crowded(crowded.mapInArrow(_fine_bands, "key long, rep long"), scratch), "fine")
+    fine = scratch.keep(_crowded(crowded.mapInArrow(_fine_bands(band_rows(percent, FINE_BUCKETS)), "key long, rep long"), scratch), "fine")
     member = _open(fine, components(links, scratch), scratch)
     links = links.union(scratch.keep(_compared(member, crowded, reps, percent), "links"))
 

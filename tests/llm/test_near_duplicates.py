@@ -96,3 +96,11 @@ def test_odd_rows(spark, docs, prose):
 def test_no_rows(spark, docs):
     out = hmh.near_duplicates(docs([]))
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.count() == 0
+
+
+def test_bands_follow_the_threshold():
+    assert (hmh.band_rows(85, hmh.BUCKETS), hmh.band_rows(85, hmh.FINE_BUCKETS)) == (8, 20)
+    for percent in (50, 70, 80, 85, 90):
+        for width in (hmh.BUCKETS, hmh.FINE_BUCKETS):
+            rows = hmh.band_rows(percent, width)
+            assert (1 - (percent / 100) ** rows) ** (width // rows) <= 1 / 20_000

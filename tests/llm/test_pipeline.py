@@ -42,3 +42,10 @@ def _write(table, tmp_path):
 
 def test_no_rows(spark, docs, tmp_path):
     assert [x.count() for x in staged(spark, docs([]), tmp_path)] == [0] * 5
+
+
+def test_near_dedup_takes_pairs_above_four_fifths(spark, docs, prose, tmp_path):
+    base = prose(400).split()
+    near = [w + "x" if i % 50 == 20 else w for i, w in enumerate(base)]  # 8 words apart: 356 of 436 shingles, 0.8165
+    table = docs([" ".join(base), " ".join(near), prose(400)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, table, str(tmp_path)).collect()) == [0, 2]
