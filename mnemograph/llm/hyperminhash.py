@@ -27,7 +27,7 @@ BUCKETS, BUCKET_BITS, MANTISSA = 256, 8, 10
 FINE_BUCKETS = 5120
 MISS = 1 / 20_000
 CROWDED, BLOCK = 32, 1024
-SET = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
+SET = "doc_id long, n_shingles long, set_a long, set_b long, registers binary, bands binary"
 REST = 64 - BUCKET_BITS
 
 
@@ -54,12 +54,25 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(sets), BUCKETS)
 
 
-def filled(codes: np.ndarray) -> np.ndarray:
-    """Registers whose empty buckets hold the value of the next full one, round the end; rows aren't empty."""
-    width = codes.shape[1]
-    at = np.where(codes > 0, np.arange(width), width)
-    following = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
-    return np.take_along_axis(codes, np.where(following < width, following, at.min(axis=1, keepdims=True)), axis=1)
+def filled(codes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Registers whose empty buckets hold what the first further round of hashing puts there; rows of empty sets stay empty.
+
+    A round hashes the whole set afresh, so a register of two sets agrees with probability J
+    however few elements they have, and registers don't repeat each other.
+    """
+    out, width = codes.copy(), codes.shape[1]
+    for row, hashes in zip(out, sets, strict=True):
+        done, some = 0, max(1, 4 * width // max(len(hashes), 1))
+        while len(hashes) and not row.all():
+            salts = mix(np.arange(done + 1, done + some + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            fresh = mix(hashes[None, :] ^ salts[:, None])
+            bucket = (mix(fresh) % np.uint64(width)).astype(np.int64).ravel()
+            value, round_ = (fresh & np.uint64((1 << REST) - 1)).ravel(), np.repeat(np.arange(some), len(hashes))
+            free = np.flatnonzero(row[bucket] == 0)
+            free = free[np.lexsort((value[free], round_[free]))[::-1]]
+            row[bucket[free]] = compressed(value[free])  # of a bucket's values the last stays: first round, smallest
+            done += some
+    return out
 
 
 def band_keys(codes: np.ndarray, rows: int) -> np.ndarray:
@@ -90,7 +103,7 @@ def fine_codes(sets: list[np.ndarray]) -> np.ndarray:
         fresh = np.sort(mix(hashes + np.uint64(0x5851F42D4C957F2D)) & np.uint64((1 << REST) - 1))[::-1]
         bucket = mix(fresh) % np.uint64(width)
         row[bucket.astype(np.int64)] = compressed(fresh)  # of a bucket's values the last, smallest stays
-    return filled(out)
+    return filled(out, sets)
 
 
 @lru_cache(maxsize=4096)
@@ -133,16 +146,20 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, a, b, sets in _shingled(batches):
-        sums = [np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (1, 2)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums),
-                pa.array([c.tobytes() for c in registers(sets)], pa.binary()),
-            ],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "registers"],
-        )
+def _sets(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, b, sets in _shingled(batches):
+            sums = [np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (1, 2)]
+            codes = registers(sets)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums),
+                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([k.tobytes() for k in band_keys(filled(codes, sets), rows)], pa.binary()),
+                ],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "registers", "bands"],
+            )
+
+    return run
 
 
 def _keyed(keys: np.ndarray, reps: pa.Array) -> pa.RecordBatch:
@@ -150,14 +167,10 @@ def _keyed(keys: np.ndarray, reps: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(owners)], names=["key", "rep"])
 
 
-def _bands(rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 2000):
-                part = batch.slice(a, 2000)
-                yield _keyed(band_keys(filled(_codes(part.column("registers"))), rows), part.column("rep"))
-
-    return run
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+        yield _keyed(keys.reshape(len(batch), -1) if len(batch) else keys, batch.column("rep"))
 
 
 def _fine_bands(rows: int):
@@ -226,10 +239,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     are compared with all members of other components, so every candidate pair is
     compared or already connected. A bucket of more than ``CROWDED`` members leaves
     this to the finer bands of its members, in whose buckets members are compared
-    where they meet and only links leave the task. Rows and bands follow ``percent`` (``band_rows``): with
-    independent registers bands of either kind miss a pair at the threshold with a
-    probability of ``MISS`` or less. In short texts registers are borrowed and depend on
-    each other, so more pairs are missed there.
+    where they meet and only links leave the task. Rows and bands follow ``percent`` (``band_rows``): bands of
+    either kind miss a pair at the threshold with a probability of ``MISS`` or less if registers
+    are independent. Empty registers are filled by hashing again, not from other registers.
 
     A null or blank text has an empty set and is linked with nothing. A null doc_id
     is linked with nothing; its component_id is null and it is kept. Repeated rows
@@ -238,15 +250,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "hyperminhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = scratch.keep(docs.mapInArrow(_sets, SET), "sets")
+    sets = scratch.keep(docs.mapInArrow(_sets(band_rows(percent, BUCKETS)), SET), "sets")
     alike = scratch.keep(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")),
         "alike",
     )
-    reps = sets.join(alike, ["set_a", "set_b", "n_shingles"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "registers")
+    reps = sets.join(alike, ["set_a", "set_b", "n_shingles"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "registers", "bands")
     reps = scratch.keep(reps.dropDuplicates(["rep", "n"]), "reps")
 
-    banded = reps.select("rep", "registers").mapInArrow(_bands(band_rows(percent, BUCKETS)), "key long, rep long")
+    banded = reps.select("rep", "bands").mapInArrow(_bands, "key long, rep long")
+    reps = reps.drop("bands")
     shared, pairs = _hub_pairs(banded, scratch)
     confirm = lambda tested: _confirm(tested, reps, docs, percent, scratch)
     links = confirm(pairs)

@@ -104,3 +104,19 @@ def test_bands_follow_the_threshold():
         for width in (hmh.BUCKETS, hmh.FINE_BUCKETS):
             rows = hmh.band_rows(percent, width)
             assert (1 - (percent / 100) ** rows) ** (width // rows) <= 1 / 20_000
+
+
+def _missed(pairs, keys):
+    both = [keys([p[i] for p in pairs]) for i in (0, 1)]
+    return int((~(both[0] == both[1]).any(axis=1)).sum())
+
+
+def test_short_sets_are_not_missed():
+    rng = np.random.default_rng(6)
+    for union, n, n_fine in ((20, 3000, 200), (60, 3000, 200)):
+        pairs = []
+        for _ in range(n):
+            x, gone = rng.integers(0, 2**64, union, dtype=np.uint64), union * 15 // 100
+            pairs.append((np.sort(x[gone // 2 :]), np.sort(x[: union - (gone - gone // 2)])))  # J = 0.85
+        assert _missed(pairs, lambda sets: hmh.band_keys(hmh.filled(hmh.registers(sets), sets), hmh.band_rows(85, hmh.BUCKETS))) <= 2
+        assert _missed(pairs[:n_fine], lambda sets: hmh.band_keys(hmh.fine_codes(sets), hmh.band_rows(85, hmh.FINE_BUCKETS))) <= 1
