@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-MODULES = ["op01", "op02", "op03", "op04", "op05", "op06", "op07", "op08", "op09", "op10", "op12", "op13"]
+MODULES = ["op01", "op02", "op03", "op04", "op05", "op06", "op07", "op08", "op09", "op10", "op11", "op12", "op13"]
 
 
 def load():
