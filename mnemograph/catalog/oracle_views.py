@@ -59,14 +59,14 @@ VIEWS = {
           UNION ALL SELECT 'supp-' || s_suppkey, 'located_in', 'nat-' || s_nationkey, TIMESTAMP '2024-01-01' FROM supplier
           UNION ALL SELECT 'nat-' || n_nationkey, 'located_in', 'reg-' || n_regionkey, TIMESTAMP '2024-01-01' FROM nation
           UNION ALL SELECT 'cust-' || o_custkey, 'owns', 'ord-' || o_orderkey, o_orderdate FROM orders)""",
+    "v_names": """
+        SELECT 'cust-' || c_custkey AS id, c_name AS content, 'person' AS node_type, 0.55::DOUBLE AS weight, c_custkey AS k FROM customer
+        UNION ALL SELECT 'supp-' || s_suppkey, s_name, 'person', 0.55, s_suppkey FROM supplier
+        UNION ALL SELECT 'nat-' || n_nationkey, n_name, 'place', 0.55, n_nationkey FROM nation
+        UNION ALL SELECT 'reg-' || r_regionkey, r_name, 'place', 0.55, r_regionkey FROM region
+        UNION ALL SELECT 'ord-' || o_orderkey, o_orderpriority, 'asset', 0.55, o_orderkey FROM orders""",
     "v_graph_nodes": """
-        SELECT e.*, embedding FROM (
-          SELECT 'cust-' || c_custkey AS id, c_name AS content, 'person' AS node_type, 0.55::DOUBLE AS weight, c_custkey AS k FROM customer
-          UNION ALL SELECT 'supp-' || s_suppkey, s_name, 'person', 0.55, s_suppkey FROM supplier
-          UNION ALL SELECT 'nat-' || n_nationkey, n_name, 'place', 0.55, n_nationkey FROM nation
-          UNION ALL SELECT 'reg-' || r_regionkey, r_name, 'place', 0.55, r_regionkey FROM region
-          UNION ALL SELECT 'ord-' || o_orderkey, o_orderpriority, 'asset', 0.55, o_orderkey FROM orders) e
-        JOIN embeddings ON vec_id = k % (SELECT count(*) FROM embeddings)
+        SELECT e.*, embedding FROM v_names e JOIN embeddings ON vec_id = k % (SELECT count(*) FROM embeddings)
         UNION ALL SELECT id, content, node_type, weight, NULL, NULL FROM v_relationships""",
     "v_observations": """
         SELECT 'cust-' || c_custkey AS subject_id, 'lives in' AS predicate, 'nat-' || c_nationkey AS object_id,

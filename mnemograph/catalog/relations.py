@@ -87,7 +87,7 @@ def incoming_links(v: Views):
 @query(
     "label_relationships",
     """SELECT r.id, predicate, coalesce(nullif(s.content, ''), subject_id) AS subject_label, coalesce(nullif(o.content, ''), object_id) AS object_label
-       FROM v_relationships r LEFT JOIN v_graph_nodes s ON s.id = subject_id LEFT JOIN v_graph_nodes o ON o.id = object_id""",
+       FROM v_relationships r LEFT JOIN v_names s ON s.id = subject_id LEFT JOIN v_names o ON o.id = object_id""",
 )
 def label_relationships(v: Views):
     out = joins.label_relationships(v.relationships, v.graph_nodes.select("id", "content"))

@@ -122,7 +122,7 @@ def normalise_updates(v: Views):
 )
 def audit_log_scan(v: Views):
     kind = F.col("event_type")
-    logs = v.table("events").select(
+    rows = v.table("events").select(
         "ts",
         F.when(kind == "error", "WARN").otherwise("INFO").alias("level"),
         F.when(kind == "click", F.concat(F.lit("LLM_CONTEXT_AUDIT | call "), "event_id")).when(kind == "signup", "other").alias("msg"),
@@ -130,7 +130,7 @@ def audit_log_scan(v: Views):
         F.col("user_id").cast("string").alias("trace_id"),
         F.lit(None).cast("string").alias("path"),
     )
-    out = logs.audit_lines(logs, "2024-01-05 00:00:00", "2024-01-25 00:00:00")
+    out = logs.audit_lines(rows, "2024-01-05 00:00:00", "2024-01-25 00:00:00")
     return out.select(F.col("ts").cast("string").alias("ts"), "line")
 
 

@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemograph.functions import columns as C
-from mnemograph.operators.skew import spread_join, top_rows
+from mnemograph.operators.skew import top_rows
 from mnemograph.operators.vector import node_weights, prune_weighed, weigh
 from mnemograph.session import stage
 
@@ -113,11 +113,11 @@ def expand(
     walked = None
     for hop in range(1, max(hops, 1) + 1):
         start = frontier.select("qid", F.col("id").alias("node_id"))
-        steps = stage(spread_join(start, around, ["node_id"]), "steps")
+        steps = stage(start.join(around, "node_id"), "steps")
         here = steps.filter("is_edge").select("qid", "source", "target", "predicate", F.lit(hop).alias("hop"))
         walked = here if walked is None else walked.unionByName(here)
         fresh = steps.select("qid", F.col("other").alias("id")).distinct().join(visited, ["qid", "id"], "left_anti")
-        candidates = weigh(fresh, weights, query_vectors, per_kind, steps.count())
+        candidates = weigh(fresh, weights, query_vectors, per_kind)
         visited = visited.unionByName(candidates.select("qid", "id"))
         frontier = prune_weighed(candidates, nodes, query_vectors, per_kind)
         found = found.unionByName(frontier.select("qid", "id", F.lit(hop).alias("hop")))
@@ -186,7 +186,7 @@ def subgraph_report(nodes: DataFrame, members: DataFrame, walked: DataFrame) ->
         "id", "node_type", node_label(F.col("node_type"), F.coalesce("content", F.lit(""))).alias("label"),
         "subject_id", "predicate", "object_id", F.coalesce("weight", F.lit(0.0)).alias("weight"),
     )
-    rows = spread_join(members, info, ["id"])
+    rows = members.join(info, "id")
     seed = F.coalesce(F.col("hop") == 0, F.lit(False))
     is_rel = F.col("node_type") == "relationship"
     entities = rows.filter(~is_rel & ~F.col("node_type").isin(NOISE)).select(

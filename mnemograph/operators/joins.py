@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from mnemograph.functions import columns as C
 from mnemograph.operators.filters import of_type
 from mnemograph.operators.keywords import search_many
-from mnemograph.operators.skew import spread_join, top_rows
+from mnemograph.operators.skew import top_rows
 from mnemograph.operators.vector import nearest
 
 
@@ -28,7 +28,7 @@ def source_dates(refs: DataFrame, entries: DataFrame, per_node: int = 5) -> Data
     dated = entries.filter(F.col("ts").isNotNull()).select(
         F.col("id").alias("entry_id"), F.col("ts").cast("date").cast("string").alias("entry_date")
     )
-    found = spread_join(refs.filter(F.col("entry_id") != ""), dated, ["entry_id"])
+    found = refs.filter(F.col("entry_id") != "").join(dated, "entry_id")
     first = found.groupBy("id", "entry_date").agg(F.min("pos").alias("pos"))
     return top_rows(first, ["id"], [F.asc("pos")], per_node)
 
@@ -51,9 +51,7 @@ def label_relationships(relationships: DataFrame, nodes: DataFrame) -> DataFrame
     out = relationships
     for end in ("subject", "object"):
         side = named.select(F.col("id").alias(f"{end}_id"), F.col("label").alias(f"{end}_name"))
-        out = spread_join(out, side, [f"{end}_id"], "left").withColumn(
-            f"{end}_label", F.coalesce(f"{end}_name", f"{end}_id")
-        )
+        out = out.join(side, f"{end}_id", "left").withColumn(f"{end}_label", F.coalesce(f"{end}_name", f"{end}_id"))
     return out.drop("subject_name", "object_name")
 
 

@@ -1,53 +1,12 @@
-"""Joins and neighbour lookups that stay balanced when one key holds most rows."""
+"""Neighbour lookups and limits that stay balanced when one key holds most rows.
+
+Plain joins are left to adaptive execution, which splits a hot partition of the left side.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_ROWS = 2_000_000
-HOT_SHARE = 200  # a key is hot from 1/HOT_SHARE of the rows, so at most HOT_SHARE keys are
-SALTS = 64
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-    at_most: int | None = None,
-) -> DataFrame:
-    """Equi join whose hot left keys are spread over ``salts`` tasks.
-
-    A key counts as hot when it holds at least ``hot_rows`` rows and at least
-    1/200 of the table, so there are never more than 200 of them and the list is
-    safe to broadcast. Only the right rows of those keys are repeated. ``how`` is
-    one of inner, left, left_semi, left_anti. ``at_most`` is an upper bound of the left
-    rows when the caller knows one; it saves the count. Below ``hot_rows`` rows the plain
-    join is used.
-    """
-    if at_most is not None and at_most < hot_rows:
-        return left.join(right, keys, how)
-    n = left.count()
-    if n < hot_rows:
-        return left.join(right, keys, how)
-    floor = max(hot_rows, n // HOT_SHARE)
-    hot = (
-        left.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= floor)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))).otherwise(0).cast("int"),
-    )
-    salts_of = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts_of))
-    return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
-
-
 def next_row(df: DataFrame, keys: list[str], pos: str, cols: list[str], name: str, span: int = 4096) -> DataFrame:
     """Add ``name`` = struct(cols) of the row that follows in ``pos`` order within ``keys``.
 
@@ -76,30 +35,3 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank:
     """First ``k`` rows per key with their rank. Spark cuts each map task to ``k`` rows first."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
-
-
-def latest_mark(df: DataFrame, keys: list[str], pos: str, tie: str, gap: int, span: int, name: str) -> DataFrame:
-    """Add ``name``: the ``pos`` of the row that starts the run of each row, within ``keys``.
-
-    A row starts a run when it is the first of its key or more than ``gap`` behind the row
-    before in (``pos``, ``tie``) order. Each key is cut into spans of ``pos``; what crosses a
-    span is found over one row per span, so a key of any length is many tasks.
-    """
-    cut = df.withColumn("_span", F.floor(F.col(pos) / span))
-    inside = Window.partitionBy(*keys, "_span").orderBy(pos, tie)
-    marked = cut.withColumn("_before", F.lag(pos).over(inside))
-    ends = marked.groupBy(*keys, "_span").agg(
-        F.min(pos).alias("_low"), F.max(pos).alias("_high"),
-        F.max(F.when(F.col(pos) - F.col("_before") > gap, F.col(pos))).alias("_start"),
-    )
-    along = Window.partitionBy(*keys).orderBy("_span")
-    ends = ends.withColumn("_prev", F.lag("_high").over(along))
-    opens = F.col("_prev").isNull() | (F.col("_low") - F.col("_prev") > gap)
-    ends = ends.withColumn("_start", F.coalesce("_start", F.when(opens, F.col("_low"))))
-    carried = F.last("_start", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.select(*keys, "_span", "_prev", carried.alias("_carried"))
-    joined = marked.join(ends, [*keys, "_span"])
-    before = F.coalesce("_before", "_prev")
-    starts = F.when(before.isNull() | (F.col(pos) - before > gap), F.col(pos))
-    latest = F.max(starts).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn(name, F.coalesce(latest, "_carried")).drop("_span", "_before", "_prev", "_carried")

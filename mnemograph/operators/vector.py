@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from mnemograph.operators.skew import spread_join, top_rows
+from mnemograph.operators.skew import top_rows
 from mnemograph.session import stage
 
 SCALE = 1_000_000
@@ -297,9 +297,7 @@ def node_weights(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"), have.alias("has_vector"))
 
 
-def weigh(
-    candidates: DataFrame, weights: DataFrame, query_vectors: DataFrame, k: int, at_most: int | None = None
-) -> DataFrame:
+def weigh(candidates: DataFrame, weights: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
     """Known ``candidates(qid, id)`` with their weight and the ``way`` their query is pruned.
 
     ``weights`` holds (id, weight, has_vector) of the known nodes.
@@ -307,7 +305,7 @@ def weigh(
     weight (otherwise). The result is staged; it holds no vectors.
     """
     have = F.coalesce(F.size("embedding"), F.lit(0)) > 0
-    light = spread_join(candidates.select("qid", "id"), weights.select("id", "weight", "has_vector"), ["id"], at_most=at_most)
+    light = candidates.select("qid", "id").join(weights.select("id", "weight", "has_vector"), "id")
     counts = light.groupBy("qid").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.col("has_vector").cast("int")).alias("all_vectors")
     )
@@ -335,7 +333,7 @@ def prune_weighed(candidates: DataFrame, nodes: DataFrame, query_vectors: DataFr
         candidates.filter("way = 'weight'"), ["qid"], [F.desc("weight"), F.asc("id")], k
     ).select("qid", "id")
     pairs = (
-        spread_join(candidates.filter("way = 'vector'"), nodes.select("id", F.col("embedding").alias("b")), ["id"])
+        candidates.filter("way = 'vector'").join(nodes.select("id", F.col("embedding").alias("b")), "id")
         .join(query_vectors.select("qid", F.col("embedding").alias("a")), "qid")
         .select("qid", "id", F.col("weight").cast("double").alias("weight"), "a", "b")
     )

@@ -36,6 +36,23 @@ def test_replay_equals_a_fold_across_spans(spark):
     assert wide == replay(items, 7200)
 
 
+def test_stored_rows_and_long_runs(spark):
+    import random
+
+    rng = random.Random(9)
+    items = [(f"s{i:04}", "e", "do", float(rng.choice([rng.randint(0, 4000), rng.randint(0, 300)])), rng.random() < 0.1) for i in range(900)]
+    want, last = {}, None
+    for i, _, _, s, stored in sorted(items, key=lambda x: (x[3], x[0])):
+        if stored or last is None or s - last[1] > 30:
+            last = (i, s)
+        want[i] = last[0]
+    df = spark.createDataFrame(items, "id string, entry_id string, content string, s double, stored boolean")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + 1.7e9).cast("timestamp_ntz"))
+    out = dedup.replay_tasks(df)
+    assert {r.id: r.created_id for r in out.collect()} == want
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
 def test_limits_are_honoured_and_optional(spark):
     rows = spark.createDataFrame([(f"r{i:03}", "", "pending", i) for i in range(100)], "id string, parent_id string, status string, ts int")
     assert filters.open_roots(rows, 60).count() == 60
