@@ -53,6 +53,18 @@ def nearest_within_type(v: Views):
     return vector.nearest_one_of_type(v.near, v.nodes, 0.15)
 
 
+@query("threshold_join", f"SELECT qid, id, score FROM ({knn_sql(1, 'true', 'v_near', low=0.85)})")
+def threshold_join(v: Views):
+    """As two large sets are joined: balls around pivots, no side broadcast."""
+    return vector.nearest(v.near, v.nodes, 1, min_score=0.85, broadcast_bytes=0, cell_rows=512).drop("rank")
+
+
+@query("threshold_join_work")
+def threshold_join_work(v: Views):
+    """Pairs of the two sets, those that met in a ball, and those scored in full."""
+    return vector.threshold_work(v.near, v.nodes, 0.85, cell_rows=512)
+
+
 @query("knn_entries", knn_sql(10, "n.node_type = 'log'"))
 def knn_entries(v: Views):
     return long(vector.nearest(v.search_inputs, v.nodes.filter(F.col("node_type") == "log"), 10), "rank")

@@ -12,6 +12,8 @@ from mnemograph.catalog.texts import NORMALISED
 from mnemograph.functions import columns as C, model
 from mnemograph.operators import merge
 from mnemograph.plans.search import knowledge
+from mnemograph.session import new_path
+from mnemograph.sources.versioned import Versioned
 from mnemograph.sources.views import AS_OF, Views, ntz, shifted
 
 
@@ -67,6 +69,27 @@ def delete_where(v: Views):
     return kept.unionByName(count.select(F.lit("").alias("id"), F.lit("").alias("source"), "n"))
 
 
+@query(
+    "publish_versions",
+    """WITH p AS (SELECT 'node-' || (user_id % (SELECT count(*) FROM embeddings)) AS id, count(*) AS c FROM events GROUP BY 1)
+       SELECT 0 AS version, id, node_type, weight FROM v_nodes
+       UNION ALL SELECT 1, id, node_type, CASE WHEN node_type IN ('project', 'goal') THEN round(least(1.0, weight + 0.05 * coalesce(c, 0)), 6) ELSE weight END
+       FROM v_nodes LEFT JOIN p USING (id) WHERE node_type <> 'tool'""",
+)
+def publish_versions(v: Views):
+    """Nodes by type: a second version raises projects and goals and drops tools; both versions are read."""
+    table = Versioned(v.spark, new_path(v.spark, "nodes"), "id string, weight double, node_type string", "node_type")
+    table.publish(v.nodes.select("id", "weight", "node_type"), 0)
+    first = table.read()
+    mentions = v.table("events").select(F.concat(F.lit("node-"), F.col("user_id") % v.n_vectors).alias("id"))
+    part = table.read(only=["project", "goal"])
+    raised = merge.boost(part, mentions).withColumnRenamed("weight", "raised")
+    changed = part.join(raised, "id", "left").select("id", F.coalesce("raised", "weight").alias("weight"), "node_type")
+    table.publish(changed, 1, replaced=["tool"])
+    rows = lambda df, n: df.select(F.lit(n).alias("version"), "id", "node_type", "weight")
+    return rows(first, 0).unionByName(rows(table.read(), 1))
+
+
 @query(
     "strip_done",
     r"""SELECT id, content FROM (SELECT id, old, CASE WHEN regexp_matches(lower(t), 'done\.?$') THEN regexp_replace(regexp_replace(t, '(?i)done\.?$', ''), '^\s+|\s+$', '', 'g') ELSE old END AS content

@@ -2,8 +2,8 @@
 
 Id lists of a row (source entries, linked rows) are kept as link tables
 (id, target_id), one row per link, so that a row observed by a third of all
-entries is a union and a distinct, not one huge array. ``publish`` writes the
-result as a new version; nothing is overwritten in place.
+entries is a union and a distinct, not one huge array. ``sources.versioned`` publishes
+the result part by part; nothing is overwritten in place.
 """
 
 from __future__ import annotations

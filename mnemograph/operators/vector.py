@@ -1,7 +1,7 @@
 """Cosine nearest-neighbour search.
 
 Scores are cosine similarity clamped to [0, 1] and rounded to six places; ties go
-to the smaller id. Three ways to the same operator:
+to the smaller id. Four ways to the same operator:
 
 * ``nearest`` with few queries: the query matrix is broadcast after its size has
   been measured, each task streams its corpus partition through one matrix product
@@ -9,6 +9,9 @@ to the smaller id. Three ways to the same operator:
   shuffled and the corpus is never moved.
 * ``nearest`` with many queries: both sides are hashed into stripes and meet in
   cells of bounded size (every stripe pair is one cell), each cell emits its top-k.
+* ``nearest`` with many queries, of which each wants its one nearest row above a score:
+  the corpus is dealt to balls around pivots, and a query goes only to the balls that can hold a row
+  near enough, by the triangle inequality. Exact too.
 * ``nearest_lsh``: the same cells, but only inside buckets of equal sign signature.
 """
 
@@ -106,7 +109,7 @@ def _to_arrow(hits: pd.DataFrame, qids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(qids[hits["q"].to_numpy(dtype=np.int64)], pa.string()),
-            pa.array(hits["id"], pa.string()),
+            pa.array(hits["id"].to_numpy(dtype=object), pa.string()),
             pa.array(hits["s"].to_numpy(dtype=np.float64) / SCALE, pa.float64()),
         ],
         schema=_HIT_ARROW,
@@ -140,8 +143,10 @@ def nearest(
     queries = queries.filter(F.col("embedding").isNotNull()).select("qid", "embedding", kind.alias("bucket"))
     corpus = corpus.filter(F.col("embedding").isNotNull()).select("id", "embedding", kind.alias("bucket"))
     n, dim = _shape(queries)
-    if n * max(dim, 1) * 8 <= broadcast_bytes and n * k <= HELD_ROWS:
+    if n == 0 or (n * max(dim, 1) * 8 <= broadcast_bytes and n * k <= HELD_ROWS):
         partial = _scan_with_queries(queries, corpus, k, _floor(min_score), dim, same is not None)
+    elif k == 1 and _floor(min_score) > 0:
+        partial = _meet_in_balls(queries, corpus, min_score, dim, cell_rows)
     else:
         partial = _meet_in_cells(queries, corpus, k, _floor(min_score), dim, cell_rows)
     return top_rows(partial, ["qid"], [F.desc("score"), F.asc("id")], k)
@@ -224,6 +229,125 @@ def _meet_in_cells(
     return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(cell, HIT)
 
 
+def _pivots(corpus: DataFrame, dim: int, ball_rows: int) -> np.ndarray:
+    """Unit vectors of some rows, one for each ``ball_rows``; they are chosen by hash and take at most ``BROADCAST_BYTES``."""
+    usable = corpus.filter(F.size("embedding") == dim)
+    n = usable.count() // ball_rows
+    wanted = int(max(1, min(n, BROADCAST_BYTES // (8 * max(dim, 1)), 4096)))
+    rows = usable.orderBy(F.xxhash64("id"), "id").limit(wanted).select("embedding").toArrow()
+    return _unit_rows(rows["embedding"], dim) if rows.num_rows else np.eye(1, dim)
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+
+
+def _dealt(df: DataFrame, key: str, pivots: np.ndarray, dim: int, reach: float | None) -> DataFrame:
+    """(bucket, ball, angle, key, embedding): rows turned to unit vectors, each in its nearest ball.
+
+    With ``reach`` in every ball that may hold a row within that angle: ``v`` is nearest to its own
+    pivot ``c``, so for a row ``q`` near ``v`` the pivot nearest to ``q`` can't be nearer by more than twice the reach.
+    """
+    turn = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))[0]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _unit_rows(batch.column(2), dim)
+            angles = _angles(vectors, pivots)
+            usable = (vectors != 0).any(axis=1)
+            if reach is None:
+                row, ball = np.flatnonzero(usable), angles.argmin(axis=1)[usable]
+            else:
+                row, ball = np.nonzero((angles <= angles.min(axis=1)[:, None] + 2 * reach) & usable[:, None])
+            turned = vectors @ turn
+            for lo in range(0, len(row), 8192):
+                r, b = row[lo : lo + 8192], ball[lo : lo + 8192]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(r)), pa.array(b, pa.int32()), pa.array(angles[r, b]), batch.column(1).take(pa.array(r)),
+                        pa.ListArray.from_arrays(np.arange(0, len(r) * dim + 1, dim, dtype=np.int32), turned[r].ravel()),
+                    ],
+                    names=["bucket", "ball", "angle", key, "embedding"],
+                )
+
+    return df.select("bucket", key, "embedding").mapInArrow(deal, f"bucket string, ball int, angle double, {key} string, embedding array<double>")
+
+
+def _meet_in_balls(
+    queries: DataFrame, corpus: DataFrame, min_score: float, dim: int, cell_rows: int, ball_rows: int | None = None, counted: bool = False
+) -> DataFrame:
+    """The nearest row within ``min_score`` of each query from each ball it can touch: (qid, id, score).
+
+    A ball is the corpus rows nearest to one pivot, with the least and greatest angle to it. A query
+    goes to a ball only if its own angle lies within reach of those. A ball of more than ``cell_rows`` rows is
+    cut into stripes. In a stripe the first third of the (randomly turned) coordinates bounds each score from above,
+    and only pairs whose bound reaches ``min_score`` are scored in full. With ``counted`` the result is
+    (met, scored), the pairs of each stripe.
+    """
+    reach = float(np.arccos(max(min_score - 1e-6, -1.0)))
+    pivots = _pivots(corpus, dim, ball_rows or max(1, cell_rows // 4))
+    held = stage(_dealt(corpus, "id", pivots, dim, None), "balls")
+    sizes = held.groupBy("bucket", "ball").agg(
+        F.min("angle").alias("least"), F.max("angle").alias("most"), F.ceil(F.count(F.lit(1)) / cell_rows).alias("stripes")
+    )
+    touch = (F.col("angle") <= F.col("most") + reach) & (F.col("angle") >= F.col("least") - reach)
+    asked = _dealt(queries, "qid", pivots, dim, reach).join(sizes, ["bucket", "ball"]).filter(touch)
+    # Many queries of one ball are spread as well: each stripe of the ball meets each stripe of its queries.
+    shares = asked.groupBy("bucket", "ball").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("shares"))
+    grid = ["bucket", "ball", "qs", "cs"]
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = asked.join(shares, ["bucket", "ball"]).withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("shares"))).withColumn("cs", each("stripes"))
+    right = held.join(sizes.select("bucket", "ball", "stripes"), ["bucket", "ball"]).join(shares, ["bucket", "ball"])
+    right = right.withColumn("cs", F.pmod(F.xxhash64("id"), F.col("stripes"))).withColumn("qs", each("shares"))
+    floor = _floor(min_score)
+
+    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
+        qids, ids = np.array(q["qid"].to_pylist(), dtype=str), np.array(c["id"].to_pylist(), dtype=str)
+        best, scored = _best_within(_rows(q["embedding"], dim), ids, _rows(c["embedding"], dim), floor)
+        if counted:
+            return pa.table({"met": pa.array([len(qids) * len(ids)], pa.int64()), "scored": pa.array([scored], pa.int64())})
+        return pa.Table.from_batches([_to_arrow(best, qids)])
+
+    left, right = (df.select(*grid, key, "embedding").groupBy(*grid) for df, key in ((left, "qid"), (right, "id")))
+    return left.cogroup(right).applyInArrow(cell, "met bigint, scored bigint" if counted else HIT)
+
+
+def _rows(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = pc.list_flatten(column.combine_chunks())
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _best_within(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, floor: int, step: int = 256) -> tuple[pd.DataFrame, int]:
+    """Best row at or above ``floor`` of each query (columns q, id, s), and the number of pairs scored in full."""
+    parts, scored = [], 0
+    if len(queries) and len(ids):
+        m = max(1, queries.shape[1] // 3)
+        rest_q, rest_v = (np.sqrt(np.maximum(0.0, (x[:, m:] ** 2).sum(axis=1))) for x in (queries, vectors))
+        least = (floor - 0.5) / SCALE - 1e-9
+        for lo in range(0, len(queries), step):
+            part = queries[lo : lo + step]
+            bound = part[:, :m] @ vectors[:, :m].T + rest_q[lo : lo + step, None] * rest_v[None, :]
+            row, col = np.nonzero(bound >= least)
+            scored += len(row)
+            for at in range(0, len(row), 65536):
+                r, c = row[at : at + 65536], col[at : at + 65536]
+                s = np.rint(np.clip(np.einsum("ij,ij->i", part[r], vectors[c]), 0.0, 1.0) * SCALE).astype(np.int64)
+                good = s >= floor
+                parts.append(pd.DataFrame({"q": r[good] + lo, "id": ids[c[good]], "s": s[good]}))
+    hits = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"q": [], "id": [], "s": []})
+    return _keep_best(hits, 1), scored
+
+
+def threshold_work(queries: DataFrame, corpus: DataFrame, min_score: float, cell_rows: int = CELL_ROWS, ball_rows: int | None = None) -> DataFrame:
+    """(pairs, met, scored): all pairs, those that met in a ball, and those scored in full by the join at ``min_score``."""
+    blank = F.lit("").alias("bucket")
+    queries, corpus = queries.select("qid", "embedding", blank), corpus.select("id", "embedding", blank)
+    n, dim = _shape(queries)
+    work = _meet_in_balls(queries, corpus, min_score, dim, cell_rows, ball_rows, counted=True)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return work.agg(F.lit(n * corpus.count()).cast("bigint").alias("pairs"), total("met"), total("scored"))
+
+
 def signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 11) -> DataFrame:
     """One row per table: ``bucket`` = table number and the signs against ``bits`` random planes."""
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
