@@ -268,17 +268,23 @@ def record_asked(v: Views):
 
 @query(
     "resolve_questions",
-    """WITH q AS (SELECT id, question, CASE WHEN kind = 'contradiction' THEN 'onboarding' ELSE kind END AS kind, answer FROM v_questions WHERE answer <> '')
+    """WITH q AS (SELECT id, question, context, CASE WHEN kind = 'contradiction' THEN 'onboarding' ELSE kind END AS kind,
+                CASE WHEN kind = 'task_proposal' AND ask_count % 2 = 0 THEN 'Yes ' || answer ELSE answer END AS answer, kind = 'task_proposal' AND ask_count % 2 = 0 AS yes
+              FROM v_questions WHERE answer <> '')
        SELECT 'resolved' AS part, id, answer AS text FROM q UNION ALL SELECT 'fact', 'fact-' || id, answer FROM q WHERE kind = 'onboarding'
-       UNION ALL SELECT 'entry', 'answer-' || id, 'Assistant asked: ' || question || chr(10) || 'User responded: ' || answer FROM q WHERE kind = 'gap'""",
+       UNION ALL SELECT 'entry', 'answer-' || id, 'Assistant asked: ' || question || chr(10) || 'User responded: ' || answer FROM q WHERE kind = 'gap'
+       UNION ALL SELECT 'task', 'task-' || id, context FROM q
+       WHERE kind = 'task_proposal' AND (yes OR regexp_matches(lower(trim(answer)), '^(yes|y|yeah|yep|yup|sure|ok|okay|do it|create it|go ahead|please|absolutely)( |$)'))""",
 )
 def resolve_questions(v: Views):
     q = v.questions
     open_q = q.withColumn("kind", F.when(F.col("kind") == "contradiction", "onboarding").otherwise(F.col("kind"))).drop("answer")
-    answers = q.filter(F.col("answer") != "").select("id", "answer", F.col("resolved").alias("ts"))
-    resolved, facts, logs = merge.resolve_questions(open_q, answers)
+    yes = (F.col("kind") == "task_proposal") & (F.col("ask_count") % 2 == 0)
+    said = F.when(yes, F.concat(F.lit("Yes "), "answer")).otherwise(F.col("answer"))
+    answers = q.filter(F.col("answer") != "").select("id", said.alias("answer"), F.col("resolved").alias("ts"))
+    resolved, facts, logs, tasks = merge.resolve_questions(open_q, answers)
     row = lambda df, part, text: df.select(F.lit(part).alias("part"), "id", F.col(text).alias("text"))
-    return row(resolved, "resolved", "answer").unionByName(row(facts, "fact", "content")).unionByName(row(logs, "entry", "content"))
+    return row(resolved, "resolved", "answer").unionByName(row(facts, "fact", "content")).unionByName(row(logs, "entry", "content")).unionByName(row(tasks, "task", "content"))
 
 
 @query(

@@ -14,7 +14,7 @@ from mnemograph import schema as V
 from mnemograph.functions import columns as C
 from mnemograph.operators.dedup import semantic_anti_join
 from mnemograph.operators.skew import top_rows
-from mnemograph.operators.vector import nearest_one, nearest_one_of_type
+from mnemograph.operators.vector import nearest_one, nearest_one_of_type, smaller_within
 from mnemograph.session import stage
 
 DEFAULT_LABELS = ("Assistant asked", "User responded")
@@ -112,7 +112,8 @@ def ensure_nodes(mentions: DataFrame, nodes: DataFrame, embeddings: DataFrame |
     In order: nearest node of the same type within 0.15 (``embeddings`` gives
     (name, embedding); skipped without it), the hash id of type and name, a node of any
     type with that name, a new node. Mentions of one new name share the node of the
-    first of them, whatever their types. A given ``entity_`` id that does not exist is an
+    first of them, whatever their types. With ``embeddings`` a new node also takes the id of the smallest
+    new node of its type within 0.15, and so on down to one that has none. A given ``entity_`` id that does not exist is an
     error. Returns distinct (name, node_type, id, how, error).
     """
     clean = C.trim_ws(F.col("name"))
@@ -169,9 +170,24 @@ def ensure_nodes(mentions: DataFrame, nodes: DataFrame, embeddings: DataFrame |
     firsts = rows.filter(F.col("how") == "new").groupBy("name_key").agg(
         F.min_by("hash_id", F.struct("at", "hash_id")).alias("first_id")
     )
-    return rows.join(firsts, "name_key", "left").select(
+    resolved = rows.join(firsts, "name_key", "left").select(
         "name", "node_type", picked.alias("id"), "how", error.alias("error")
     )
+    if embeddings is None:
+        return resolved
+    resolved = stage(resolved, "resolved")
+    fresh = new_nodes(resolved, embeddings)
+    pairs = smaller_within(fresh.select(F.col("id").alias("qid"), "node_type", "embedding"), fresh, 1.0 - V.ENTITY_DISTANCE)
+    pairs = stage(pairs.select(F.col("qid").alias("a"), F.col("id").alias("b")), "similar")
+    return resolved if pairs.isEmpty() else merge_similar_new(resolved, pairs)
+
+
+def new_nodes(resolved: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(id, name, node_type, embedding) of the new nodes of ``ensure_nodes``: each by the mention that its id comes from."""
+    own = (F.col("how") == "new") & (F.col("id") == C.entity_id(F.col("node_type"), F.col("name")))
+    first = resolved.filter(own).groupBy("id").agg(F.min(F.struct("name", "node_type")).alias("r")).select("id", "r.*")
+    vectors = embeddings.groupBy("name").agg(F.first("embedding").alias("embedding"))
+    return first.join(vectors, "name", "left").select("id", "name", "node_type", "embedding")
 
 
 def merge_similar_new(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -386,14 +402,15 @@ def record_asked(questions: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def resolve_questions(
-    questions: DataFrame, answers: DataFrame, labels: tuple[str, str] = DEFAULT_LABELS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(resolved questions, new facts, new log rows) for ``answers(id, answer, ts)``.
+    questions: DataFrame, answers: DataFrame, labels: tuple[str, str] = DEFAULT_LABELS, source: str = V.ANSWER_SOURCE
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(resolved questions, new facts, new log rows, new tasks) for ``answers(id, answer, ts)``.
 
     Onboarding answers become identity facts and the owner's name; gap answers become
-    a log row "<asked>: question / <responded>: answer".
+    a log row "<asked>: question / <responded>: answer" of ``source``; a proposal that is
+    confirmed becomes a pending task with the text of the proposal's context.
     """
-    rows = questions.select("id", "question", "kind").join(answers, "id")
+    rows = questions.select("id", "question", "kind", "context").join(answers, "id")
     resolved = rows.select("id", "kind", F.col("ts").alias("resolved"), "answer")
     told = F.col("answer") != ""
     facts = rows.filter((F.col("kind") == "onboarding") & told).select(
@@ -402,9 +419,13 @@ def resolve_questions(
     )
     text = F.concat(F.lit(f"{labels[0]}: "), "question", F.lit(f"\n{labels[1]}: "), "answer")
     logs = rows.filter((F.col("kind") == "gap") & told).select(
-        F.concat(F.lit("answer-"), "id").alias("id"), text.alias("content"), F.lit("dreamer").alias("source"), "ts"
+        F.concat(F.lit("answer-"), "id").alias("id"), text.alias("content"), F.lit(source).alias("source"), "ts"
+    )
+    confirmed = (F.col("kind") == "task_proposal") & told & C.affirmative(F.col("answer")) & (C.text_or_empty(F.col("context")) != "")
+    tasks = rows.filter(confirmed).select(
+        F.concat(F.lit("task-"), "id").alias("id"), C.trim_ws(F.col("context")).alias("content"), F.lit("pending").alias("status"), "ts"
     )
-    return resolved, facts, logs
+    return resolved, facts, logs, tasks
 
 
 def insert_questions(candidates: DataFrame, existing: DataFrame, as_of: Column, **opts) -> DataFrame:

@@ -274,7 +274,8 @@ def _dealt(df: DataFrame, key: str, pivots: np.ndarray, dim: int, reach: float |
 
 
 def _meet_in_balls(
-    queries: DataFrame, corpus: DataFrame, min_score: float, dim: int, cell_rows: int, ball_rows: int | None = None, counted: bool = False
+    queries: DataFrame, corpus: DataFrame, min_score: float, dim: int, cell_rows: int, ball_rows: int | None = None, counted: bool = False,
+    smallest: bool = False,
 ) -> DataFrame:
     """The nearest row within ``min_score`` of each query from each ball it can touch: (qid, id, score).
 
@@ -282,7 +283,8 @@ def _meet_in_balls(
     goes to a ball only if its own angle lies within reach of those. A ball of more than ``cell_rows`` rows is
     cut into stripes. In a stripe the first third of the (randomly turned) coordinates bounds each score from above,
     and only pairs whose bound reaches ``min_score`` are scored in full. With ``counted`` the result is
-    (met, scored), the pairs of each stripe.
+    (met, scored), the pairs of each stripe. With ``smallest`` not the nearest row is
+    kept but the one of smallest id, if it is below the query's own.
     """
     reach = float(np.arccos(max(min_score - 1e-6, -1.0)))
     pivots = _pivots(corpus, dim, ball_rows or max(1, cell_rows // 4))
@@ -299,26 +301,28 @@ def _meet_in_balls(
     left = asked.join(shares, ["bucket", "ball"]).withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("shares"))).withColumn("cs", each("stripes"))
     right = held.join(sizes.select("bucket", "ball", "stripes"), ["bucket", "ball"]).join(shares, ["bucket", "ball"])
     right = right.withColumn("cs", F.pmod(F.xxhash64("id"), F.col("stripes"))).withColumn("qs", each("shares"))
-    floor = _floor(min_score)
+    left, right = (df.select(*grid, key, "embedding").groupBy(*grid) for df, key in ((left, "qid"), (right, "id")))
+    return left.cogroup(right).applyInArrow(_stripe(dim, _floor(min_score), smallest, counted), "met bigint, scored bigint" if counted else HIT)
+
+
+def _stripe(dim: int, floor: int, smallest: bool = False, counted: bool = False):
+    """What the rows of a stripe give: hits, or the pairs that met and were scored."""
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
         qids, ids = np.array(q["qid"].to_pylist(), dtype=str), np.array(c["id"].to_pylist(), dtype=str)
-        best, scored = _best_within(_rows(q["embedding"], dim), ids, _rows(c["embedding"], dim), floor)
+        best, scored = _best_within(_unit_rows(q["embedding"], dim), ids, _unit_rows(c["embedding"], dim), floor, qids if smallest else None)
         if counted:
             return pa.table({"met": pa.array([len(qids) * len(ids)], pa.int64()), "scored": pa.array([scored], pa.int64())})
         return pa.Table.from_batches([_to_arrow(best, qids)])
 
-    left, right = (df.select(*grid, key, "embedding").groupBy(*grid) for df, key in ((left, "qid"), (right, "id")))
-    return left.cogroup(right).applyInArrow(cell, "met bigint, scored bigint" if counted else HIT)
-
+    return cell
 
-def _rows(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = pc.list_flatten(column.combine_chunks())
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
+def _best_within(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, floor: int, below: np.ndarray | None = None, step: int = 256) -> tuple[pd.DataFrame, int]:
+    """Best row at or above ``floor`` of each query (columns q, id, s), and the number of pairs scored in full.
 
-def _best_within(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, floor: int, step: int = 256) -> tuple[pd.DataFrame, int]:
-    """Best row at or above ``floor`` of each query (columns q, id, s), and the number of pairs scored in full."""
+    Given ``below``, an id for each query, the smallest row id below that counts as best.
+    """
     parts, scored = [], 0
     if len(queries) and len(ids):
         m = max(1, queries.shape[1] // 3)
@@ -335,6 +339,8 @@ def _best_within(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, floo
                 good = s >= floor
                 parts.append(pd.DataFrame({"q": r[good] + lo, "id": ids[c[good]], "s": s[good]}))
     hits = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"q": [], "id": [], "s": []})
+    if below is not None and len(hits):
+        hits = hits[hits["id"].to_numpy(dtype=object) < below[hits["q"].to_numpy(dtype=np.int64)].astype(object)].assign(s=1)
     return _keep_best(hits, 1), scored
 
 
@@ -402,6 +408,25 @@ def nearest_one_of_type(queries: DataFrame, corpus: DataFrame, max_distance: flo
     return nearest_one(queries, corpus, max_distance, same="node_type", **opts)
 
 
+def smaller_within(queries: DataFrame, corpus: DataFrame, min_score: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The smallest ``id`` below its own of the rows of the same ``node_type`` that each query is within ``min_score`` of: (qid, id).
+
+    Both sides are joined in balls, as ``nearest`` does for large sets; a stripe gives one row a query. What
+    fits one stripe is one.
+    """
+    kind = F.coalesce("node_type", F.lit("")).alias("bucket")
+    have = F.col("embedding").isNotNull()
+    queries, corpus = queries.filter(have).select("qid", "embedding", kind), corpus.filter(have).select("id", F.col("embedding").alias("embedding"), kind)
+    n, dim = _shape(queries)
+    if n == 0:
+        return queries.select("qid", F.col("qid").alias("id"))
+    if n > cell_rows or corpus.count() > cell_rows:
+        hits = _meet_in_balls(queries, corpus, min_score, dim, cell_rows, smallest=True)
+    else:
+        hits = queries.groupBy("bucket").cogroup(corpus.groupBy("bucket")).applyInArrow(_stripe(dim, _floor(min_score), smallest=True), HIT)
+    return hits.groupBy("qid").agg(F.min("id").alias("id"))
+
+
 def _score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(qid, id, weight, a, b) -> (qid, id, weight, sim) with the rounded cosine of a and b."""
     for batch in batches:

@@ -148,6 +148,7 @@ MIN_MATCH = 0.52
 RRF_K = 60
 HALF_LIFE_DAYS = 180.0
 HOT_EDGE_SLOTS = 20
+ANSWER_SOURCE = "dreamer"
 
 # Model prices, USD per million tokens (input, output).
 MODEL_PRICES = {

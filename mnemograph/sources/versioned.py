@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemograph.session import versions
 
+#: Pointers that were read; one that is complete never changes.
+_POINTERS: dict[str, dict[str | None, int]] = {}
+
 
 class Versioned:
     """A table partitioned by one column, whose versions share the parts that they don't change.
@@ -30,8 +33,10 @@ class Versioned:
         known = self.numbers(before)
         if version is None and not known:
             return {}
-        rows = self.spark.read.schema("part string, held int").parquet(f"{self.path}/pointer/version={known[-1] if version is None else version}")
-        return {r.part: r.held for r in rows.collect()}
+        path = f"{self.path}/pointer/version={known[-1] if version is None else version}"
+        if path not in _POINTERS:
+            _POINTERS[path] = {r.part: r.held for r in self.spark.read.schema("part string, held int").parquet(path).collect()}
+        return dict(_POINTERS[path])
 
     def _folder(self, part: str | None, held: int) -> str:
         paths = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
@@ -42,19 +47,21 @@ class Versioned:
         if version in self.numbers():
             return
         folder = f"{self.path}/data/version={version}"
-        rows.write.mode("overwrite").partitionBy(self.part).parquet(folder)
-        written = self.spark.read.schema(f"{self.part} string").parquet(folder).distinct() if self._has_parts(folder) else None
+        rows.hint("rebalance", self.part).write.mode("overwrite").partitionBy(self.part).parquet(folder)
         now = self.pointer(before=version)
         for part in replaced or []:
             now.pop(None if part is None else str(part), None)
-        now.update({r[0]: version for r in written.collect()} if written is not None else {})
+        now.update(dict.fromkeys(self._written(folder), version))
         table = self.spark.createDataFrame(list(now.items()), "part string, held int")
         table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pointer/version={version}")
 
-    def _has_parts(self, folder: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    def _written(self, folder: str) -> list[str | None]:
+        """Parts that a data folder holds, by the names of its folders."""
+        jvm = self.spark._jvm
+        path, names = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
-        return any(f.isDirectory() and f.getPath().getName().startswith(f"{self.part}=") for f in found)
+        values = [f.getPath().getName().split("=", 1)[1] for f in found if f.isDirectory() and "=" in f.getPath().getName()]
+        return [None if v == names.DEFAULT_PARTITION_NAME() else names.unescapePathName(v) for v in values]
 
     def read(self, version: int | None = None, before: int | None = None, only: list | None = None) -> DataFrame:
         """The table as of a version (the latest, or the latest ``before`` one); only the parts in ``only``, if given."""

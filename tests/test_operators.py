@@ -298,10 +298,12 @@ def test_archive_lines(spark):
 
 
 def test_resolved_question_rows(spark):
-    q = table(spark, [("g", "Who?", "gap"), ("o", "Name?", "onboarding"), ("s", "Skip?", "gap")], "id string, question string, kind string")
-    a = table(spark, [("g", "Ann"), ("o", "Bob"), ("s", "")], "id string, answer string").withColumn("ts", ts("2024-01-01"))
-    resolved, facts, logs = merge.resolve_questions(q, a)
-    assert resolved.count() == 3 and [r.content for r in facts.collect()] == ["Bob"]
+    q = table(spark, [("g", "Who?", "gap"), ("o", "Name?", "onboarding"), ("s", "Skip?", "gap")] + [(f"t{i}", "Do it?", "task_proposal") for i in range(3)], "id string, question string, kind string")
+    q = q.withColumn("context", F.when(F.col("id") != "t2", F.concat(F.lit(" work "), "id")))
+    a = table(spark, [("g", "Ann"), ("o", "Bob"), ("s", ""), ("t0", "Yes please"), ("t1", "no"), ("t2", "yes")], "id string, answer string").withColumn("ts", ts("2024-01-01"))
+    resolved, facts, logs, tasks = merge.resolve_questions(q, a)
+    assert [(r.id, r.content, r.status) for r in tasks.collect()] == [("task-t0", "work t0", "pending")]
+    assert resolved.count() == 6 and [r.content for r in facts.collect()] == ["Bob"]
     assert [r.content for r in logs.collect()] == ["Assistant asked: Who?\nUser responded: Ann"]
 
 
