@@ -209,8 +209,23 @@ def customer_seeds(v: Views):
     return seeds, vectors
 
 
+_GRAPHS: dict[tuple[str, str], object] = {}
+_LAYOUTS: dict[tuple[str, str, int], graph.Layout] = {}
+
+
 def graph_table(v: Views):
-    return stage(v.graph_nodes, "graph")
+    """The node table of a folder, written once for all traversals of a session."""
+    key = (v.spark.sparkContext.applicationId, v.folder)
+    if key not in _GRAPHS:
+        _GRAPHS[key] = stage(v.graph_nodes, "graph")
+    return _GRAPHS[key]
+
+
+def layout(v: Views, per_kind: int) -> graph.Layout:
+    key = (v.spark.sparkContext.applicationId, v.folder, per_kind)
+    if key not in _LAYOUTS:
+        _LAYOUTS[key] = graph.lay_out(graph_table(v), per_kind)
+    return _LAYOUTS[key]
 
 
 @query(
@@ -232,7 +247,7 @@ def edges_view(v: Views):
 )
 def graph_expand(v: Views):
     seeds, vectors = customer_seeds(v)
-    found, walked = graph.expand(graph_table(v), seeds, vectors, 2, 8)
+    found, walked = graph.expand(graph_table(v), seeds, vectors, 2, 8, layout(v, 8))
     blank = F.lit("")
     nodes = found.select("qid", F.lit("node").alias("part"), "id", blank.alias("predicate"), blank.alias("target"), "hop")
     edges = walked.select("qid", F.lit("edge").alias("part"), F.col("source").alias("id"), "predicate", "target", "hop")
@@ -246,7 +261,7 @@ def graph_expand(v: Views):
 def resolve_dangling(v: Views):
     nodes = graph_table(v)
     seeds, vectors = customer_seeds(v)
-    found, walked = graph.expand(nodes, seeds, vectors, 1, 8)
+    found, walked = graph.expand(nodes, seeds, vectors, 1, 8, layout(v, 8))
     return graph.resolve_dangling(nodes, found, walked)
 
 
@@ -284,7 +299,7 @@ LABELLED = """lab AS (SELECT m.qid, m.id, hop, node_type, weight, upper(node_typ
 def subgraph_report(v: Views):
     nodes = graph_table(v)
     seeds, vectors = customer_seeds(v)
-    found, walked = graph.expand(nodes, seeds, vectors, 1, 8)
+    found, walked = graph.expand(nodes, seeds, vectors, 1, 8, layout(v, 8))
     return graph.subgraph_report(nodes, graph.resolve_dangling(nodes, found, walked), walked)
 
 
@@ -300,7 +315,7 @@ HITS = knn_sql(
     + ",\n" + resolve_sql() + " SELECT qid, id, hop FROM members",
 )
 def seeded_subgraph(v: Views):
-    members, _ = search.seeded_subgraph(v.near, graph_table(v), limit=5)
+    members, _ = search.seeded_subgraph(v.near, graph_table(v), limit=5, layout=layout(v, 10))
     return members
 
 
@@ -332,7 +347,7 @@ RAG_AS_OF = "2024-02-01 00:00:00"
 def rag_context(v: Views):
     nodes, evidence, entries = rag_tables(v)
     seeds, vectors = customer_seeds(v)
-    return search.rag_context(vectors, nodes, evidence, entries, ntz(RAG_AS_OF), seeds)
+    return search.rag_context(vectors, nodes, evidence, entries, ntz(RAG_AS_OF), seeds, layout=layout(v, 8))
 
 
 @query(

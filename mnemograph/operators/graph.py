@@ -6,6 +6,7 @@ The graph is one node table: entities and reified relationships, the latter with
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemograph.functions import columns as C
 from mnemograph.operators.skew import top_rows
 from mnemograph.operators.vector import node_weights, prune_weighed, weigh
-from mnemograph.session import stage
+from mnemograph.session import new_path, stage
 
 NOISE = ["log", "response"]
 
@@ -90,23 +91,53 @@ def capped_edges(nodes: DataFrame, per_kind: int) -> DataFrame:
     return capped.unionByName(own).drop("weight", "pos", "kind")
 
 
+@dataclass(frozen=True)
+class Layout:
+    """A graph laid out for traversals: capped edges by ``node_id``, weights by ``id``, both bucketed and sorted by that key."""
+
+    edges: DataFrame
+    weights: DataFrame
+    per_kind: int
+
+
+def lay_out(nodes: DataFrame, per_kind: int, buckets: int | None = None) -> Layout:
+    """Write the capped edges and the weights of a graph once, for all traversals of it.
+
+    A hop joins its frontier with both by the bucket key, so only the frontier is shuffled. There are at
+    least as many ``buckets`` as a shuffle has partitions; otherwise Spark would shuffle the edges to gain tasks.
+    Neither table holds vectors. ``nodes`` must not change while the layout is used.
+    """
+    n = buckets or max(16, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return Layout(_bucketed(capped_edges(nodes, per_kind), "node_id", n), _bucketed(node_weights(nodes), "id", n), per_kind)
+
+
+def _bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    path = new_path(df.sparkSession, "layout")
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.hint("rebalance", key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def expand(
     nodes: DataFrame,
     seeds: DataFrame,
     query_vectors: DataFrame,
     hops: int = 1,
     per_kind: int = 10,
+    layout: Layout | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first expansion of many queries at once.
 
     ``seeds`` holds (qid, id), ``query_vectors`` (qid, embedding). Each hop follows the
     capped edges of the frontier, marks everything found as visited, and continues
     from the ``per_kind`` best new nodes per query. The cap does not depend on the query:
-    the capped edges and the weights of all nodes are written once, and a hop joins its
-    frontier with them. Returns nodes (qid, id, hop) and edges (qid, source, target, predicate, hop).
+    a ``layout`` made once with the same ``per_kind`` serves all of them; without one it is made here.
+    Returns nodes (qid, id, hop) and edges (qid, source, target, predicate, hop).
     """
-    around = stage(capped_edges(nodes, per_kind), "edges")
-    weights = stage(node_weights(nodes), "weights")
+    layout = lay_out(nodes, per_kind) if layout is None else layout
+    if layout.per_kind != per_kind:
+        raise ValueError(f"the layout is capped at {layout.per_kind}, not {per_kind}")
+    around, weights = layout.edges, layout.weights
     frontier = stage(seeds.select("qid", "id").distinct(), "seeds")
     visited = frontier
     found = visited.join(nodes.select("id"), "id", "left_semi").select("qid", "id", F.lit(0).alias("hop"))

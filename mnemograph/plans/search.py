@@ -49,11 +49,12 @@ def hybrid_search(
 
 
 def seeded_subgraph(
-    queries: DataFrame, nodes: DataFrame, limit: int = 10, min_match: float = V.MIN_MATCH, hops: int = 1, per_kind: int = 10
+    queries: DataFrame, nodes: DataFrame, limit: int = 10, min_match: float = V.MIN_MATCH, hops: int = 1, per_kind: int = 10,
+    layout: graph.Layout | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges around the nearest significant rows of each query."""
     seeds = stage(nearest(queries, significant(nodes), limit, min_score=min_match), "seeds")
-    found, walked = graph.expand(nodes, seeds.select("qid", "id"), queries, hops, per_kind)
+    found, walked = graph.expand(nodes, seeds.select("qid", "id"), queries, hops, per_kind, layout)
     return graph.resolve_dangling(nodes, found, walked), walked
 
 
@@ -124,6 +125,7 @@ def rag_context(
     seeds: DataFrame | None = None,
     hops: int = 2,
     per_kind: int = 8,
+    layout: graph.Layout | None = None,
 ) -> DataFrame:
     """Context rows around each query: (qid, section, pos, id, text).
 
@@ -135,7 +137,7 @@ def rag_context(
         hits = nearest(queries, significant(nodes), 20)
         seeds = decay(hits, nodes, as_of, 10)
     seeds = stage(seeds.select("qid", "id"), "seeds")
-    found, walked = graph.expand(nodes, seeds, queries, hops, per_kind)
+    found, walked = graph.expand(nodes, seeds, queries, hops, per_kind, layout)
     members = stage(graph.resolve_dangling(nodes, found, walked), "members")
     info = nodes.select("id", "node_type", "content", "weight", "ts", "subject_id", "predicate", "object_id")
     rows = members.join(info, "id")

@@ -82,3 +82,25 @@ def test_an_unfinished_version_is_not_seen(spark):
     assert table.read().first().text == "a"
     table.publish(first.withColumn("text", F.lit("b")), 1)
     assert table.read().first().text == "b" and table.read(version=0).first().text == "a"
+
+
+def test_a_hop_shuffles_no_edges(spark):
+    from mnemograph.operators import graph
+
+    rows = [(f"n{i}", f"n{i % 7}", f"n{(3 * i) % 50}", "p", ["n1"], 0.1 * (i % 9), [1.0, float(i)]) for i in range(300)]
+    nodes = spark.createDataFrame(rows, "id string, subject_id string, object_id string, predicate string, entity_links array<string>, weight double, embedding array<double>")
+    laid = graph.lay_out(nodes, 3)
+    seeds = nodes.select(F.col("id").alias("qid"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hop = seeds.select("qid", F.col("id").alias("node_id")).join(laid.edges, "node_id")
+        plan = hop._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        found, walked = graph.expand(nodes, seeds, nodes.select(F.col("id").alias("qid"), "embedding"), 2, 3, laid)
+        alone = graph.expand(nodes, seeds, nodes.select(F.col("id").alias("qid"), "embedding"), 2, 3)
+        assert sorted(map(str, found.collect())) == sorted(map(str, alone[0].collect()))
+        assert sorted(map(str, walked.collect())) == sorted(map(str, alone[1].collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        graph.expand(nodes, seeds, nodes.select(F.col("id").alias("qid"), "embedding"), 2, 4, laid)
