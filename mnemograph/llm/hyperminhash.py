@@ -176,7 +176,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fine_bands(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, sets in _shingled(batches, 1 << 19):
-            yield _keyed(band_keys(fine_codes(sets), rows), batch.column("doc_id").slice(a, b - a))
+            keys = band_keys(fine_codes(sets), rows)
+            keyed = _keyed(keys, batch.column("doc_id").slice(a, b - a))
+            yield keyed.append_column("component", _keyed(keys, batch.column("component").slice(a, b - a)).column("rep"))
 
     return run
 
@@ -270,8 +272,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     crowd = scratch.keep(member.where(F.col("members") > CROWDED).select("rep").distinct(), "crowd")
     crowded = only(docs, "doc_id", crowd).dropDuplicates(["doc_id"])
-    fine = scratch.keep(_crowded(crowded.mapInArrow(_fine_bands(band_rows(percent, FINE_BUCKETS)), "key long, rep long"), scratch), "fine")
-    member = _open(fine, components(links, scratch), scratch)
+    placed = crowded.join(components(links, scratch).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
+    fine = placed.mapInArrow(_fine_bands(band_rows(percent, FINE_BUCKETS)), "key long, rep long, component long")
+    member = _open_fine(scratch.keep(fine, "fine"))
     links = links.union(scratch.keep(_compared(member, crowded, reps, percent), "links"))
 
     copies = sets.join(alike, ["set_a", "set_b", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -295,9 +299,10 @@ def _hub_pairs(banded: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return ranked, scratch.keep(pairs.distinct(), "pairs")
 
 
-def _crowded(banded: DataFrame, scratch: Scratch) -> DataFrame:
-    counted = scratch.keep(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "counted")
-    return banded.join(counted, "key").withColumn("rank", -F.col("rep"))
+def _open_fine(member: DataFrame) -> DataFrame:
+    """(key, rep, members, component) of the buckets that hold several components; only these are joined by key."""
+    keys = member.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return member.join(keys.where("least < most").select("key", "members"), "key")
 
 
 def _compared(member: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
