@@ -1,4 +1,4 @@
-"""Intermediate tables of one run in the shared folder, removed as soon as nothing reads them."""
+"""Intermediate tables of one run in the shared folder; those of long rounds are dropped, the others stay for the caller to remove."""
 
 from __future__ import annotations
 
