@@ -75,11 +75,3 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     names = {f.getPath().getName(): f.getPath() for f in files.listStatus(folder)}
     done = [n for n, p in names.items() if n.startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
     return sorted(int(n.removeprefix("version=")) for n in done)
-
-
-def unstage(df: DataFrame) -> None:
-    """Remove the files of a staged table; nothing may read it any more."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
