@@ -364,6 +364,22 @@ def latency_breakdown(v: Views):
     return out.withColumns({c: F.round(c, 4) for c in ("llm_s", "embedding_s", "write_s", "overhead_s")})
 
 
+@query(
+    "latency_quantiles",
+    """WITH s AS (SELECT path, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN seconds > 0 THEN ceil(ln(seconds) / ln(1.01::DOUBLE / 0.99::DOUBLE)) END AS bucket, count(*) AS n
+              FROM v_calls WHERE seconds IS NOT NULL GROUP BY ALL),
+       c AS (SELECT *, sum(n) OVER (PARTITION BY path, day ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY path, day) AS total,
+               coalesce(2 * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) / (1.01::DOUBLE / 0.99::DOUBLE + 1), 0.0) AS middle FROM s)
+       SELECT path, day, CAST(max(total) AS BIGINT) AS n, round(min(CASE WHEN upto >= ceil(total * 0.5::DOUBLE) THEN middle END), 6) AS p50,
+         round(min(CASE WHEN upto >= ceil(total * 0.9::DOUBLE) THEN middle END), 6) AS p90 FROM c GROUP BY path, day""",
+)
+def latency_quantiles(v: Views):
+    """Median and 90th percentile of the seconds per path and day, from sketches that merge."""
+    calls = v.calls.withColumn("day", F.col("ts").cast("date").cast("string"))
+    out = aggregates.sketch_quantiles(aggregates.quantile_sketch(calls, ["path", "day"], "seconds"), ["path", "day"], {"p50": 0.5, "p90": 0.9})
+    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p90")})
+
+
 @query(
     "text_stats",
     r"""SELECT lang, source, count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(strlen(replace(text, ' ', ''))) AS BIGINT) AS n_bytes_no_space,

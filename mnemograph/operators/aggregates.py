@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemograph import schema as V
 from mnemograph.functions import columns as C
@@ -165,6 +165,31 @@ def latency_breakdown(requests: DataFrame) -> DataFrame:
     )
 
 
+def quantile_sketch(rows: DataFrame, keys: list[str], value: str, error: float = 0.01) -> DataFrame:
+    """(keys, bucket, n): counts of the values in buckets whose bounds grow by (1 + error) / (1 - error).
+
+    Sketches of parts of the data are merged by adding the counts of equal keys and buckets. Values of
+    zero or less share the bucket null; null values aren't counted.
+    """
+    growth = (1 + error) / (1 - error)
+    bucket = F.when(F.col(value) > 0, F.ceil(F.log(F.col(value)) / F.log(F.lit(growth))))
+    return rows.filter(F.col(value).isNotNull()).groupBy(*keys, bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sketch_quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, float], error: float = 0.01) -> DataFrame:
+    """(keys, n, one column for each of ``shares``): values within ``error`` of the exact ones, relative to them.
+
+    A group is as many rows as it has buckets: some 1,400 from a microsecond to a year at 1 percent.
+    """
+    growth = (1 + error) / (1 - error)
+    merged = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = merged.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    middle = F.coalesce(2 * F.pow(F.lit(growth), F.col("bucket")) / (growth + 1), F.lit(0.0))
+    at = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * share), middle))
+    return summed.groupBy(*keys).agg(F.max("total").alias("n"), *[at(share).alias(name) for name, share in shares.items()])
+
+
 def text_stats(docs: DataFrame, text: str, by: list[str]) -> DataFrame:
     """Text statistics of every row, summed by ``by``."""
     stats = C.text_stats(F.col(text))

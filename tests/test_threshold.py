@@ -104,3 +104,17 @@ def test_a_hop_shuffles_no_edges(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     with pytest.raises(ValueError):
         graph.expand(nodes, seeds, nodes.select(F.col("id").alias("qid"), "embedding"), 2, 4, laid)
+
+
+def test_quantiles_of_merged_sketches(spark):
+    from mnemograph.operators import aggregates
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.lognormal(0, 3, 2001), "b": np.array([0.0, -1.0, 5.0]), "c": np.full(500, 0.25)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None)], "k string, x double")
+    parts = [aggregates.quantile_sketch(rows.filter(F.pmod(F.hash("x"), F.lit(2)) == i), ["k"], "x") for i in (0, 1)]
+    got = {r.k: r for r in aggregates.sketch_quantiles(parts[0].unionByName(parts[1]), ["k"], {"p50": 0.5, "p90": 0.9, "p100": 1.0}).collect()}
+    for k, v in values.items():
+        for name, share in (("p50", 0.5), ("p90", 0.9), ("p100", 1.0)):
+            exact = max(0.0, float(np.sort(v)[int(np.ceil(len(v) * share)) - 1]))
+            assert abs(got[k][name] - exact) <= 0.01 * exact + 1e-12 and got[k].n == len(v)
