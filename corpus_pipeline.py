@@ -20,10 +20,14 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; all columns are kept as they are."""
+    """Documents that the quality rules keep; all columns are kept as they are, whatever their names.
+
+    A null or empty text has too few words and goes, a very long one is read whole; repeated rows are judged alike.
+    """
     sketch = quality.sketches(quality.features(docs.select("text", "lang", "source")))
     limits = Scratch(spark, "quality").keep(quality.thresholds(sketch), "limits")
-    return quality.decide(quality.features(docs), limits).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
+    return quality.decide(quality.features(whole), limits).where("kept").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
