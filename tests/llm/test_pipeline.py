@@ -49,3 +49,13 @@ def test_near_dedup_takes_pairs_above_four_fifths(spark, docs, prose, tmp_path):
     near = [w + "x" if i % 50 == 20 else w for i, w in enumerate(base)]  # 8 words apart: 356 of 436 shingles, 0.8165
     table = docs([" ".join(base), " ".join(near), prose(400)])
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, table, str(tmp_path)).collect()) == [0, 2]
+
+
+def test_quality_stage_keeps_values_of_clashing_columns(spark, docs, prose):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    given = docs([prose(60), prose(80), "x", None, "word " * 30_000]).withColumns({"n_words": F.lit(7), "high_symbols": F.lit("h"), "_lang": F.lit("l"), "_row": F.lit(1)})
+    got = corpus_pipeline.quality_rules(spark, given, "")
+    assert got.dtypes == given.dtypes and {(r.kept, r.n_words, r.high_symbols, r._lang, r._row) for r in got.collect()} == {("x", 7, "h", "l", 1)}
