@@ -122,15 +122,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from mnemograph.llm.segments import SegmentEncoder
+        from mnemograph.llm.segments import encoder
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = SegmentEncoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             names = batch.column("doc_id").to_pylist()
             for a, b in slices(offsets):
-                ids, upto = encoder(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids, upto = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 out = []
                 for i in range(b - a):
                     own = np.append(ids[upto[i] : upto[i + 1]], np.uint32(end_id)).astype("<u4")

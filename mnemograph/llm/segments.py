@@ -3,11 +3,14 @@
 A text is cut before white space that follows other characters. The pre-tokenizer's pattern
 never continues a match over such a place and doesn't look back, so the ids of a text are the
 ids of its segments in order. Segments repeat, so a worker encodes each once and looks up the
-rest.
+rest. For the same reason new segments are encoded many in one text: the bytes its tokens stand
+for tell which ids belong to which segment.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -31,14 +34,38 @@ def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def _after_other(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether white space after each end starts a segment, whatever text it comes from."""
+    last, before, third = (data[np.maximum(ends - k, 0)] for k in (1, 2, 3))
+    maybe = ((before == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((third >= 0xE1) & (third <= 0xE3) & (before >= 0x80))
+    return ~BLANK[last] & ~maybe
+
+
+def token_bytes(tokenizer: Tokenizer) -> np.ndarray:
+    """Number of bytes of text that each id of a byte-level tokenizer stands for."""
+    out = np.zeros(max(tokenizer.get_vocab(True).values(), default=-1) + 1, np.int64)
+    for token, i in tokenizer.get_vocab(True).items():
+        out[i] = len(token)
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        out[i] = len(token.content.encode())
+    return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> SegmentEncoder:
+    """The encoder of a worker process, kept from task to task."""
+    return SegmentEncoder(path)
+
+
 class SegmentEncoder:
     """Ids of the rows of a byte array; what was encoded before is remembered, up to ``most`` segments."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000, together: int = 1 << 14):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.most = most
+        self.most, self.together = most, together
+        self.bytes = token_bytes(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
@@ -70,12 +97,32 @@ class SegmentEncoder:
         new[inside] = self.known[at[inside]] != distinct[inside]
         if not new.any():
             return
-        where, raw = first[new], data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.array([len(x) for x in found], np.int64)
+        where = first[new]
+        found, count = self._encode(data, starts[where], ends[where])
         begin = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))])
+        self.ids = np.concatenate([self.ids, found])
         known = np.concatenate([self.known, distinct[new]])
         order = np.argsort(known, kind="stable")
         self.known, self.begin, self.count = known[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each segment); neighbours that a text may hold side by side are encoded as one text."""
+        n = len(starts)
+        open_ = np.zeros(n, bool)  # whether a segment may follow the one before it
+        open_[1:] = BLANK[data[starts[1:]]] & _after_other(data, ends[:-1])
+        size = np.cumsum(ends - starts)
+        open_[1:] &= size[1:] // self.together == size[:-1] // self.together
+        heads = np.append(np.flatnonzero(~open_), n).tolist()
+        raw = data.tobytes()
+        cuts = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        texts = ["".join(raw[a:b].decode() for a, b in cuts[x:y]) for x, y in zip(heads, heads[1:], strict=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter((i for x in found for i in x), np.uint32, sum(map(len, found)))
+        upto = np.cumsum(self.bytes[ids])
+        at = np.searchsorted(upto, size)
+        if len(ids) and at[-1] < len(ids) and np.array_equal(upto[at], size) and upto[-1] == size[-1]:
+            return ids, np.diff(at, prepend=-1)
+        # ids that don't stand for all bytes: each segment by itself
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in cuts], add_special_tokens=False)]
+        count = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())), count

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from mnemograph.llm import packing
+from mnemograph.llm import packing, segments
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -31,6 +31,19 @@ def test_plan_prefers_exact_complements():
     assert packing.plan({1: 5000}) == [((1,) * 2048, 2), ((1,) * 904, 1)] or sum(len(a) * n for a, n in packing.plan({1: 5000})) == 5000
 
 
+def test_segments_encoded_together_have_their_own_ids():
+    rng = np.random.default_rng(4)
+    parts = ["word", "Ünï", "日本", "  ", "\n", "\u00a0x", "x\u00a0", "\u3000", "12,5", "it's", "<|endoftext|>", " ", "\t a", "\u0085", "e\u2003", "!?"]
+    rows = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(150)]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(r.encode()) for r in rows)])
+    whole = Tokenizer.from_file(BPE)
+    for together in (1, 40, 1 << 14):
+        ids, upto = segments.SegmentEncoder(BPE, most=200, together=together)(data, offsets)
+        for i, r in enumerate(rows):
+            assert ids[upto[i] : upto[i + 1]].tolist() == whole.encode(r, add_special_tokens=False).ids
+
+
 def test_pieces_and_places(spark, docs, prose):
     texts = [None, "", "a", "a", prose(9000), *(prose(20 + 13 * i) for i in range(80)), "<|endoftext|> x"]
     ids = [*range(len(texts) - 1), None]
