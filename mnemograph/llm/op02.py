@@ -21,12 +21,17 @@ _SPREAD = " ".join(f"WHEN '{m}' THEN {s}" for m, s in quality.SPREADS.items())
 _LOW = "CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END"
 
 
-def _fences(keys: str) -> str:
+def _fences(keys: str, robust: bool = False) -> str:
     by = f"{keys}, " if keys else ""
+    least = f"CASE metric {_SPREAD} END"
+    if robust:
+        high, low = f"q2 + {quality.FENCE} * greatest(2 * (q2 - q1), {least})", f"q2 - {quality.FENCE} * greatest(2 * (q3 - q2), {least})"
+    else:
+        high, low = f"q3 + {quality.FENCE} * greatest(q3 - q1, {least})", f"q1 - {quality.FENCE} * greatest(q3 - q1, {least})"
     return f"""
-    SELECT {by}metric, total AS n_rows, q3 + {quality.FENCE} * greatest(q3 - q1, CASE metric {_SPREAD} END) AS high,
-           q1 - {quality.FENCE} * greatest(q3 - q1, CASE metric {_SPREAD} END) AS low
-    FROM (SELECT {by}metric, total, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+    SELECT {by}metric, total AS n_rows, {high} AS high, {low} AS low
+    FROM (SELECT {by}metric, total, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (2 * upto >= total) AS q2,
+                 min(bucket) FILTER (4 * upto >= 3 * total) AS q3
           FROM (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS total
                 FROM (SELECT {by}metric, bucket, count(*) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
 
@@ -60,14 +65,14 @@ sketch AS MATERIALIZED (
   SELECT lang, source, metric, {_LOW} AS bucket
   FROM (SELECT lang, source, unnest([{", ".join(f"{{'metric': '{m}', 'v': m_{m}}}" for m in quality.SPREADS)}], recursive := true)
         FROM measured WHERE n_words >= 20)),
-whole AS ({_fences("")}),
+whole AS ({_fences("", robust=True)}),
 by_lang AS (
   SELECT o.lang, o.metric, CASE WHEN o.n_rows < {quality.LEAST_ROWS} THEN w.high ELSE o.high END AS high,
          CASE WHEN o.n_rows < {quality.LEAST_ROWS} THEN w.low ELSE o.low END AS low
-  FROM ({_fences("lang")}) o JOIN whole w USING (metric)),
+  FROM ({_fences("lang", robust=True)}) o JOIN whole w USING (metric)),
 own AS (
   SELECT o.lang, o.source, o.metric, CASE WHEN o.n_rows < {quality.LEAST_ROWS} THEN l.high ELSE least(o.high, {quality.PARENT_TIMES} * l.high) END AS high,
-         CASE WHEN o.n_rows < {quality.LEAST_ROWS} THEN l.low ELSE o.low END AS low
+         CASE WHEN o.n_rows < {quality.LEAST_ROWS} THEN l.low ELSE greatest(o.low, l.low // {quality.PARENT_TIMES}) END AS low
   FROM ({_fences("lang, source")}) o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric),
 beyond AS (
   SELECT m.doc_id, bool_or(CASE o.metric {" ".join(f"WHEN '{m}' THEN m.m_{m} > o.high" for m in quality.SPREADS if m != "word_length")}

@@ -86,36 +86,44 @@ def sketches(measured: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "metric", low.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a group and metric: the group's rows, and the fences above and below its quartiles."""
+def _limits(sketch: DataFrame, keys: list[str], robust: bool = False) -> DataFrame:
+    """One row a group and metric: the group's rows, and the fences above and below its quartiles.
+
+    ``robust`` fences stand around the median and take each side's spread from the other side: rows of
+    junk on one side, if they are fewer than half of the group, neither move nor widen the fence there.
+    """
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     of = Window.partitionBy(*keys, "metric")
     ranked = merged.withColumn("upto", F.sum("n").over(of.orderBy("bucket"))).withColumn("total", F.sum("n").over(of))
-    quartiles = ranked.groupBy(*keys, "metric", F.col("total").alias("rows")).agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
-    )
-    least = F.create_map(*[x for m, s in SPREADS.items() for x in (F.lit(m), F.lit(s))])
-    spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), least[F.col("metric")])
-    return quartiles.select(*keys, "metric", "rows", (F.col("q3") + spread).alias("high"), (F.col("q1") - spread).alias("low"))
+    at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket"))).alias(f"q{k}")
+    quartiles = ranked.groupBy(*keys, "metric", F.col("total").alias("rows")).agg(at(1), at(2), at(3))
+    least = F.create_map(*[x for m, s in SPREADS.items() for x in (F.lit(m), F.lit(s))])[F.col("metric")]
+    q1, q2, q3 = (F.col(f"q{k}") for k in (1, 2, 3))
+    if robust:
+        high, low = q2 + FENCE * F.greatest(2 * (q2 - q1), least), q2 - FENCE * F.greatest(2 * (q3 - q2), least)
+    else:
+        spread = FENCE * F.greatest(q3 - q1, least)
+        high, low = q3 + spread, q1 - spread
+    return quartiles.select(*keys, "metric", "rows", high.alias("high"), low.alias("low"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """Limits of every (lang, source).
 
     A group below ``LEAST_ROWS`` rows takes the limits of its language, a language below
-    it those of the corpus. No group's limit exceeds ``PARENT_TIMES`` that of its language,
-    so a source of junk doesn't excuse itself.
+    it those of the corpus. No group's upper limit exceeds ``PARENT_TIMES`` that of its language
+    and none's lower limit is below that part of it. The limits of languages and corpus
+    are robust: a source of junk holding less than half of its language doesn't excuse itself.
     """
     up = {"rows": "up_rows", "high": "up_high", "low": "up_low"}
     few = F.col("rows") < LEAST_ROWS
-    lang = _limits(sketch, ["lang"]).join(_limits(sketch, []).withColumnsRenamed(up), "metric").select(
+    lang = _limits(sketch, ["lang"], robust=True).join(_limits(sketch, [], robust=True).withColumnsRenamed(up), "metric").select(
         F.col("lang").alias("_lang"), F.col("metric").alias("_metric"), *(F.when(few, F.col(u)).otherwise(F.col(c)).alias(u) for c, u in list(up.items())[1:])
     )
     own = _limits(sketch, ["lang", "source"]).join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")))
     own = own.withColumns({
         "high": F.when(few, F.col("up_high")).otherwise(F.least("high", PARENT_TIMES * F.col("up_high"))),
-        "low": F.when(few, F.col("up_low")).otherwise(F.col("low")),
+        "low": F.when(few, F.col("up_low")).otherwise(F.greatest("low", F.expr(f"up_low div {PARENT_TIMES}"))),
     })
     return own.groupBy("lang", "source").agg(
         *(F.max(F.when(F.col("metric") == m, F.col("high"))).alias(f"high_{m}") for m in SPREADS),

@@ -45,6 +45,16 @@ def test_limits_adapt_and_junk_goes(spark, docs, prose, tmp_path, twin, same):
     same(out, twin(op02.SQL, documents=table))
 
 
+def test_a_third_of_junk_does_not_excuse_itself(docs, prose, tmp_path, twin, same):
+    clean = [prose(60) for _ in range(400)]
+    junk = [" ".join(w + "$$$" for w in prose(60).split()) for _ in range(200)]
+    table = docs(clean[:200], source="web").union(docs(clean[200:], ids=range(200, 400), source="news")).union(docs(junk, ids=range(1000, 1200), source="junk"))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    out = op02.query(table.sparkSession, str(tmp_path))
+    assert {r.doc_id for r in out.where("kept").collect()} == set(range(400))
+    same(out, twin(op02.SQL, documents=table))
+
+
 def test_sketches_merge(docs, prose):
     texts = [prose(20 + i) for i in range(60)]
     whole = quality.sketches(quality.features(docs(texts)))
