@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemograph.catalog.registry import query
-from mnemograph.catalog.relations import knn_sql, long
+from mnemograph.catalog.relations import DISCOVERED, FOUND, knn_sql, long
 from mnemograph.catalog.scans import identity_view
 from mnemograph.functions import columns as C
 from mnemograph.operators import graph, vector
@@ -354,14 +354,8 @@ def rag_context(v: Views):
     "entity_network",
     f"""WITH nn AS (SELECT count(*) AS n FROM embeddings),
       links AS (SELECT id, 'node-' || ((vec_id + k) % n) AS other FROM v_nodes, nn, (SELECT unnest([1, 2, 3]) AS k)),
-      h15 AS ({knn_sql(15, "n.node_type = 'person'")}),
-      root AS (SELECT qid, id FROM (SELECT h.qid, h.id, row_number() OVER (PARTITION BY h.qid ORDER BY
-            CASE WHEN contains(lower(n.content), lower(s.query)) OR contains(lower(s.query), lower(n.content)) THEN 0 ELSE 1 END, h.rank) AS rn
-          FROM h15 h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid) WHERE rn = 1),
-      h20 AS ({knn_sql(20, "n.node_type = 'person'")} UNION ALL {knn_sql(10, "n.node_type NOT IN ('log', 'person')")}),
-      disc AS (SELECT qid, id FROM (SELECT h.qid, h.id, row_number() OVER (PARTITION BY h.qid ORDER BY h.score DESC, h.id) AS rank
-          FROM h20 h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid
-          WHERE NOT (n.node_type = 'person' AND contains(lower(n.content), lower(s.query)))) WHERE rank <= 10),
+      root AS (SELECT qid, id FROM ({FOUND})),
+      disc AS (SELECT qid, id FROM ({DISCOVERED})),
       inc AS (SELECT target, id FROM (SELECT other AS target, id, row_number() OVER (PARTITION BY other ORDER BY id) AS rn FROM links) WHERE rn <= 20),
       merged AS (SELECT DISTINCT qid, id FROM (
           SELECT d.qid, d.id FROM disc d JOIN root USING (qid)

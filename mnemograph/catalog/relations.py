@@ -153,14 +153,17 @@ def dangling_ids(v: Views):
     return joins.dangling_ids(v.relationships, known)
 
 
-@query(
-    "find_entity",
-    f"""WITH h AS ({knn_sql(15, "n.node_type = 'person'")})
-        SELECT qid, id, score FROM (
-          SELECT h.qid, h.id, h.score, row_number() OVER (PARTITION BY h.qid ORDER BY
-            CASE WHEN contains(lower(n.content), lower(s.query)) OR contains(lower(s.query), lower(n.content)) THEN 0 ELSE 1 END, h.rank) AS rn
-          FROM h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid) WHERE rn = 1""",
-)
+SCORED = f"round(greatest(0.0, least(1.0, {COS})), 6)"
+NAMED = r"regexp_matches({1}, '\S') AND contains({0}, {1})"
+SELF = NAMED.format("lower(n.content)", "lower(q.query)")
+FOUND = f"""SELECT qid, id, score FROM (
+      SELECT q.qid, n.id, {SCORED} AS score, row_number() OVER (PARTITION BY q.qid ORDER BY
+        CASE WHEN {SELF} OR {NAMED.format("lower(q.query)", "lower(n.content)")} THEN 0 ELSE 1 END, {SCORED} DESC, n.id) AS rn
+      FROM v_search q, v_nodes n WHERE n.node_type = 'person') WHERE rn = 1"""
+DISCOVERED = knn_sql(10, f"n.node_type <> 'log' AND NOT (n.node_type = 'person' AND {SELF})")
+
+
+@query("find_entity", FOUND)
 def find_entity(v: Views):
     return joins.find_entity(v.search_inputs.withColumn("name", F.col("query")), v.nodes)
 
@@ -173,14 +176,7 @@ def find_project(v: Views):
     return joins.find_project(v.search_inputs, v.nodes)
 
 
-@query(
-    "discover_related",
-    f"""WITH h AS ({knn_sql(20, "n.node_type = 'person'")} UNION ALL {knn_sql(10, "n.node_type NOT IN ('log', 'person')")})
-        SELECT qid, id, score, rank FROM (
-          SELECT h.qid, h.id, h.score, row_number() OVER (PARTITION BY h.qid ORDER BY h.score DESC, h.id) AS rank
-          FROM h JOIN v_nodes n ON n.id = h.id JOIN v_search s ON s.qid = h.qid
-          WHERE NOT (n.node_type = 'person' AND contains(lower(n.content), lower(s.query)))) WHERE rank <= 10""",
-)
+@query("discover_related", DISCOVERED)
 def discover_related(v: Views):
     return long(joins.discover_related(v.search_inputs.withColumn("name", F.col("query")), v.nodes), "rank")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mnemograph.functions import columns as C
+from mnemograph.operators import names
 from mnemograph.operators.filters import of_type
 from mnemograph.operators.keywords import search_many
 from mnemograph.operators.skew import top_rows
 from mnemograph.operators.vector import nearest
+from mnemograph.session import stage
 
 
 def entry_dates(refs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -85,16 +87,25 @@ def missing_embeddings(nodes: DataFrame) -> DataFrame:
 
 
 def find_entity(queries: DataFrame, nodes: DataFrame, pool: int = 15) -> DataFrame:
-    """Best person per ``queries(qid, name, embedding)`` among its ``pool`` nearest persons.
+    """Best person per ``queries(qid, name, embedding)``.
 
-    A person whose content contains the name, or is contained in it, goes first.
+    The nearest person whose content contains the name, or is contained in it, goes first,
+    wherever it ranks; without one the nearest person. Names are looked for among the ``pool`` nearest,
+    and for queries without one there among all persons.
     """
-    hits = nearest(queries, of_type(nodes, "person"), pool)
-    people = of_type(nodes, "person").select("id", F.lower("content").alias("content"))
-    named = hits.join(people, "id").join(queries.select("qid", C.trim_ws(F.lower("name")).alias("name")), "qid")
-    match = F.contains(F.col("content"), F.col("name")) | F.contains(F.col("name"), F.col("content"))
-    best = F.min_by(F.struct("id", "score"), F.struct(F.when(match, 0).otherwise(1), F.col("rank")))
-    return named.groupBy("qid").agg(best.alias("b")).select("qid", "b.id", "b.score")
+    people = of_type(nodes, "person").select("id", F.lower("content").alias("content"), "embedding")
+    asked = queries.select("qid", names.trimmed(F.col("name")).alias("name"), "embedding")
+    named = nearest(queries, people, pool).join(people.select("id", "content"), "id").join(asked.select("qid", "name"), "qid")
+    match = names.holds(F.col("content"), F.col("name")) | names.holds(F.col("name"), F.col("content"))
+    order = F.struct(F.when(match, 0).otherwise(1), F.col("rank"))
+    near = named.groupBy("qid").agg(F.min_by(F.struct("id", "score", match.alias("match")), order).alias("b"))
+    near = stage(near.select("qid", "b.*"), "entities")
+    unnamed = near.filter("not match").select("qid")
+    if unnamed.isEmpty():
+        return near.select("qid", "id", "score")
+    rest = names.named_rows(asked.join(unnamed, "qid", "left_semi"), people)
+    rest = rest.select("qid", F.struct("id", "score").alias("far"))
+    return near.join(rest, "qid", "left").select("qid", F.coalesce("far.id", "id").alias("id"), F.coalesce("far.score", "score").alias("score"))
 
 
 def find_project(queries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -105,15 +116,21 @@ def find_project(queries: DataFrame, nodes: DataFrame) -> DataFrame:
 def discover_related(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """Nearest rows per query, without persons whose content contains the name.
 
-    Rows that aren't persons are all considered, of the persons the ``2 * limit`` nearest.
+    The search among persons goes on, four times as far each round, for the queries that
+    have met fewer than ``limit`` others so far.
     """
-    others = nearest(queries, nodes.filter(~F.col("node_type").isin("log", "person")), limit)
-    hits = nearest(queries, of_type(nodes, "person"), limit * 2).unionByName(others)
-    info = nodes.select("id", "node_type", F.lower("content").alias("content"))
-    named = hits.join(info, "id").join(queries.select("qid", C.trim_ws(F.lower("name")).alias("name")), "qid")
-    self_hit = (F.col("node_type") == "person") & F.contains(F.col("content"), F.col("name"))
-    kept = named.filter(~self_hit).drop("rank")
-    return top_rows(kept, ["qid"], [F.desc("score"), F.asc("id")], limit).select("qid", "id", "score", "rank")
+    people = of_type(nodes, "person").select("id", F.lower("content").alias("content"), "embedding")
+    hits = nearest(queries, nodes.filter(~F.col("node_type").isin("log", "person")), limit).select("qid", "id", "score")
+    asked, k = queries.select("qid", names.trimmed(F.col("name")).alias("name"), "embedding"), 2 * limit
+    while True:
+        named = nearest(asked, people, k).join(people.select("id", "content"), "id").join(asked.select("qid", "name"), "qid")
+        met = stage(named.select("qid", "id", "score", names.holds(F.col("content"), F.col("name")).alias("self")), "met")
+        short = met.groupBy("qid").agg(F.count("*").alias("n"), F.count_if(~F.col("self")).alias("others"))
+        short = short.filter((F.col("n") >= k) & (F.col("others") < limit)).select("qid")
+        hits = hits.unionByName(met.filter("not self").join(short, "qid", "left_anti").drop("self"))
+        if short.isEmpty():
+            return top_rows(hits, ["qid"], [F.desc("score"), F.asc("id")], limit).select("qid", "id", "score", "rank")
+        asked, k = stage(asked.join(short, "qid", "left_semi"), "asked"), 4 * k
 
 
 def question_mentions(messages: DataFrame, questions: DataFrame) -> DataFrame:

@@ -37,6 +37,11 @@ def contains_all(texts: list[Column], keywords: str) -> Column:
     return out
 
 
+def set_key(text: Column) -> Column:
+    """The distinct words of a text as one key, whatever their order."""
+    return F.array_join(F.array_sort(words_of(text)), _SEP)
+
+
 def search_many(queries: DataFrame, docs: DataFrame, k: int, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
     """Newest ``k`` of ``docs(id, ts, text)`` per row of ``queries(qid, words)``.
 
@@ -52,7 +57,7 @@ def search_many(queries: DataFrame, docs: DataFrame, k: int, broadcast_sets: int
     if n <= broadcast_sets and size <= BROADCAST_BYTES:
         hits = _scan_with_sets([r[0] for r in sets.collect()], docs, k)
     else:
-        hits = _by_vocabulary(sets, docs)
+        hits = rows_with_words(sets, docs).join(docs.select("id", "ts"), "id")
     best = top_rows(hits, ["set_key"], [F.desc("ts"), F.asc("id")], k)
     return keyed.join(best, "set_key").select("qid", "id", "rank")
 
@@ -111,8 +116,10 @@ def _scan_with_sets(keys: list[str], docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInPandas(scan, HIT)
 
 
-def _by_vocabulary(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Any number of word sets: match words against the distinct tokens, then join back.
+def rows_with_words(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_key, id) of all ``docs(id, text)`` that hold every word of a set, for any number of ``sets(set_key)``.
+
+    Words are matched against the distinct tokens of the texts and joined back.
 
     Token and word meet on a gram of up to three characters, so no pair is formed
     that does not at least share it. Each set is started from its rarest word and
@@ -160,4 +167,4 @@ def _by_vocabulary(sets: DataFrame, docs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("found"))
         .filter(F.col("found") == F.col("size"))
     )
-    return complete.join(docs.select("id", "ts"), "id").select("set_key", "id", "ts")
+    return complete.select("set_key", "id")
