@@ -11,6 +11,7 @@ from mnemograph.operators.skew import top_rows
 from mnemograph.session import new_path
 from mnemograph.sources import logs
 from mnemograph.sources.views import AS_OF, Views, ntz
+from mnemograph.streaming.replay import ReplayJob, follow_log, read_lines
 
 LEN = F.length
 ENTRY = "SELECT id, source, CAST(ts AS VARCHAR) AS ts, length(content) AS n_chars"
@@ -57,18 +58,58 @@ def export_manifest(v: Views):
     return brief(good, "image_url")
 
 
+EVEN = "CAST(split_part(id, '-', 2) AS BIGINT) % 2 = 0"
+MANIFESTS = f"(SELECT * FROM v_entries UNION ALL SELECT * FROM v_entries WHERE {EVEN})"
+
+
 @query(
     "replay_manifest",
-    f"{ENTRY} FROM v_entries WHERE content <> '' AND source <> ''",
+    f"""{ENTRY} FROM v_entries WHERE content <> '' AND source <> ''
+        UNION ALL SELECT 'reject not decodable', NULL, NULL, count(*) FROM {MANIFESTS} WHERE image_url <> '' HAVING count(*) > 0
+        UNION ALL SELECT 'reject content is required', NULL, NULL, count(*) FROM {MANIFESTS} WHERE content = '' HAVING count(*) > 0
+        UNION ALL SELECT 'reject source is required', NULL, NULL, count(*) FROM {MANIFESTS} WHERE content <> '' AND source = '' HAVING count(*) > 0""",
 )
 def replay_manifest(v: Views):
-    from mnemograph.operators.merge import append_entries
-
-    path = new_path(v.spark, "manifest")
-    logs.export_manifest(v.entries, path)
-    rows, _ = logs.read_manifest(v.spark, path)
-    accepted, _ = append_entries(rows, ntz(AS_OF))
-    return brief(accepted)
+    """A first manifest of the entries of even number, then one of all to a second job on the same root, both with broken lines."""
+    path, root = new_path(v.spark, "manifests"), new_path(v.spark, "replay")
+    number = F.split_part("id", F.lit("-"), F.lit(2)).cast("bigint")
+    for name, rows in (("first", v.entries.filter(number % 2 == 0)), ("second", v.entries)):
+        logs.export_manifest(rows, f"{path}/{name}")
+        rows.filter("image_url <> ''").select(F.concat(F.lit("{broken "), "id").alias("value")).write.mode("append").text(f"{path}/{name}")
+        job = ReplayJob(v.spark, root, ntz(AS_OF))
+        job.run(read_lines(v.spark, f"{path}/*", per_trigger=8))
+    rejects = job.rejected.read().groupBy(F.concat(F.lit("reject "), "reason").alias("id")).agg(F.count("*").alias("n_chars"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("source", "ts")]
+    return brief(job.entries.read()).unionByName(rejects.select("id", *nothing, "n_chars"))
+
+
+@query(
+    "audit_log_follow",
+    """SELECT CAST(ts AS VARCHAR) AS ts, rejected, line FROM (
+         SELECT ts, NULL AS rejected, CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'LLM_CONTEXT_AUDIT ' || event_id ELSE '[long] LLM_CONTEXT_AUDIT ' || repeat('x', 182) || '...' END
+           ELSE '[' || CASE WHEN event_type = 'error' THEN 'WARN' ELSE 'INFO' END || '] ' || 'LLM_CONTEXT_AUDIT | call ' || event_id || ' trace_id=' || user_id END AS line
+         FROM events WHERE event_type IN ('click', 'error', 'signup') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'
+         UNION ALL SELECT NULL, '{oops ' || event_id, NULL FROM events WHERE event_type = 'view' AND event_id % 3 = 0)""",
+)
+def audit_log_follow(v: Views):
+    """Events as the lines of a structured log, some of them broken, that arrive as files in two halves and are followed from where the first call ended."""
+    kind, number = F.col("event_type"), F.col("event_id")
+    call = F.concat(F.lit("LLM_CONTEXT_AUDIT | call "), number)
+    payload = F.struct(
+        F.when(kind == "error", "WARN").alias("level"), F.when(kind == "click", call).when(kind == "purchase", "other").alias("msg"),
+        F.when(kind == "error", call).alias("message"), F.col("user_id").cast("string").alias("trace_id"),
+    )
+    text = F.when(number % 2 == 0, F.concat(F.lit("LLM_CONTEXT_AUDIT "), number)).otherwise(F.concat(F.lit("LLM_CONTEXT_AUDIT "), F.repeat(F.lit("x"), F.lit(500))))
+    line = F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.when(kind != "signup", payload).alias("jsonPayload"), F.when(kind == "signup", text).alias("textPayload"),
+    ))
+    broken = (kind == "view") & (number % 3 == 0)
+    path, root = new_path(v.spark, "log-in"), new_path(v.spark, "log-followed")
+    for half in (0, 1):
+        rows = v.table("events").filter(number % 2 == half)
+        rows.select(F.when(broken, F.concat(F.lit("{oops "), number)).otherwise(line).alias("value")).write.mode("append").text(path)
+        out = follow_log(read_lines(v.spark, path), root, "2024-01-05 00:00:00", "2024-01-25 00:00:00")
+    return out.select(F.col("ts").cast("string").alias("ts"), "line", "rejected")
 
 
 @query(

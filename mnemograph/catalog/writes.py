@@ -12,7 +12,8 @@ from mnemograph.catalog.texts import NORMALISED
 from mnemograph.functions import columns as C, model
 from mnemograph.operators import merge
 from mnemograph.plans.search import knowledge
-from mnemograph.session import new_path
+from mnemograph.session import new_path, stage
+from mnemograph.sources import media
 from mnemograph.sources.versioned import Versioned
 from mnemograph.sources.views import AS_OF, Views, ntz, shifted
 
@@ -384,6 +385,23 @@ def attach_media_vector(v: Views):
     return vectors.select("id", F.size("embedding").alias("dim")).unionByName(rejected.select("id", F.lit(0).alias("dim")))
 
 
+@query(
+    "attach_media_files",
+    """SELECT id, strlen(content) + 1 AS size, CASE WHEN image_url <> '' THEN 64 END AS dim FROM v_entries WHERE image_url <> '' AND content <> ''
+       UNION ALL SELECT 'missing-' || id, NULL, NULL FROM v_entries WHERE image_url = ''""",
+)
+def attach_media_files(v: Views):
+    """The texts of entries with an image stand for its bytes, one file each; entries without one have no file."""
+    folder = new_path(v.spark, "media")
+    v.entries.filter("image_url <> '' AND content <> ''").select(F.col("id").alias("entry"), F.regexp_replace("content", "\n", " ").alias("value")).write.partitionBy("entry").text(folder)
+    wanted = v.entries.filter("image_url = '' OR content <> ''").select(F.when(F.col("image_url") != "", F.col("id")).otherwise(F.concat(F.lit("missing-"), "id")).alias("id"))
+    files = media.list_media(v.spark, folder, r"entry=([^/]+)/")
+    read = stage(media.read_media(wanted, files, folder), "media")
+    embed = lambda rows: model.embed_column(rows.select("id", F.base64("bytes").alias("text")), model.hashed_words())
+    vectors, _ = merge.attach_media_vectors(read, embed)
+    return read.select("id", "size").join(vectors.select("id", F.size("embedding").alias("dim")), "id", "left")
+
+
 @query(
     "create_tasks",
     "WITH RECURSIVE "

@@ -29,15 +29,17 @@ def _patched(rows: DataFrame, changes: DataFrame, fields: list[str]) -> DataFram
     return out.drop(*[f"_{f}" for f in fields])
 
 
+def append_error() -> Column:
+    """Why a row (content, source) can't be appended; null if it can."""
+    return F.when(C.text_or_empty(F.col("content")) == "", "content is required").when(C.text_or_empty(F.col("source")) == "", "source is required")
+
+
 def append_entries(new: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) for rows (id, content, source, ts, image_url)."""
-    error = F.when(C.text_or_empty(F.col("content")) == "", "content is required").when(
-        C.text_or_empty(F.col("source")) == "", "source is required"
-    )
-    checked = new.withColumn("error", error)
+    """(accepted, rejected) for rows (id, content, source, ts, image_url and maybe audio_url)."""
+    checked = new.withColumn("error", append_error())
     accepted = checked.filter(F.col("error").isNull()).select(
         "id", F.lit("log").alias("node_type"), "content", "source", F.coalesce("ts", as_of).alias("ts"),
-        F.lit(V.WEIGHTS["log"]).alias("weight"), C.text_or_empty(F.col("image_url")).alias("image_url"),
+        F.lit(V.WEIGHTS["log"]).alias("weight"), *[C.text_or_empty(F.col(c)).alias(c) for c in ("image_url", "audio_url") if c in new.columns],
     )
     return accepted, checked.filter(F.col("error").isNotNull()).select("id", "error")
 

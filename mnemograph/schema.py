@@ -61,6 +61,15 @@ MANIFEST = T.StructType(
     [T.StructField(n, S) for n in ("uuid", "content", "source", "timestamp", "image_file", "audio_file")]
 )
 
+LOG_LINE = T.StructType(
+    [
+        T.StructField("timestamp", S),
+        T.StructField("jsonPayload", T.StructType([T.StructField(n, S) for n in ("level", "severity", "msg", "message", "event", "trace_id", "path")])),
+        T.StructField("textPayload", S),
+        T.StructField("_bad", S),
+    ]
+)
+
 _ID = T.StructType([T.StructField("id", T.LongType())])
 _FILE = T.StructType([T.StructField("file_id", S)])
 MESSAGE = T.StructType(
