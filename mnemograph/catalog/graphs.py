@@ -365,6 +365,7 @@ def rag_context(v: Views):
           ON e.id IN ('log-' || n.vec_id, 'log-' || ((n.vec_id * 3 + 1) % nn_docs)) , (SELECT 1)),
       rec AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ts DESC, id) AS rn FROM ev WHERE ts >= {AS_OF_SQL} - INTERVAL 20 DAY)
       SELECT r.qid, 'PRIMARY' AS part, r.id, n.content AS text FROM root r JOIN v_nodes n ON n.id = r.id
+      UNION ALL SELECT r.qid, 'METADATA', r.id, n.metadata FROM root r JOIN v_nodes n ON n.id = r.id WHERE n.metadata NOT IN ('', '{{}}') AND n.vec_id % 5 > 0
       UNION ALL SELECT m.qid, CASE WHEN n.vec_id % 2 = 0 THEN 'RELATION' ELSE 'FACT' END, m.id, n.content FROM merged m JOIN v_nodes n ON n.id = m.id
       UNION ALL SELECT qid, 'ENTRY', id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || CASE WHEN length(content) > 200 THEN substring(content, 1, 197) || '...' ELSE content END FROM rec WHERE rn <= 50
       UNION ALL SELECT qid, 'OMITTED', '', CAST(n - least(r, 50) AS VARCHAR) FROM (SELECT qid, count(*) AS n, count(*) FILTER (ts >= {AS_OF_SQL} - INTERVAL 20 DAY) AS r FROM ev GROUP BY qid) WHERE n - least(r, 50) > 0
@@ -375,7 +376,7 @@ def entity_network(v: Views):
     vec = F.col("vec_id")
     target = lambda step: F.concat(F.lit("node-"), (vec + step) % n)
     nodes = v.nodes.select(
-        "id", "vec_id", "node_type", "content", "weight", "embedding",
+        "id", "vec_id", "node_type", "content", "weight", "embedding", F.when(vec % 5 > 0, F.col("metadata")).otherwise("{}").alias("metadata"),
         F.when(vec % 2 == 0, "knows").alias("predicate"), F.lit("").alias("object_id"),
         F.array(target(1), target(2), target(3)).alias("entity_links"),
     )

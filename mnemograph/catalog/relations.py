@@ -181,6 +181,24 @@ def discover_related(v: Views):
     return long(joins.discover_related(v.search_inputs.withColumn("name", F.col("query")), v.nodes), "rank")
 
 
+PAGE_MARKS = """(SELECT 'page-' || page_id AS id, 'Page ' || page_id AS title, url, embedding FROM pages
+      JOIN embeddings ON vec_id = page_id % (SELECT count(*) FROM embeddings))"""
+
+
+@query(
+    "search_bookmarks",
+    f"""SELECT h.*, m.title, m.url FROM ({knn_sql(10, "TRUE", "v_near", PAGE_MARKS)}) h JOIN {PAGE_MARKS} m USING (id)""",
+)
+def search_bookmarks(v: Views):
+    """Pages as bookmarks, each with a vector of the table."""
+    vectors = v.table("embeddings").select("vec_id", "embedding")
+    marks = v.table("pages").withColumn("vec_id", F.col("page_id") % v.n_vectors).join(vectors, "vec_id").select(
+        F.concat(F.lit("page-"), "page_id").alias("id"), F.lit("bookmark").alias("node_type"),
+        F.concat(F.lit("Bookmark: Page "), "page_id").alias("content"), F.to_json(F.struct("url")).alias("metadata"), "embedding",
+    )
+    return long(joins.search_bookmarks(v.near, marks.unionByName(v.nodes.select(marks.columns))), "rank")
+
+
 @query(
     "question_mentions",
     r"""WITH terms AS (

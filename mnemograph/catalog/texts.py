@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mnemograph import schema as V
 from mnemograph.catalog.registry import query
 from mnemograph.catalog.relations import long
-from mnemograph.functions import columns as C, dates, outputs
+from mnemograph.functions import columns as C, dates, model, outputs
 from mnemograph.operators import aggregates
 from mnemograph.operators.filters import of_type
 from mnemograph.sources.views import AS_OF, Views, ntz
@@ -283,3 +283,24 @@ def parse_questions(v: Views):
 )
 def evaluator_fields(v: Views):
     return outputs.evaluator_fields(v.model_text)
+
+
+@query(
+    "model_replies",
+    """SELECT conv_id, turn, CASE WHEN text LIKE '%?%' THEN NULL ELSE role || ': ' || array_to_string(string_split(text, ' ')[1:5], ' ') END AS reply,
+         CASE WHEN text LIKE '%?%' THEN 'no question please' END AS error
+       FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL""",
+)
+def model_replies(v: Views):
+    """A stand-in model answers each turn with its first words, and fails on questions; a failing call yields its error, the others their text."""
+    turns = v.table("conversations").filter("role is not null and text is not null")
+    asked = turns.select(F.to_json(F.struct("conv_id", "turn")).alias("id"), F.col("role").alias("system"), F.col("text").alias("prompt"), "conv_id", "turn")
+
+    def ask(systems, prompts, most):
+        if any("?" in p for p in prompts):
+            raise ValueError("no question please")
+        return [f"{s}: {' '.join(p.split(' ')[:most])}" for s, p in zip(systems, prompts, strict=True)]
+
+    out = model.model_column(asked, ask, max_tokens=5, batch=1)
+    key = F.from_json("id", turns.select("conv_id", "turn").schema)
+    return out.select(key.alias("k"), F.col("text").alias("reply"), "error").select("k.*", "reply", "error")

@@ -133,6 +133,14 @@ def discover_related(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> D
         asked, k = stage(asked.join(short, "qid", "left_semi"), "asked"), 4 * k
 
 
+def search_bookmarks(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+    """Nearest ``k`` bookmarks per ``queries(qid, embedding)``: (qid, id, score, rank, title, url)."""
+    marks = of_type(nodes, "bookmark")
+    hits = nearest(queries, marks, k)
+    shown = marks.select("id", F.regexp_replace("content", "^Bookmark: ", "").alias("title"), F.get_json_object("metadata", "$.url").alias("url"))
+    return hits.join(shown, "id")
+
+
 def question_mentions(messages: DataFrame, questions: DataFrame) -> DataFrame:
     """Newest question that mentions a proper noun of each message(qid, text).
 

@@ -7,6 +7,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mnemograph.session import stage
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add ``name``, the place (from 1) of every row in the order of some columns.
+
+    Rows are dealt to ranges of the order and counted within each; a range starts behind the rows
+    of those before it. Only one row per range passes through a single task. Rows alike in all of ``order`` share
+    a range, in any order.
+    """
+    place = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stage(dealt.select("*", F.shiftright(place, 33).alias("_range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "numbered")
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
+    offsets = F.broadcast(ranges.select("_range", before.alias("_before")))
+    return dealt.join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
+
+
 def next_row(df: DataFrame, keys: list[str], pos: str, cols: list[str], name: str, span: int = 4096) -> DataFrame:
     """Add ``name`` = struct(cols) of the row that follows in ``pos`` order within ``keys``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mnemograph.functions import columns as C
 from mnemograph.operators import filters, joins
+from mnemograph.operators.skew import numbered
 
 
 def _block(df: DataFrame, name: str, text: Column, order: Column) -> DataFrame:
@@ -47,10 +48,8 @@ def briefing_inputs(entries: DataFrame, nodes: DataFrame, watermark: str | None,
     new = filters.since(entries, watermark, most)
     kept = filters.active_goals(nodes, fallback if new.isEmpty() else 20)
     kept = kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), F.asc("id"))))
-    w = Window.orderBy(F.asc("ts"), F.asc("id"))
-    return new.select(
-        F.lit("entry").alias("part"), "id", F.row_number().over(w).alias("rank"), F.col("content").alias("text")
-    ).unionByName(
+    placed = numbered(new.select("id", "ts", "content"), ["ts", "id"], "rank")
+    return placed.select(F.lit("entry").alias("part"), "id", "rank", F.col("content").alias("text")).unionByName(
         kept.select(
             F.lit("goal").alias("part"), "id", "rank",
             F.concat(F.lit("["), "node_type", F.lit("/"), "status", F.lit("] "), "content").alias("text"),

@@ -66,10 +66,11 @@ def entity_network(
     as_of: Column,
     days: int = 90,
     most: int = 50,
+    neighbours: int = 20,
 ) -> DataFrame:
     """Profile rows of the entity each ``queries(qid, name, embedding)`` names.
 
-    Parts: PRIMARY, RELATION (rows with a predicate), FACT (others), ENTRY (recent
+    Parts: PRIMARY, METADATA (of the entity, if it has any), RELATION (rows with a predicate), FACT (others), ENTRY (recent
     source entries, newest first), OMITTED (how many were left out). ``evidence`` holds
     (id, target_id) from node to entry. Returns (qid, part, id, text).
     """
@@ -79,7 +80,7 @@ def entity_network(
     links = nodes.select("id", F.explode("entity_links").alias("other"))
     linked = root.join(links, "id").select("qid", F.col("other").alias("id"))
     near = lambda pairs: top_rows(
-        pairs.join(ids.withColumnRenamed("id", "target"), "target", "left_semi"), ["target"], [F.asc("other")], 20
+        pairs.join(ids.withColumnRenamed("id", "target"), "target", "left_semi"), ["target"], [F.asc("other")], neighbours
     )
     incoming = near(links.select(F.col("other").alias("target"), F.col("id").alias("other")))
     triples = nodes.filter(F.col("object_id") != "")
@@ -112,7 +113,9 @@ def entity_network(
     omitted = counts.filter(left_out > 0).select(
         "qid", F.lit("OMITTED").alias("part"), F.lit("").alias("id"), left_out.cast("string").alias("content")
     )
-    out = primary.unionByName(facts).unionByName(log).unionByName(omitted)
+    known = nodes.filter(~F.coalesce(C.trim_ws(F.col("metadata")), F.lit("")).isin("", "{}"))
+    details = root.join(known.select("id", "metadata"), "id").select("qid", F.lit("METADATA").alias("part"), "id", F.col("metadata").alias("content"))
+    out = primary.unionByName(details).unionByName(facts).unionByName(log).unionByName(omitted)
     return out.withColumnRenamed("content", "text")
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from mnemograph.operators import joins, names
+from mnemograph.operators.skew import numbered
 
 WORDS = ["ann", "anna", "bo", "hann", "lee", "al", "na"]
 
@@ -53,3 +54,20 @@ def test_discover_related_looks_past_any_number_of_namesakes(spark, people):
     assert got["a"] == ["p93", "t1", "p90"]
     assert got["b"] == ["p92", "p59", "p58"]
     assert got["c"] == ["p00", "p93", "t1"]
+
+
+def test_numbered_equals_the_order(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 0, 0, rng.randint(0, 99)]), f"{i:04}") for i in range(3000)] + [(None, "z")]
+    rng.shuffle(rows)
+    got = numbered(spark.createDataFrame(rows, "t int, id string").repartition(7), ["t", "id"], "rank").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.t, r.id) for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 3002))
+    assert numbered(spark.createDataFrame([], "t int, id string"), ["t", "id"], "rank").count() == 0
+
+
+def test_search_bookmarks(spark):
+    rows = [("b1", "bookmark", "Bookmark: One", '{"url": "u1"}', [1.0, 0.1]), ("b2", "bookmark", "Two", "{}", [0.0, 1.0]), ("f", "fact", "x", "{}", [1.0, 0.0]), ("b3", "bookmark", "x", None, None)]
+    nodes = spark.createDataFrame(rows, "id string, node_type string, content string, metadata string, embedding array<double>")
+    got = joins.search_bookmarks(spark.createDataFrame([("q", [1.0, 0.0])], "qid string, embedding array<double>"), nodes, 5).orderBy("rank").collect()
+    assert [(r.id, r.title, r.url) for r in got] == [("b1", "One", "u1"), ("b2", "Two", None)]
