@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mnemograph.operators.skew import top_rows
+from mnemograph.session import stage
 
 BROADCAST_SETS = 50_000
 BROADCAST_BYTES = 16 << 20
@@ -149,7 +150,7 @@ def rows_with_words(sets: DataFrame, docs: DataFrame) -> DataFrame:
         .select("token", "word")
         .distinct()
     )
-    hits = postings.join(pairs, "token").select("id", "word").distinct()
+    hits = stage(postings.join(pairs, "token").select("id", "word").distinct(), "word-hits")
     frequency = hits.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         members.join(frequency, "word", "left")
