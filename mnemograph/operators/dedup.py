@@ -88,10 +88,10 @@ def _in_spans(rows: DataFrame, before: int, after: int, span: int) -> DataFrame:
 def _sure(rows: DataFrame, reach: int) -> DataFrame:
     """(entry_id, norm, at, id, created_id, sure_id): ``created_id`` where a sure row decides it, ``sure_id`` the sure row up to two windows before.
 
-    A span also sees the rows two windows before it: a sure row that matters for it
-    lies within two windows, and one that decides within one, with all that makes it sure.
+    A span also sees the rows three windows before it: a sure row that matters for it lies within two
+    windows, and the row that would make it unsure within one more. What seems sure further back is out of reach.
     """
-    seen = _in_spans(rows, 2 * reach, 0, SPAN_WINDOWS * reach)
+    seen = _in_spans(rows, 3 * reach, 0, SPAN_WINDOWS * reach)
     forward = Window.partitionBy("entry_id", "norm", "span").orderBy("at", "id")
     behind = F.col("at") - F.lag("at").over(forward)
     seen = seen.withColumn("sure", F.when(F.col("stored") | behind.isNull() | (behind > reach), F.struct("at", "id")))

@@ -69,3 +69,15 @@ def test_dangling_references_are_followed_to_the_end(spark):
     walked = spark.createDataFrame([], "qid string, source string, target string")
     assert {r.id for r in graph.resolve_dangling(nodes, found, walked).collect()} == {f"x{i}" for i in range(11)}
     assert graph.resolve_dangling(nodes, found, walked, 4).count() == 5
+
+
+def test_a_dense_run_goes_on_across_spans(spark):
+    import random
+
+    rng, at, items = random.Random(2), 0.0, []
+    for i in range(2500):
+        at += rng.choice([0, 1, 2, 3, 7, 11, 13])
+        items.append((f"d{i:04}", "e", "do", at))
+    assert at > 3 * 3600
+    got = {r.id: r.created_id for r in dedup.replay_tasks(tasks(spark, items)).collect()}
+    assert got == replay(items)
