@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemograph.operators import vector
+from mnemograph.operators.skew import top_rows
 from mnemograph.session import new_path
 from mnemograph.sources.versioned import Versioned
 
@@ -118,3 +119,24 @@ def test_quantiles_of_merged_sketches(spark):
         for name, share in (("p50", 0.5), ("p90", 0.9), ("p100", 1.0)):
             exact = max(0.0, float(np.sort(v)[int(np.ceil(len(v) * share)) - 1]))
             assert abs(got[k][name] - exact) <= 0.01 * exact + 1e-12 and got[k].n == len(v)
+
+
+@pytest.mark.parametrize("k, low", [(7, None), (1, 0.8)])
+def test_a_query_is_final_where_it_is_found(spark, clustered, monkeypatch, k, low):
+    q, c = frame(spark, "q", clustered[0], True), frame(spark, "c", clustered[1], True)
+    found = []
+    monkeypatch.setattr(vector, "top_rows", lambda df, *rest: found.append(df.count()) or top_rows(df, *rest))
+    opts = dict(min_score=low, broadcast_bytes=0, cell_rows=256)
+    got = vector.nearest(q, c, k, **opts).drop("rank").collect()
+    assert 0 < found[0] <= 700 * k
+    exact = vector.nearest(q, c, k, min_score=low).drop("rank").collect()
+    assert sorted(got) == sorted(exact)
+
+
+def test_stripes_hold_a_bounded_number_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    q, c = frame(spark, "q", rng.standard_normal((500, 8))), frame(spark, "c", np.round(rng.standard_normal((300, 8)), 0))
+    exact = sorted(vector.nearest(q, c, 9).collect())
+    monkeypatch.setattr(vector, "STRIPE_HITS", 9 * 12)
+    assert sorted(vector.nearest(q, c, 9, broadcast_bytes=0).collect()) == exact
+    assert sorted(vector.nearest(q, c, 9, broadcast_bytes=0, cell_rows=10).collect()) == exact
