@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mnemograph.operators.skew import top_rows
 from mnemograph.session import stage
 
-BROADCAST_SETS = 50_000
+BROADCAST_SETS = 2_000
+NEWEST = 2048  # rows of the first round; each further round takes eight times as many
 BROADCAST_BYTES = 16 << 20
 HIT = "set_key string, id string, ts string"
 _SEP = "\x1f"
@@ -58,11 +59,38 @@ def search_many(queries: DataFrame, docs: DataFrame, k: int, broadcast_sets: int
     if n <= broadcast_sets and size <= BROADCAST_BYTES:
         hits = _scan_with_sets([r[0] for r in sets.collect()], docs, k)
     else:
-        hits = rows_with_words(sets, docs).join(docs.select("id", "ts"), "id")
+        hits = _newest_first(sets, docs, k)
     best = top_rows(hits, ["set_key"], [F.desc("ts"), F.asc("id")], k)
     return keyed.join(best, "set_key").select("qid", "id", "rank")
 
 
+def _newest_first(sets: DataFrame, docs: DataFrame, k: int, newest: int = NEWEST) -> DataFrame:
+    """(set_key, id, ts) with the newest ``k`` of ``docs(id, ts, text)`` for each of ``sets(set_key)``.
+
+    Rounds go back in time, each over more rows. A set that has ``k`` rows is done, so sets of
+    common words, which most rows hold, end in the first rounds, and those left over find few rows in a round.
+    """
+    docs, left = stage(docs, "haystack"), stage(sets, "sets")
+    n, shares = docs.count(), []
+    while newest < n:
+        shares.append(1.0 - newest / n)
+        newest += 8 * newest
+    cuts = docs.agg(F.percentile_approx(F.col("ts").cast("timestamp_ntz"), shares, 1000).cast("array<string>")).first()[0] if shares else []
+    found, upper = [], None
+    for cut in [*dict.fromkeys(cuts or []), None]:
+        part = docs if upper is None else docs.filter(F.col("ts").isNull() | (F.col("ts") < upper))
+        part = part if cut is None else part.filter(F.col("ts") >= cut)
+        hits = rows_with_words(left, part).join(part.select("id", "ts"), "id").select("set_key", "id", "ts")
+        best = top_rows(hits, ["set_key"], [F.desc("ts"), F.asc("id")], k).drop("rank")
+        held = stage(best if not found else found[-1].unionByName(best), "newest")
+        found.append(held)
+        done = held.groupBy("set_key").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("set_key")
+        left, upper = stage(left.join(done, "set_key", "left_anti"), "sets"), cut
+        if left.isEmpty():
+            break
+    return found[-1]
+
+
 def _finder(words: list[str]):
     """Function text -> set of word numbers found in it."""
     try:

@@ -342,3 +342,32 @@ def test_question_mentions(spark):
     q = table(spark, [("q1", "Who is anna?", "", "2024-01-01"), ("q2", "Annapolis", "x", "2024-01-02"), ("q3", "Where?", "rome", "2024-01-01")], "id string, question string, context string, t string")
     q = q.withColumn("created", F.col("t").cast(NTZ))
     assert {r.qid: r.question_id for r in joins.question_mentions(m, q).collect()} == {"m1": "q2", "m3": "q3"}
+
+
+def test_newest_rows_of_common_words_come_first(spark, monkeypatch):
+    import random
+
+    from mnemograph.operators import keywords
+
+    rng = random.Random(3)
+    vocabulary = ["the", "of", "and", "cat", "dog", "zebra", "heather"]
+    texts = [" ".join(rng.choices(vocabulary, [30, 20, 20, 5, 5, 1, 1], k=6)) for _ in range(400)]
+    ages = [None if i % 50 == 7 else rng.randint(0, 150) for i in range(400)]
+    rows = [(f"d{i:03}", age, t) for i, (age, t) in enumerate(zip(ages, texts))]
+    stamp = F.timestamp_seconds(F.col("age") + 1.7e9).cast("timestamp_ntz")
+    docs = spark.createDataFrame(rows, "id string, age int, text string").select("id", stamp.alias("ts"), "text")
+    sets = [["the"], ["of", "the"], ["cat", "dog"], ["zebra"], ["heather", "zebra"], ["eat"], ["none"]]
+    queries = spark.createDataFrame([(str(i), w) for i, w in enumerate(sets)], "qid string, words array<string>")
+    met = []
+    whole = keywords.rows_with_words
+    monkeypatch.setattr(keywords, "rows_with_words", lambda s, d: met.append(whole(s, d).count()) or whole(s, d))
+    monkeypatch.setattr(keywords, "NEWEST", 20, raising=False)
+    monkeypatch.setattr(keywords._newest_first, "__defaults__", (20,)) if hasattr(keywords, "_newest_first") else None
+    got = {(r.qid, r.id): r["rank"] for r in keywords.search_many(queries, docs, 5, broadcast_sets=0).collect()}
+    want, pairs = {}, 0
+    for i, words in enumerate(sets):
+        hits = sorted((age is None, -(age or 0), d) for d, age, t in rows if all(w in t for w in words))
+        pairs += len(hits)
+        want |= {(str(i), d): n + 1 for n, (_, _, d) in enumerate(hits[:5])}
+    assert got == want
+    assert sum(met) < 0.5 * pairs
