@@ -71,3 +71,24 @@ def test_search_bookmarks(spark):
     nodes = spark.createDataFrame(rows, "id string, node_type string, content string, metadata string, embedding array<double>")
     got = joins.search_bookmarks(spark.createDataFrame([("q", [1.0, 0.0])], "qid string, embedding array<double>"), nodes, 5).orderBy("rank").collect()
     assert [(r.id, r.title, r.url) for r in got] == [("b1", "One", "u1"), ("b2", "Two", None)]
+
+
+def test_only_texts_that_hold_a_name_are_met(spark):
+    """Texts that hold both words of a name apart from each other are as many as the rows, so they must not be met."""
+    parts = spark.createDataFrame([(f"a{i} of",) for i in range(20)] + [("of the a1",)], "part string")
+    apart = [(f"of the {' '.join(f'a{i} x' for i in range(20))} {n}",) for n in range(50)]
+    wholes = spark.createDataFrame([*apart, ("see a3  of",), ("ba3 offer",), ("of the a11",)], "whole string")
+    got = names._held(parts, wholes)
+    assert sorted(r[0] for r in got.select("part").collect()) == ["a3 of", "of the a1"]
+    pairs = parts.limit(1).select(names._pairs("part").alias("p")).first().p
+    assert pairs == ["a0 of"]
+
+
+def test_nearest_in_groups(spark):
+    from mnemograph.operators.vector import nearest_in_groups
+
+    queries = spark.createDataFrame([(g, f"{g}{i:03}", [1.0, i / 50]) for g in "ab" for i in range(100)] + [("c", "c", [1.0, 0.0])], "bucket string, qid string, embedding array<double>")
+    rows = spark.createDataFrame([("a", "n1", [1.0, 0.0]), ("a", "n2", [1.0, 2.0]), ("b", "n3", [1.0, 1.0]), ("b", "n0", [1.0, 1.0]), ("d", "n4", [1.0, 0.0])], "bucket string, id string, embedding array<double>")
+    got = {r.qid: r.id for r in nearest_in_groups(queries, rows, 7).collect()}
+    assert len(got) == 200 and {v for k, v in got.items() if k[0] == "b"} == {"n0"}
+    assert got["a000"] == "n1" and got["a099"] == "n2"
