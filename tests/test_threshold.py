@@ -140,3 +140,23 @@ def test_stripes_hold_a_bounded_number_of_queries(spark, monkeypatch):
     monkeypatch.setattr(vector, "STRIPE_HITS", 9 * 12)
     assert sorted(vector.nearest(q, c, 9, broadcast_bytes=0).collect()) == exact
     assert sorted(vector.nearest(q, c, 9, broadcast_bytes=0, cell_rows=10).collect()) == exact
+
+
+def test_a_layout_holds_a_row_once(spark):
+    """Own edges are made of the row where it is met; they are the same as those of ``edges`` under the caps."""
+    from mnemograph.operators import graph
+
+    rows = [(f"n{i}", f"n{i % 7}" if i % 3 else None, f"n{(3 * i) % 20}" if i % 4 else "", "p", [f"n{j}" for j in range(i % 5)] + [""], 0.1 * (i % 9), None) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id string, subject_id string, object_id string, predicate string, entity_links array<string>, weight double, embedding array<double>")
+    laid = graph.lay_out(nodes, 3)
+    assert laid.own.count() == 60 and set(laid.edges.columns) == {"node_id", "other", "predicate"}
+    incoming, want = {}, []
+    for e in graph.edges(nodes).collect():
+        if e.kind.startswith("incoming"):
+            incoming.setdefault((e.node_id, e.kind), []).append((-e.weight, e.other, e))
+        else:
+            want.append((e.node_id, e.other, e.source, e.target, e.predicate, e.kind == "object" or (e.kind == "entity_link" and e.pos < 3)))
+    for found in incoming.values():
+        want += [(e.node_id, e.other, e.source, e.target, e.predicate, True) for _, _, e in sorted(found, key=lambda x: x[:2])[:3]]
+    got = laid.steps(nodes.select(F.col("id").alias("qid"), F.col("id").alias("node_id"))).collect()
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(qid=w[0], other=w[1], source=w[2], target=w[3], predicate=w[4], is_edge=w[5])) for w in want)
