@@ -42,12 +42,16 @@ class Versioned:
         paths = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
         return f"{self.path}/data/version={held}/{paths.getPartitionPathString(self.part, part)}"
 
-    def publish(self, rows: DataFrame, version: int, replaced: list | None = None) -> None:
-        """``rows`` are the whole new content of their parts; parts in ``replaced`` without rows become empty."""
+    def publish(self, rows: DataFrame, version: int, replaced: list | None = None, dealt: bool = True) -> None:
+        """``rows`` are the whole new content of their parts; parts in ``replaced`` without rows become empty.
+
+        Rows of all one part need not be ``dealt``: they are written by the tasks that have them.
+        """
         if version in self.numbers():
             return
         folder = f"{self.path}/data/version={version}"
-        rows.hint("rebalance", self.part).write.mode("overwrite").partitionBy(self.part).parquet(folder)
+        rows = rows.hint("rebalance", self.part) if dealt else rows
+        rows.write.mode("overwrite").partitionBy(self.part).parquet(folder)
         now = self.pointer(before=version)
         for part in replaced or []:
             now.pop(None if part is None else str(part), None)

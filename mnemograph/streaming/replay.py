@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mnemograph.operators import merge
 from mnemograph.session import stage
 from mnemograph.sources import logs
-from mnemograph.sources.versioned import Versioned, bucket, touched
+from mnemograph.sources.versioned import Versioned
 from mnemograph.streaming.jobs import run_batches
 
 
@@ -30,33 +30,32 @@ class ReplayJob:
 
     ``then(entries, batch_id)`` gets the new entries of a batch before they are published, for instance to hand them
     to an ingest job. After a failure a batch comes again under its number with the same new entries.
-    Entries lie in buckets of their id and rejects in one part a batch, so a batch reads and writes only what it touches.
+    Entries and rejects have one part a batch: a batch writes its new rows only, and of the entries before it reads the ids. Its
+    lines are moved once, to those of the same id, and decoded again where they are needed.
     """
 
-    ENTRIES = "id string, node_type string, content string, source string, ts timestamp_ntz, weight double, image_url string, audio_url string, bucket int"
+    ENTRIES = "id string, node_type string, content string, source string, ts timestamp_ntz, weight double, image_url string, audio_url string, batch int"
     REJECTS = "file string, line string, reason string, batch int"
 
-    def __init__(self, spark: SparkSession, root: str, as_of: Column, then: Callable[[DataFrame, int], None] | None = None, buckets: int = 16):
-        self.root, self.as_of, self.then, self.buckets = root, as_of, then, buckets
-        self.entries = Versioned(spark, f"{root}/entries", self.ENTRIES, "bucket")
+    def __init__(self, spark: SparkSession, root: str, as_of: Column, then: Callable[[DataFrame, int], None] | None = None):
+        self.root, self.as_of, self.then = root, as_of, then
+        self.entries = Versioned(spark, f"{root}/entries", self.ENTRIES, "batch")
         self.rejected = Versioned(spark, f"{root}/rejects", self.REJECTS, "batch")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         lines = batch.filter(F.col("value").rlike(r"\S")).withColumnRenamed("value", "line")
         reason = F.when(F.col("id").isNull(), "not decodable").otherwise(merge.append_error())
-        parsed = stage(logs.manifest_rows(lines).withColumn("reason", reason), "lines")
-        first = F.min(F.struct("file", "line", "content", "source", "ts", "image_url", "audio_url"))
-        good = parsed.filter("reason is null").groupBy("id").agg(first.alias("r")).select("id", "r.*")
-        accepted, _ = merge.append_entries(good, self.as_of)
-        accepted = stage(accepted.withColumn("bucket", bucket(F.col("id"), self.buckets)), "entries")
-        hit = touched(accepted)
-        held = self.entries.read(before=batch_id, only=hit)
-        new = stage(accepted.join(held.select("id"), "id", "left_anti"), "new")
+        parsed = logs.manifest_rows(lines).withColumn("reason", reason)
+        first = parsed.filter("reason is null").groupBy("id").agg(F.min(F.struct("file", "line")).alias("r"))
+        held = self.entries.read(before=batch_id).select("id")
+        rows = logs.manifest_rows(first.join(held, "id", "left_anti").select("r.line")).drop("line")
+        new, _ = merge.append_entries(rows, self.as_of)
         if self.then:
-            self.then(new.drop("bucket"), batch_id)
-        rejects = parsed.filter("reason is not null").select("file", "line", "reason")
-        self.rejected.publish(rejects.withColumn("batch", F.lit(batch_id)), batch_id)
-        self.entries.publish(held.unionByName(new), batch_id, hit)
+            new = stage(new, "new")
+            self.then(new, batch_id)
+        numbered = F.lit(batch_id).alias("batch")
+        self.rejected.publish(parsed.filter("reason is not null").select("file", "line", "reason", numbered), batch_id, dealt=False)
+        self.entries.publish(new.select("*", numbered), batch_id, dealt=False)
 
     def run(self, lines: DataFrame) -> None:
         run_batches(lines, self.root, self.handle)

@@ -96,3 +96,12 @@ def test_media_files(spark, tmp_path, at_most):
     assert got.pop("one")[1] in (b"\x00\xff", b"\x01")
     assert got == {"two": (None, None), "three": (3, b"xyz"), "four": (None, None), None: (None, None)}
     assert media.read_media(wanted.filter("id = 'two'"), files, str(tmp_path)).first().bytes is None
+
+
+def test_replay_writes_only_the_new_entries_of_a_batch(spark, tmp_path):
+    job = ReplayJob(spark, str(tmp_path / "r"), as_of())
+    rows = lambda ids: spark.createDataFrame([(line(str(i)), "f") for i in ids], "value string, file string")
+    job.handle(rows(range(50)), 0)
+    job.handle(rows(range(40, 60)), 1)
+    assert spark.read.parquet(f"{job.root}/entries/data/version=1").count() == 10
+    assert sorted(int(r.id) for r in job.entries.read().collect()) == list(range(60))
