@@ -17,7 +17,7 @@ from mnemograph.operators.skew import top_rows
 from mnemograph.session import stage
 
 BROADCAST_SETS = 2_000
-NEWEST = 2048  # rows of the first round; each further round takes eight times as many
+NEWEST = 512  # rows of the first round; each further round takes eight times as many
 BROADCAST_BYTES = 16 << 20
 HIT = "set_key string, id string, ts string"
 _SEP = "\x1f"
@@ -189,11 +189,9 @@ def rows_with_words(sets: DataFrame, docs: DataFrame) -> DataFrame:
         )
     )
     started = rarest.join(hits, "word").select("set_key", "size", "id")
-    complete = (
-        started.join(members, "set_key")
-        .join(hits, ["word", "id"])
-        .groupBy("set_key", "id", "size")
-        .agg(F.count(F.lit(1)).alias("found"))
-        .filter(F.col("found") == F.col("size"))
-    )
-    return complete.select("set_key", "id")
+    others = members.join(rarest.select("set_key", "word"), ["set_key", "word"], "left_anti")
+    # one other word is a plain join; only sets of three words and more are counted
+    met = started.filter("size > 1").join(others, "set_key").join(hits, ["word", "id"])
+    counted = met.filter("size > 2").groupBy("set_key", "id", "size").agg(F.count(F.lit(1)).alias("found")).filter("found = size - 1")
+    whole = started.filter("size = 1"), met.filter("size = 2"), counted
+    return whole[0].select("set_key", "id").unionByName(whole[1].select("set_key", "id")).unionByName(whole[2].select("set_key", "id"))

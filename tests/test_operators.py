@@ -371,3 +371,16 @@ def test_newest_rows_of_common_words_come_first(spark, monkeypatch):
         want |= {(str(i), d): n + 1 for n, (_, _, d) in enumerate(hits[:5])}
     assert got == want
     assert sum(met) < 0.5 * pairs
+
+
+def test_common_words_meet_few_rows_in_the_first_round(spark, monkeypatch):
+    met, whole = [], keywords.rows_with_words
+    monkeypatch.setattr(keywords, "rows_with_words", lambda s, d: met.append(whole(s, d).count()) or whole(s, d))
+    text = F.concat_ws(" ", F.lit("alpha beta"), F.when(F.col("id") % 2 == 0, "gamma"), F.when(F.col("id") % 3 == 0, "delta"))
+    docs = spark.range(3000).select(F.concat(F.lit("d"), F.lpad("id", 4, "0")).alias("id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), text.alias("text"))
+    sets = {"one": ["alph"], "two": ["beta", "gam"], "three": ["alpha", "amm", "delta"], "none": ["alpha", "omega"]}
+    queries = spark.createDataFrame(list(sets.items()), "qid string, words array<string>")
+    got = {(r.qid, r["rank"]): r.id for r in keywords.search_many(queries, docs, 3, broadcast_sets=0).collect()}
+    want = {"one": [2999, 2998, 2997], "two": [2998, 2996, 2994], "three": [2994, 2988, 2982]}
+    assert got == {(q, i + 1): f"d{n}" for q, ids in want.items() for i, n in enumerate(ids)}
+    assert met[0] <= 3 * 600
