@@ -109,6 +109,18 @@ def test_prune(spark):
     assert got == {"x": {"a", "c"}, "y": {"b", "n"}, "z": {"b", "c"}, "w": {"a"}}
 
 
+def test_prune_of_candidates_that_carry_their_nodes(spark):
+    vectors = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [0.9, 0.1, 0.0], "n": None}
+    weights = {"a": 0.1, "b": 0.9, "c": 0.5, "n": 0.95}
+    q = table(spark, [("x", [1.0, 0.0, 0.0]), ("y", [1.0, 0.0, 0.0]), ("z", None)], "qid string, embedding array<double>")
+    pairs = [("x", i) for i in "abc"] + [("y", i) for i in "abcn"] + [("z", i) for i in "abc"] + [("w", "a")]
+    cand = table(spark, [(x, i, weights[i], vectors[i]) for x, i in pairs], "qid string, id string, weight double, embedding array<double>")
+    nodes = table(spark, [(i, weights[i], vectors[i]) for i in "abcn"], "id string, weight double, embedding array<double>")
+    got = sorted(map(tuple, vector.prune(cand, None, q, 2).collect()))
+    assert got == sorted(map(tuple, vector.prune(cand.select("qid", "id"), nodes, q, 2).collect()))
+    assert got == [("w", "a"), ("x", "a"), ("x", "c"), ("y", "b"), ("y", "n"), ("z", "b"), ("z", "c")]
+
+
 # keyword search
 
 
