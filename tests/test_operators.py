@@ -121,6 +121,16 @@ def test_prune_of_candidates_that_carry_their_nodes(spark):
     assert got == [("w", "a"), ("x", "a"), ("x", "c"), ("y", "b"), ("y", "n"), ("z", "b"), ("z", "c")]
 
 
+def test_relationship_members_has_a_task_for_each_so_many_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MEMBER_ROWS", 10)
+    rows = [(f"n{i}", "person", f"c{i}", None, None) for i in range(60)] + [(f"r{i}", "relationship", f"r{i}", f"n{i}", "n0") for i in range(30)]
+    nodes = table(spark, rows, "id string, node_type string, content string, subject_id string, object_id string")
+    out = graph.relationship_members(nodes, table(spark, [("n0",), ("n45",)], "id string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [id") == 2 and ", 9" in plan
+    assert sorted(map(tuple, out.collect())) == sorted((f"n{i}", "person", f"c{i}", i == 0) for i in range(30))
+
+
 # keyword search
 
 
