@@ -61,6 +61,41 @@ def test_equal_stretches_lie_in_passages_whatever_occurs_earlier(docs, prose):
         seen.update(windows)
 
 
+def test_fuzzy_passage_whose_parts_occur_first_in_different_documents(docs, prose):
+    lines = [prose(20) for _ in range(3)]
+    shared = " ".join(lines).split()
+    changed = list(shared)
+    changed[20] = changed[40] = "changed"
+    texts = [f"{prose(40)} {line} {prose(40)}" for line in lines]
+    texts += [f"{prose(30)} {' '.join(shared)} {prose(30)}", f"{prose(25)} {' '.join(changed)} {prose(35)}", f"{prose(10)} {' '.join(changed)} {prose(50)}"]
+    got = found(chaining.passages(docs(texts)))
+    assert {(g[0], g[1], g[2], g[3], g[6]) for g in got} >= {(4, 3, 25, 85, 58), (5, 3, 10, 70, 58)}
+    assert {g[0] for g in got} == {4, 5}
+
+
+def test_pair_held_by_more_documents_than_a_block(docs, prose, monkeypatch):
+    monkeypatch.setattr(chaining, "BLOCK", 2)
+    one, two = prose(26), prose(26)
+    texts = [f"{prose(40)} {one} {prose(40)}", f"{prose(40)} {two} {prose(40)}"]
+    gaps = [prose(60) for _ in range(6)] + ["x y z", prose(60), "x u z"]
+    texts += [f"{prose(20)} {one} {gap} {two} {prose(20)}" for gap in gaps]
+    got = found(chaining.passages(docs(texts)))
+    assert (10, 8, 20, 75, 20, 75, 54) in got and {g[0] for g in got} == {10}
+
+
+def test_passage_goes_on_beyond_the_margins(docs, prose):
+    first = prose(30 + 300).split()
+    later = [w if n < 30 or n % 6 else "changed" for n, w in enumerate(first)]
+    texts = [f"{prose(20)} {' '.join(first)} {prose(300)}", f"{prose(30)} {' '.join(later)} {prose(300)}"]
+    got = found(chaining.passages(docs(texts)))
+    assert max(g[3] for g in got) - min(g[2] for g in got) >= 320
+
+
+def test_chain_takes_the_predecessor_in_reach():
+    at, first, size = (np.array(x) for x in ([0, 400, 440], [0, 400, 440], [300, 30, 30]))
+    assert sorted(c.tolist() for c in chaining.best_chains(at, first, size)) == [[0], [1, 2]]
+
+
 def test_chains_skip_crossing_anchors():
     at, first, size = (np.array(x) for x in ([0, 30, 60, 90], [100, 130, 20, 190], [20, 20, 25, 20]))
     chains = [c.tolist() for c in chaining.best_chains(at, first, size)]
