@@ -160,3 +160,27 @@ def test_a_layout_holds_a_row_once(spark):
         want += [(e.node_id, e.other, e.source, e.target, e.predicate, True) for _, _, e in sorted(found, key=lambda x: x[:2])[:3]]
     got = laid.steps(nodes.select(F.col("id").alias("qid"), F.col("id").alias("node_id"))).collect()
     assert sorted(map(str, got)) == sorted(str(type(got[0])(qid=w[0], other=w[1], source=w[2], target=w[3], predicate=w[4], is_edge=w[5])) for w in want)
+
+
+def test_single_precision_leaves_out_no_row_at_the_threshold():
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((600, 48))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    q = v[:300] + 0.11 * rng.standard_normal((300, 48))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    exact = np.rint(np.clip((q * v[:300]).sum(axis=1), 0, 1) * vector.SCALE).astype(np.int64)
+    ids = np.array([f"n{i:03}" for i in range(600)], dtype=object)
+    best, _ = vector._best_within(q, ids, v, exact)
+    assert [(int(i), n, int(s)) for i, n, s in best[["q", "id", "s"]].to_numpy()] == [(i, ids[i], exact[i]) for i in range(300)]
+    none, _ = vector._best_within(q, ids, v, exact + 1)
+    assert not len(none)
+
+
+def test_pairs_that_a_third_of_the_coordinates_leaves_are_not_scored_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    q, v = (rng.standard_normal((n, 64)) for n in (200, 2000))
+    q, v = (x / np.linalg.norm(x, axis=1)[:, None] for x in (q, v))
+    seen, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: seen.append(len(a)) or einsum(how, a, b))
+    vector._best_within(q, np.arange(2000).astype(str).astype(object), v, np.full(200, 750_000))
+    assert sum(seen) < 0.001 * 200 * 2000
