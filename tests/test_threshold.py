@@ -184,3 +184,18 @@ def test_pairs_that_a_third_of_the_coordinates_leaves_are_not_scored_one_by_one(
     monkeypatch.setattr(np, "einsum", lambda how, a, b: seen.append(len(a)) or einsum(how, a, b))
     vector._best_within(q, np.arange(2000).astype(str).astype(object), v, np.full(200, 750_000))
     assert sum(seen) < 0.001 * 200 * 2000
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_rows_above_a_score_are_found_without_moving_the_corpus(spark, monkeypatch, k):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 16))
+    v = np.concatenate([centres[rng.integers(0, 40, 900)] + 0.5 * rng.standard_normal((900, 16)), np.repeat(centres, 5, axis=0), np.zeros((3, 16))])
+    ids = rng.permutation(len(v)).tolist()
+    corpus = spark.createDataFrame([(f"n{i}", x) for i, x in zip(ids, v.tolist(), strict=True)], "id string, embedding array<double>").repartition(3)
+    queries = frame(spark, "q", centres)
+    want = {tuple(r) for r in vector.nearest(queries, corpus, k, min_score=0.52).collect()}
+    monkeypatch.setattr(vector, "HELD_ROWS", 10)
+    monkeypatch.setattr(vector, "_striped", None)
+    got = vector.nearest(queries, corpus, k, min_score=0.52)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 40 * k
